@@ -22,6 +22,8 @@ from .common import let
 
 #: Rows of the sample from which costs and selectivities are estimated; it never affects which documents are kept.
 SAMPLE_ROWS = 1000
+#: Longer texts aren't sampled: the sample goes through the driver, and this bounds it.
+SAMPLE_CHARS = 1 << 16
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -112,10 +114,11 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def ordered(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ordered(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """rules by rejections per second on a sample of at most sample_rows rows, each measured among the rows that the rules before it leave."""
-    needed = sorted({c for c in df.columns if df.schema[c].dataType.simpleString() == "string"})
-    sample = df.select(*[F.col(f"`{c}`") for c in needed]).sample(0.1, seed=7).limit(sample_rows).persist()
+    # take() reads partitions only until it has enough rows; persist() of a limit would read them all.
+    texts = df.select(F.col(f"`{text}`")).where(F.length(F.col(f"`{text}`")) <= SAMPLE_CHARS).sample(0.1, seed=7).take(sample_rows)
+    sample = df.sparkSession.createDataFrame(texts, f"`{text}` string").persist()
     try:
         total = sample.count()
         if not total:
@@ -151,12 +154,12 @@ def cascade(rules: list[Rule]) -> Column:
 def keep(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
     rules = rules or [*base_rules(whole(text)), *further_rules(whole(text))]
-    return docs.where(cascade(ordered(docs, rules, sample_rows)))
+    return docs.where(cascade(ordered(docs, rules, text, sample_rows)))
 
 
 def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    rules = ordered(docs.select(text), further_rules(whole(text)), sample_rows)
+    rules = ordered(docs, further_rules(whole(text)), text, sample_rows)
     d = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("__t"))
     d = d.select("doc_id", "__t", words_of(F.col("__t")).alias("__w"), worded_lines(F.col("__t")).alias("__l"))
     d = d.select(
