@@ -1,0 +1,34 @@
+"""Connected components of an edge table, without bringing edges or labels to the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges (a, b); root is a node of the same component, one for each component.
+
+    Each round points every node at its smallest neighbour if that is smaller, follows pointers twice, and contracts the
+    edges. Nodes should be hashes: their order is random, so that also long chains shrink by a constant factor a round.
+    A star of any size goes in one round: its centre's rows are counted by partial aggregation and joined with AQE's skew splitting.
+    Each round's tables are checkpointed. An empty edge table gives an empty result.
+    """
+    e = cut(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    label = None
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        p = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
+        for _ in range(2):
+            q = p.select(F.col("node").alias("up"), F.col("up").alias("further"))
+            p = p.join(q, "up").select("node", F.col("further").alias("up"))
+        p = cut(p)
+        step = p.select(F.col("node").alias("root"), "up")
+        label = p.select("node", F.col("up").alias("root")) if label is None else label.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        label = cut(label)
+        for c in ("a", "b"):
+            e = e.join(p.select(F.col("node").alias(c), "up"), c).drop(c).withColumnRenamed("up", c)
+        e = cut(e.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    return label if label is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
