@@ -139,9 +139,9 @@ class _Cuts(dict):
 
 
 class TextEncoder:
-    """Ids of texts, by a function that encodes one match of the pattern."""
+    """Ids of texts, by a function that encodes one match of the pattern, or one that encodes a text of a few words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, encode_piece: Callable[[bytes], list[int]] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, encode_piece: Callable[[bytes], list[int]] | None = None, encode_text: Callable[[str], list[int]] | None = None):
         self.bytes = [b""] * (1 + max(ranks.values()))
         for k, v in ranks.items():
             self.bytes[v] = k
@@ -151,10 +151,13 @@ class TextEncoder:
         self.cut = regex.compile(r" (?=\S)").split
         self.odd = regex.compile(r" (?:\s|\Z)|\A\s").search
         self.piece = encode_piece or Merger(ranks).encode
+        self.text = encode_text
         self.pieces: dict[str, bytes] = {}
         self.cuts = _Cuts(self._plain)
 
     def _plain(self, text: str) -> bytes:
+        if self.text:
+            return np.array(self.text(text), self.dtype).tobytes()
         out, pieces = [], self.pieces
         for p in self.match(text):
             ids = pieces.get(p)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, ngram_join, quality_rules, warc
+from . import ann, bpe, line_dedup, ngram_join, packing, quality_model, quality_rules, warc
 from .common import table
 
 
@@ -17,6 +17,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=1024)
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -39,6 +47,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_packing": op3_packing,
+    "op4_quality_model": op4_quality_model,
     "op5_ann": op5_ann,
     "op7_line_dedup": op7_line_dedup,
     "op8_ngram_join": op8_ngram_join,
