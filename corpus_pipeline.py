@@ -1,25 +1,50 @@
-"""Documents through quality classifier, quality rules, line dedup, near-duplicate join and packing."""
+"""Documents through quality classifier, quality rules, line dedup, near-duplicate join and packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+`run` writes each stage's result as Parquet into the shared folder and gives what it reads back to the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twigspark.llm import quality_rules
+from twigspark.llm import line_dedup, ngram_join, packing, quality_model, quality_rules
 from twigspark.llm.common import fresh_path, table
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more. The model learns from the labelled ones among docs."""
+    return quality_model.keep(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality rules", rules)]
+def deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a line that at least ten documents hold, the first stays; documents left without a word go."""
+    return line_dedup.apply(docs, min_docs=10, drop="later")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return ngram_join.representatives(docs, words=5, num=80, den=100)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 1024."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=1024)
+
+
+STAGES = [("quality classifier", classified), ("quality rules", ruled), ("line dedup", deduped), ("n-gram Jaccard join", distinct), ("packing", packed)]
 
-#: Not expressible in SQL: a trained classifier and a tokenizer take part.
+#: A trained classifier and a tokenizer take part, which SQL can't express; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
