@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from . import hashing
 
 #: Vectors of a task's share of buckets.
-SHARE = 20_000
+SHARE = 8_192
 #: Most buckets that are known as hot: their keys are broadcast.
 HOT_KEYS = 500_000
 
@@ -219,11 +219,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 10, h
     hot = max(hot, rows // HOT_KEYS)  # so at most HOT_KEYS buckets are hot, whatever the size of the data
     shared = spark.sparkContext.broadcast({r["key"]: -(-r["n"] // hot) for r in counts.where(F.col("n") > hot).collect()})
     counts.unpersist()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // SHARE)
-    parts = 4 * tasks
+    # Parts follow the data and not the cluster: each part that a query visits returns up to k rows.
+    parts = 1 + rows // SHARE
     queries = good.where(is_query)
     both = index.mapInArrow(partial(_indexed, *cfg, parts, shared), ROW_DDL).unionByName(queries.mapInArrow(partial(_probing, *cfg, probes, parts, shared), ROW_DDL))
-    found = both.repartition(tasks, "part").sortWithinPartitions("part", "query").mapInArrow(partial(_nearest, k), "query_id long, vec_id long, score double")
+    found = both.repartition(parts, "part").sortWithinPartitions("part", "query").mapInArrow(partial(_nearest, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     out = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
