@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, small_batches
+
 #: Pieces of up to this many bytes are the leaves of the tree.
 LEAF = 16
 #: Entries of a worker's lookup tables; beyond, a table starts anew.
@@ -126,13 +128,13 @@ class Merger:
 class _Cuts(dict):
     """Ids, as bytes, of ' ' + cut."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[str], bytes], size: int):
+        self.encode, self.size = encode, size
 
     def __missing__(self, cut: str) -> bytes:
         ids = self.encode(" " + cut)
         if len(cut) <= KEPT_CHARS:
-            if len(self) >= TABLE:
+            if len(self) >= self.size:
                 self.clear()
             self[cut] = ids
         return ids
@@ -141,7 +143,7 @@ class _Cuts(dict):
 class TextEncoder:
     """Ids of texts, by a function that encodes one match of the pattern, or one that encodes a text of a few words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, encode_piece: Callable[[bytes], list[int]] | None = None, encode_text: Callable[[str], list[int]] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, encode_piece: Callable[[bytes], list[int]] | None = None, encode_text: Callable[[str], list[int]] | None = None, table: int = TABLE):
         self.bytes = [b""] * (1 + max(ranks.values()))
         for k, v in ranks.items():
             self.bytes[v] = k
@@ -153,7 +155,7 @@ class TextEncoder:
         self.piece = encode_piece or Merger(ranks).encode
         self.text = encode_text
         self.pieces: dict[str, bytes] = {}
-        self.cuts = _Cuts(self._plain)
+        self.cuts = _Cuts(self._plain, table)
 
     def _plain(self, text: str) -> bytes:
         if self.text:
@@ -197,18 +199,12 @@ class TextEncoder:
 def _encoder(shared) -> TextEncoder:
     """One per worker process: the tables outlive a task."""
     ranks, pattern = shared.value
-    key = (len(ranks), pattern, hash(frozenset(list(ranks.items())[:100])))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(ranks, pattern)
-    return _ENCODERS[key]
-
-
-_ENCODERS: dict = {}
+    return held(("bpe", len(ranks), pattern, hash(frozenset(list(ranks.items())[:100]))), lambda: TextEncoder(ranks, pattern))
 
 
 def _shared(docs: DataFrame, path: str, pattern: str):
     """The ranks, read by the driver and broadcast: the size of a vocabulary, not of the data."""
-    return docs.sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
+    return small_batches(docs).sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

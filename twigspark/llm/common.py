@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,10 @@ from pyspark.sql import functions as F
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Bytes of an Arrow batch between Spark and Python, and rows at most: with texts of thousands of characters, Spark's own limits come to
+#: hundreds of MB for the batches of an executor's tasks.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 5000
+
 #: A side of a join is broadcast only if its measured size is at most this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -19,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded; results don't depend on them."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +56,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """make(), kept in a worker process for the tasks to come; what other operators kept there goes, and freed memory goes back to the system."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Frees what earlier operators left in this worker: workers live on between stages, and their memory counts against the executor's."""
+    import pyarrow as pa
+
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once and only where the result is asked for (a lambda variable bound through a one-element array)."""
     return F.transform(F.array(value), body).getItem(0)

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at once; bounds the working memory of a task whatever the length of a text.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Bytes of texts handled together.
-GROUP = 1 << 21
+GROUP = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype="u1")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import hashing
+from .common import small_batches
 
 TAGS, NAMES, WORDS = 96, 128, 48
 MEASURES = 12
@@ -477,5 +478,5 @@ def _extracted(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def extract(pages: DataFrame, weights: dict | None = None) -> DataFrame:
     """Per page: page_id, url, text (the main text), n_chars. No shuffle; the network's weights (about 350 KB) are broadcast."""
-    shared = pages.sparkSession.sparkContext.broadcast(weights or train())
+    shared = small_batches(pages).sparkSession.sparkContext.broadcast(weights or train())
     return pages.select("page_id", "url", "html").mapInArrow(partial(_extracted, shared), "page_id long, url string, text string, n_chars long")

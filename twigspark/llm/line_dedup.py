@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, cut, release, small_batches
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 ROW = "h1 long, h2 long, doc_id long, digest long, pos int, n_lines int"
@@ -41,6 +41,7 @@ def line_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release()
         for batch in batches:
             lo, hi, doc, dig, pos, count = [], [], [], [], [], []
             for doc_id, digest, text in zip(batch["doc_id"].to_pylist(), batch["digest"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -155,7 +156,7 @@ def digested(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: str = "all", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, n_lines, keep): a row per document and text that loses lines; keep is the zlib-compressed bitmap of kept lines. All others keep all."""
     later = {"all": False, "later": True}[drop]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(small_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = digested(docs, doc_id, text).mapInArrow(line_rows(min_chars), ROW)
     rows = rows.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos", "digest")
     said = cut(rows.mapInArrow(streamed(min_docs, later), f"kind int, {ROW}, n_docs long"))

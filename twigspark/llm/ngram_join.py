@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, cut, release, small_batches
 from .components import components
 
 #: Members of a token's run that are paired one by one; longer runs go through a star.
@@ -75,6 +75,7 @@ def order_keys(s: np.ndarray, counts: np.ndarray, bits: int, k: int) -> np.ndarr
 
 
 def _nodes(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         n, s1, s2 = [], [], []
         for s in sets_of(b["text"], words):
@@ -301,7 +302,7 @@ def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
 
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over pairs with Jaccard similarity of num / den or more)."""
-    sc, conf = docs.sparkSession.sparkContext, docs.sparkSession.conf
+    sc, conf = small_batches(docs).sparkSession.sparkContext, docs.sparkSession.conf
     parts = int(conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     nodes = cut(d.mapInArrow(partial(_nodes, words), "doc_id long, n long, s1 long, s2 long"))

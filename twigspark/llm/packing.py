@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .common import held, release, small_batches
 
 DIMENSIONS, BITS = 4, 10
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -74,6 +75,7 @@ def points(texts: pa.Array) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         key = hilbert((points(b["text"]) * (1 << BITS)).astype("i8"))
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(key)], ["doc_id", "text", "key"])
@@ -89,7 +91,8 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in k): v for k, v in held["model"]["vocab"].items() if k not in special}
 
 
-_ENCODERS: dict = {}
+#: Entries of a worker's lookup table: smaller than that of the tree encoder, as a miss costs less here.
+TABLE = 120_000
 
 
 def encoder(ranks: dict[bytes, int], pattern: str):
@@ -97,11 +100,11 @@ def encoder(ranks: dict[bytes, int], pattern: str):
 
     from .bpe import TextEncoder
 
-    key = (len(ranks), pattern)
-    if key not in _ENCODERS:
+    def make() -> TextEncoder:
         plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _ENCODERS[key] = TextEncoder(ranks, pattern, encode_text=plain)
-    return _ENCODERS[key]
+        return TextEncoder(ranks, pattern, encode_text=plain, table=TABLE)
+
+    return held(("packing", len(ranks), pattern), make)
 
 
 def powers(n: int) -> list[int]:
@@ -173,7 +176,7 @@ def _packed(size: int, end_id: int, with_ids: bool, shared, batches: Iterator[pa
 
 def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     shared = spark.sparkContext.broadcast((read_vocabulary(path), pattern))
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .common import release, small_batches
 
 #: Most labelled rows that training reads, and the longest text among them: together they bound the driver's memory.
 TRAINING_ROWS, TRAINING_CHARS = 4000, 1 << 16
@@ -128,7 +129,9 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch:
     seen = np.concatenate([b[:, BUCKETS:] for b in bags])
     middle, spread = np.zeros(width, "f4"), np.ones(width, "f4")
     middle[BUCKETS:], spread[BUCKETS:] = seen.mean(axis=0), seen.std(axis=0) + 1e-3
-    bags = [(b - middle) / spread for b in bags]
+    for b in bags:
+        b -= middle
+        b /= spread
     r = np.random.default_rng(seed)
     normal = lambda *s: (r.normal(size=s) / np.sqrt(s[0])).astype("f4")
     w = {"W": normal(width, HIDDEN), "b": np.zeros(HIDDEN, "f4"), "V": normal(HIDDEN, GATE), "U": normal(HIDDEN, GATE), "w": normal(GATE), "c": normal(HIDDEN), "d": np.zeros(1, "f4")}
@@ -184,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out: the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
@@ -194,17 +197,25 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def _reported(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for b in batches:
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores(shared.value, b["text"]))], ["doc_id", "score"])
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(fit(docs, labels))
     found = docs.select("doc_id", "text").mapInArrow(partial(_reported, shared), "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score threshold or more."""
-    return score(docs, model, out="__score").where(F.col("__score") >= threshold).drop("__score")
+def _kept(shared, text: str, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for b in batches:
+        yield b.filter(pa.array(scores(shared.value, b[text]) >= threshold))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs that score threshold or more; batches are filtered where they are scored."""
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_kept, shared, text, threshold), docs.schema)

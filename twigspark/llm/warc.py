@@ -53,7 +53,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_BYTES, cut, fresh_path
+from .common import BROADCAST_BYTES, cut, fresh_path, small_batches
 
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "warc_date", "content_type", "payload_digest", "payload_bytes", "refers_to", "headers")
 ALL = "record_id string, record_type string, target_uri string, warc_date string, content_type string, payload_digest string, payload_bytes long, refers_to string, headers map<string,string>, payload binary"
@@ -401,7 +401,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, **options: str) -> None:
-    register(df.sparkSession)
+    register(small_batches(df).sparkSession)
     df.write.format("warc").mode("append").options(**options).save(path)
 
 
