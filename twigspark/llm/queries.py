@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, html_text, line_dedup, ngram_join, packing, quality_model, quality_rules, url_filter, warc
 from .common import table
+from .oracles import ORACLE_SQL
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
 
@@ -68,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
