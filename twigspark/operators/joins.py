@@ -20,17 +20,30 @@ def pairs(points: DataFrame, targets: DataFrame) -> DataFrame:
     return points.join(t, "image_id").withColumn("d2", distance2("x", "y", "tx", "ty"))
 
 
+def gathered(targets: DataFrame) -> DataFrame:
+    """(image_id, branch_id, pts): the targets of each branch as one array, by ord. A row is as large as a branch of one image."""
+    return targets.groupBy("image_id", "branch_id").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("pts"))
+
+
+def away(p: Column) -> Column:
+    return distance2("x", "y", p["x"], p["y"])
+
+
 def min_distance_matrix(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(image_id, id, branch_id, distance): least distance of each point to each branch."""
-    return pairs(points, targets).groupBy("image_id", "id", "branch_id").agg(F.sqrt(F.min("d2")).alias("distance"))
+    """(image_id, id, branch_id, distance): least distance of each point to each branch.
+
+    Points meet whole branches, so a row leaves the join per point and branch instead of per point and pixel, and no aggregate follows.
+    """
+    j = points.select("image_id", "id", "x", "y").join(gathered(targets), "image_id")
+    return j.select("image_id", "id", "branch_id", F.sqrt(F.array_min(F.transform("pts", away))).alias("distance"))
 
 
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """(image_id, id, branch_id, ord, tx, ty, distance) of the nearest target, ties to the smaller ord, by all pairs of an image."""
+    p = points.select("image_id", "id", "x", "y")
     # The least distance is a hash aggregate over all pairs; only the pairs that have it go through the slower ordering of ties.
-    least = pairs(points.select("image_id", "id", "x", "y"), targets).groupBy("image_id", "id").agg(F.min("d2").alias("least"))
-    near = points.select("image_id", "id", "x", "y").join(least, ["image_id", "id"])
-    tied = pairs(near, targets).where(F.col("d2") == F.col("least"))
+    least = pairs(p, targets).groupBy("image_id", "id").agg(F.min("d2").alias("least"))
+    tied = pairs(p.join(least, ["image_id", "id"]), targets).where(F.col("d2") == F.col("least"))
     best = tied.groupBy("image_id", "id").agg(F.min(F.struct("d2", "ord", "branch_id", "tx", "ty")).alias("m"))
     return best.select("image_id", "id", "m.branch_id", "m.ord", "m.tx", "m.ty", F.sqrt("m.d2").alias("distance"))
 
