@@ -40,7 +40,7 @@ b as (select doc_id, t, w, l, len(w) n_words, coalesce(list_sum(list_transform(w
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or 10 * n_symbols > n_words
  or 2 * length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) > length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) or 5 * length(regexp_replace(t, '[^!]', '', 'g')) > n_words
- or 10 * n_dup_lines > 3 * len(l) or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 6 * n_words
+ or 5 * (len(array_to_string(l, '')) - len(array_to_string(list_distinct(l), ''))) > len(array_to_string(l, '')) or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 6 * n_words
  or 10 * len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) > 3 * len(l) or 10 * len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•●]\\s'))) > 9 * len(l)) kept from f"""
 
 ORACLE_SQL = {"op1_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op8_ngram_join": NGRAM_JOIN, "op9_quality_rules": QUALITY_RULES}

@@ -102,7 +102,8 @@ def further_rules(text: Column) -> list[Rule]:
         Rule("symbols", let(n(), lambda k: 10 * count_of(text, SYMBOLS) > k)),
         Rule("shouting", 2 * count_of(text, "\\p{Lu}") > count_of(text, "\\p{L}")),
         Rule("exclaims", let(n(), lambda k: 5 * count_of(text, "!") > k)),
-        Rule("duplicate_lines", let(worded_lines(text), lambda x: 10 * repeats(x) > 3 * F.size(x))),
+        # By characters: a short line that opens and closes a text of three lines is a third of its lines, but little of it.
+        Rule("duplicate_lines", let(worded_lines(text), lambda x: let(F.length(F.array_join(x, "")), lambda c: 5 * (c - F.length(F.array_join(F.array_distinct(x), ""))) > c))),
         Rule("word_length", let(words_of(text), lambda w: let(F.length(F.array_join(w, "")), lambda c: (c < 2 * F.size(w)) | (c > 20 * F.size(w))))),
         Rule("few_letters", let(words_of(text), lambda w: 10 * F.size(F.filter(w, lambda x: x.rlike("\\p{L}"))) < 6 * F.size(w))),
         Rule("ellipses", let(worded_lines(text), lambda x: 10 * F.size(F.filter(x, lambda y: y.rlike("(\\.\\.\\.|…)\\s*$"))) > 3 * F.size(x))),
