@@ -60,3 +60,24 @@ def test_perturbations_are_in_order_of_cost():
     assert len(out) == 243 == len({tuple(sorted(s)) for s in out})
     costs = [cost(s) for s in out]
     assert all(a <= b + 1e-12 for a, b in zip(costs, costs[1:], strict=False))
+
+
+def test_few_and_opposite_candidates_are_all_found(spark):
+    r = np.random.default_rng(7)
+    hot = r.normal(size=64)
+    rows = [(i, r.normal(size=64).tolist()) for i in (0, 1, 2)]  # fewer than k candidates, without structure
+    far = [(1000, (-hot).tolist()), *((1001 + i, (hot + 0.001 * r.normal(size=64)).tolist()) for i in range(40))]
+    for table, ask in ((rows, 0), (far, 1000)):
+        got = ann.search(spark.createDataFrame([(i, v, 0, "x") for i, v in table], SCHEMA), F.col("id") == ask).orderBy("rank").collect()
+        ids, v = np.array([i for i, _ in table]), np.array([v for _, v in table], "f4").astype("f8")
+        s = v @ v[0] / np.sqrt((v * v).sum(axis=1) * (v[0] @ v[0]))
+        assert [x.vec_id for x in got] == [i for _, i in sorted(zip(-s[1:], ids[1:].tolist(), strict=True))][:5]
+        assert [x.rank for x in got] == list(range(1, len(got) + 1))
+
+
+def test_repeated_rows_leave_room_for_others(spark):
+    r = np.random.default_rng(8)
+    near = r.normal(size=8)
+    rows = [(1, near.tolist())] * 20 + [(2, (near * 2).tolist())] + [(10, (near + 0.001 * r.normal(size=8)).tolist()) for _ in range(20)] + [(i, (near + 0.1 * r.normal(size=8)).tolist()) for i in (20, 30, 40, 51)]
+    got = ann.search(spark.createDataFrame([(i, v, 0, "x") for i, v in [*rows, (100, near.tolist())]], SCHEMA), F.col("id") == 100).orderBy("rank").collect()
+    assert len({x.vec_id for x in got}) == 5 and {1, 2, 10} <= {x.vec_id for x in got}

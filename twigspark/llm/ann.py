@@ -13,7 +13,8 @@ the k nearest.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component takes no part, as query or candidate; vectors of
 different lengths aren't compared; rows that repeat an id are one candidate, the nearest of them, and never their own query's;
-a query with fewer candidates found returns those; an empty table gives an empty result; other columns aren't touched.
+a query for which the probes find fewer than k candidates is compared with all vectors of its length, so that it has fewer than k only
+where there are no more; an empty table gives an empty result; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import hashing
+from .common import cut
 
 #: Vectors of a task's share of buckets.
 SHARE = 8_192
 #: Most buckets that are known as hot: their keys are broadcast.
 HOT_KEYS = 500_000
+#: Queries of one matrix product.
+QUERIES_AT_ONCE = 512
 
 
 def projections(dim: int, tables: int, hashes: int, width: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +148,22 @@ def _probing(tables: int, hashes: int, width: float, probes: int, parts: int, sh
                 yield _rows(list(to), True, [own] * len(to), [np.unique(np.array(x, "i8")).tobytes() for x in to.values()], [raw] * len(to))
 
 
+def _blocks(parts: int, shared, query: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for an exact comparison: a length's vectors are dealt over its shares, and a query goes to each of them."""
+    shares = shared.value
+    for b in batches:
+        for ids, v in by_length(b):
+            n = v.shape[1]
+            if n not in shares:
+                continue
+            raw, key = [x.tobytes() for x in v], np.array([n], "i8").tobytes()
+            if query:
+                for share in range(shares[n]):
+                    yield _rows([_part(n, share, parts)] * len(ids), True, ids.tolist(), [key] * len(ids), raw)
+            else:
+                yield _rows([_part(n, int(x) % shares[n], parts) for x in hashing.mix(ids.astype("u8"))], False, ids.tolist(), [key] * len(ids), raw)
+
+
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Cosines of rows, each summed alone and in the same order: equal vectors have equal scores."""
     q, c = (x / np.abs(x).max(axis=1, keepdims=True) for x in (q, c))
@@ -181,20 +201,24 @@ def _nearest(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for r, x in enumerate(keys):
                 for key in np.frombuffer(x, "i8").tolist():
                     visits.setdefault(key, []).append(r)
-            found: list[list] = [[] for _ in keys]
+            groups = [(key, rows[j : j + QUERIES_AT_ONCE]) for key, rows in visits.items() for j in range(0, len(rows), QUERIES_AT_ONCE)]
+            found: list[dict[int, float]] = [{} for _ in keys]
             all_keys, all_ids, all_v = ready
-            for key, rows in visits.items():
+            for key, rows in groups:
                 lo, hi = np.searchsorted(all_keys, key), np.searchsorted(all_keys, key, "right")
                 if lo == hi:
                     continue
                 q, c = np.stack([np.frombuffer(vectors[r], "f8") for r in rows]), np.stack(all_v[lo:hi])
                 s = unit_of(q) @ unit_of(c).T
                 s[ids[a:e][rows][:, None] == all_ids[lo:hi][None]] = -np.inf
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(rows), -2.0)
+                by = np.argsort(all_ids[lo:hi], kind="stable")
+                first = np.flatnonzero(np.diff(all_ids[lo:hi][by], prepend=all_ids[lo:hi][by][0] - 1))
+                best = s if len(first) == hi - lo else np.maximum.reduceat(s[:, by], first, axis=1)  # an id's nearest vector counts for it
+                least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(rows), -2.0)
                 x, y = np.nonzero(s >= np.maximum(least, -2.0)[:, None] - 1e-9)
                 for r, i, score in zip(x.tolist(), all_ids[lo + y].tolist(), exact(q[x], c[y]).tolist(), strict=True):
-                    found[rows[r]].append((-score, i))
-            out = [(q, i, -s) for q, x in zip(ids[a:e].tolist(), found, strict=True) for s, i in heapq.nsmallest(k, set(x))]
+                    found[rows[r]][i] = max(score, found[rows[r]].get(i, -2.0))
+            out = [(q, i, -s) for q, x in zip(ids[a:e].tolist(), found, strict=True) for s, i in heapq.nsmallest(k, ((-s, i) for i, s in x.items()))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
@@ -212,7 +236,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 10, h
     spark = vectors.sparkSession
     good = usable(vectors, vec_id, embedding)
     ranked = Window.partitionBy("vector").orderBy("id")
-    index = good.withColumn("__r", F.row_number().over(ranked)).where(F.col("__r") <= k + 1).drop("__r")
+    index = good.withColumn("__r", F.dense_rank().over(ranked)).where(F.col("__r") <= k + 1).select("vector", "id").dropDuplicates(["vector", "id"]).select("id", "vector")
     cfg = (tables, hashes, width)
     counts = good.mapInArrow(partial(_counted, *cfg), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).persist()
     rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -223,8 +247,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 10, h
     parts = 1 + rows // SHARE
     queries = good.where(is_query)
     both = index.mapInArrow(partial(_indexed, *cfg, parts, shared), ROW_DDL).unionByName(queries.mapInArrow(partial(_probing, *cfg, probes, parts, shared), ROW_DDL))
-    found = both.repartition(parts, "part").sortWithinPartitions("part", "query").mapInArrow(partial(_nearest, k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    out = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+
+    def best(rows: DataFrame, n: int) -> DataFrame:
+        found = rows.repartition(n, "part").sortWithinPartitions("part", "query").mapInArrow(partial(_nearest, k), "query_id long, vec_id long, score double")
+        each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        out = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return out.select("query_id", "rank", "vec_id", "score")
+
+    near = cut(best(both, parts))
+    full = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = queries.join(full, "id", "left_anti").select("id", "vector")
+    lengths = [r[0] for r in short.select(F.size("vector")).distinct().collect()]
+    if not lengths:
+        return near
+    # The probes found too few for these: all vectors of their lengths, in blocks.
+    sizes = index.groupBy(F.size("vector").alias("n")).count().where(F.col("n").isin(lengths)).collect()
+    shares = spark.sparkContext.broadcast({r["n"]: -(-r["count"] // SHARE) for r in sizes})
+    n = sum(shares.value.values())
+    rest = index.mapInArrow(partial(_blocks, n, shares, False), ROW_DDL).unionByName(short.mapInArrow(partial(_blocks, n, shares, True), ROW_DDL))
+    return near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(rest, n))
