@@ -71,3 +71,14 @@ def test_ids_and_empty(spark):
     got = packing.pack(df, PATH, P.PATTERN, with_ids=True).collect()
     assert [x for r in sorted(got, key=lambda r: r.start) for x in r.ids] == [64, 275, 0]
     assert packing.pack(df.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_added_tokens_are_the_librarys(spark):
+    t = Tokenizer.from_file(PATH)  # with its default settings
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext |> <|endoftext", " <|endoftext|>  z <|endoftext|>"]
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(texts)], SCHEMA)
+    of = {}
+    for r in sorted(packing.pack(df, PATH, P.PATTERN, with_ids=True).collect(), key=lambda r: r.start):
+        of.setdefault(r.doc_id, []).extend(r.ids)
+    assert of == {k: [*t.encode(x, add_special_tokens=False).ids, 0] for k, x in enumerate(texts)}
+    assert of[0] == [64, 220, 50256, 275, 0]

@@ -6,13 +6,15 @@ share words, share sequences. Each partition cuts its stream of ids into sequenc
 end becomes sequences of decreasing powers of two, so that nothing is padded and no partition waits for another.
 Equal keys (copies) are split over partitions by doc_id.
 
-Defined cases: a null or empty text is the end id alone; texts are read whole; rows that repeat a doc_id are packed row by row;
+Defined cases: a null or empty text is the end id alone; an added token of the tokenizer file, such as an end marker, becomes its own id wherever
+a text holds it; texts are read whole; rows that repeat a doc_id are packed row by row;
 an empty table gives no pieces; other columns aren't touched.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -91,6 +93,28 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in k): v for k, v in held["model"]["vocab"].items() if k not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer.json. Only plain ones are known here: they are found anywhere in the text and leave what is around them."""
+    held = json.loads(Path(path).read_text("utf-8"))["added_tokens"]
+    if odd := [x["content"] for x in held if x["single_word"] or x["lstrip"] or x["rstrip"]]:
+        raise ValueError(f"added tokens that take part of their surroundings: {odd}")
+    return {x["content"]: x["id"] for x in held}
+
+
+class Splitter:
+    """Ids of texts whose added tokens stand for themselves; at one place, the longest counts."""
+
+    def __init__(self, e, added: dict[str, int]):
+        self.e, self.added = e, added
+        self.dtype = np.dtype("<u4") if max(added.values(), default=0) >= 1 << 16 else e.dtype
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+
+    def ids(self, text: str | None) -> np.ndarray:
+        if not text or not self.split or len(parts := self.split(text)) == 1:
+            return self.e.ids(text)
+        return np.concatenate([np.array([self.added[x]], self.dtype) if k % 2 else self.e.ids(x) for k, x in enumerate(parts)])
+
+
 #: Entries of a worker's lookup table: smaller than that of the tree encoder, as a miss costs less here.
 TABLE = 120_000
 
@@ -150,7 +174,8 @@ class Packer:
 def _packed(size: int, end_id: int, with_ids: bool, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    e = encoder(*shared.value)
+    ranks, pattern, added = shared.value
+    e = Splitter(encoder(ranks, pattern), added)
     packer = Packer(size, TaskContext.get().partitionId() << 40)
     end = np.array([end_id], e.dtype)
     types = [pa.int64()] * 7
@@ -177,7 +202,7 @@ def _packed(size: int, end_id: int, with_ids: bool, shared, batches: Iterator[pa
 def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     spark = small_batches(docs).sparkSession
-    shared = spark.sparkContext.broadcast((read_vocabulary(path), pattern))
+    shared = spark.sparkContext.broadcast((read_vocabulary(path), pattern, read_added(path)))
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = d.mapInArrow(_keyed, "doc_id long, text string, key long").repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
