@@ -84,3 +84,10 @@ def test_runs_over_many_batches(monkeypatch, hot):
             assert {frozenset(p) for p in seen} >= {frozenset((own[0], x)) for x in own[1:]}
         else:
             assert {frozenset(p) for p in seen} >= {frozenset((x, y)) for x in own for y in own if x != y}
+
+
+def test_representatives_by_row(spark):
+    a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    rows = [(1, a, 1), (2, a, 1), (2, b, 1), (3, c, 2), (3, c, 1), (None, a, 1), (None, "n u l l i d s o", 1), (None, "n u l l i d s o", 1), (4, "", 1), (4, "", 1)]
+    got = J.representatives(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a, 1), (2, b, 1), (3, c, 1), (None, "n u l l i d s o", 1), (4, "", 1), (4, "", 1)], key=str)

@@ -82,7 +82,7 @@ def _nodes(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for s in sets_of(b["text"], words):
             x, y = named(s)
             n.append(len(s)), s1.append(x), s2.append(y)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(x, pa.int64()) for x in (n, s1, s2)]], ["doc_id", "n", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], *[pa.array(x, pa.int64()) for x in (n, s1, s2)]], ["doc_id", "digest", "n", "s1", "s2"])
 
 
 SLICE = 1 << 12
@@ -301,12 +301,12 @@ def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
-def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over pairs with Jaccard similarity of num / den or more)."""
+def linked_sets(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per row of docs its set of shingles (doc_id, digest, n, s1, s2); each set's smallest doc_id; and the sets with a similar one, by component (s1, s2, root)."""
     sc, conf = small_batches(docs).sparkSession.sparkContext, docs.sparkSession.conf
     parts = int(conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    nodes = cut(d.mapInArrow(partial(_nodes, words), "doc_id long, n long, s1 long, s2 long"))
+    nodes = cut(d.withColumn("digest", F.xxhash64("text")).mapInArrow(partial(_nodes, words), "doc_id long, digest long, n long, s1 long, s2 long"))
     shared = sc.broadcast(sketch(d, words, nodes.count()))
     heads = d.mapInArrow(partial(_prefixes, words, num, den, shared), "s1 long, s2 long, n long, tokens array<long>").dropDuplicates(["s1", "s2"])
     tokens = heads.select(F.explode("tokens").alias("token"), "s1", "s2", "n").repartition(parts, "token").sortWithinPartitions("token", "s1", "s2")
@@ -325,7 +325,12 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id:
     dealt = dealt.select("g1", "g2", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s1", "s2", "text")
     dealt = dealt.repartition(parts, "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j", "s1", "s2")
     links = dealt.mapInArrow(partial(_verified, words, num, den, shared), "a1 long, a2 long, b1 long, b2 long")
-    linked = components(links.select(node("a"), node("b"))).select("node.s1", "node.s2", "root")
+    return nodes, own, components(links.select(node("a"), node("b"))).select("node.s1", "node.s2", "root")
+
+
+def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over pairs with Jaccard similarity of num / den or more)."""
+    nodes, own, linked = linked_sets(docs, words, num, den, doc_id, text)
     least = linked.join(own, ["s1", "s2"]).groupBy("root").agg(F.min("doc_id").alias("least"))
     linked = linked.join(least, "root").select("s1", "s2", "least")
     found = own.join(linked, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("least", "doc_id").alias("component_id"))
@@ -334,6 +339,25 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id:
 
 
 def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, one of each component: that with the smallest doc_id (of rows that repeat it, one for each is kept). Documents without words all stay."""
-    found = cut(join(docs, words, num, den).where("doc_id != component_id").select(F.col("doc_id").alias("__d")).distinct())
-    return docs.join(sized(found, 16), F.col("doc_id").cast("long") == F.col("__d"), "left_anti")
+    """docs, one row of each component: the first by doc_id (null last), then by text digest. Documents without words all stay.
+
+    Rows are told apart by doc_id and text, so a doc_id may come with several texts; of rows that repeat both, the first by their other columns stays.
+    """
+    nodes, _, linked = linked_sets(docs, words, num, den)
+    rows = nodes.where("n > 0").groupBy("doc_id", "digest", "s1", "s2").count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
+    sets = rows.groupBy("s1", "s2").agg(first).join(linked, ["s1", "s2"], "left")
+    kept = sets.groupBy(F.coalesce("root", F.struct("s1", "s2")).alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.digest").alias("__g"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("digest") == F.col("__g"))
+    named_rows = rows.select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g"), "count")
+    found = cut(rows.join(kept, is_kept, "left_anti").select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__g"))
+    out = docs.join(sized(found, 24), same, "left_anti")
+    repeated = cut(named_rows.where("count > 1").drop("count"))
+    if repeated.isEmpty():
+        return out
+    # Few rows: of a repeated doc_id and text, one; all columns go through the aggregate as one value.
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), others).alias("__row")
+    one = out.join(sized(repeated, 24), same, "left_semi").groupBy(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__g")).agg(whole).select("__row.*")
+    return out.join(sized(repeated, 24), same, "left_anti").unionByName(one)
