@@ -29,8 +29,8 @@ def deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return ngram_join.representatives(docs, words=5, num=80, den=100)
+    """One document of each component of near duplicates: five-word shingles, similarity 0.8 or more. Of a line of 50 words or more that still several hold, the first stays."""
+    return line_dedup.apply(ngram_join.representatives(docs, words=5, num=80, den=100), min_docs=2, min_words=50, drop="later")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,16 @@ def test_registered(spark):
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert np.isfinite(len(corpus_pipeline.STAGES))
+
+
+def test_long_lines_of_few_documents(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, keep string, digest int"
+    passage, short = " ".join(f"p{k}" for k in range(60)), "a line of a few words"
+    own = lambda d: " ".join(f"own{d}x{k}" for k in range(200))
+    docs = spark.createDataFrame([(d, f"{own(d)}\n{passage}\n{short}", "en", None, 0, 0.5, "k", 1) for d in (1, 2, 3)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("line dedup", "n-gram Jaccard join"):
+            docs = stage(spark, docs, SF)
+    want = [(1, f"{own(1)}\n{passage}\n{short}"), *((d, f"{own(d)}\n{short}") for d in (2, 3))]
+    assert rows(docs) == want
+    assert all(r.n_chars == len(r.text) for r in docs.collect())

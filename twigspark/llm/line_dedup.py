@@ -10,7 +10,7 @@ decided from that partition's own count plus the counts that the few partitions
 Rules: `drop="all"` drops every line whose key at least `min_docs` documents hold; `drop="later"` leaves
 the first of them, by document and position.
 
-Defined cases: a null or empty text is one empty line; a key of under `min_chars` code points is never dropped;
+Defined cases: a null or empty text is one empty line; a key of under `min_chars` code points or `min_words` words is never dropped;
 rows that repeat a doc_id are one document for counting, and each row loses the dropped positions of its own text (a text
 digest is part of the bitmap's key); a null doc_id counts as one document; texts are read whole; an empty
 table gives no bitmaps; other columns pass through `apply`, whatever their names.
@@ -37,7 +37,7 @@ OUT = pa.schema([("kind", pa.int32()), *SCHEMA, ("n_docs", pa.int64())])
 DROP, UNDECIDED, COUNT, FIRST = 0, 1, 2, 3
 
 
-def line_rows(min_chars: int):
+def line_rows(min_chars: int, min_words: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -49,7 +49,7 @@ def line_rows(min_chars: int):
                 n = len(lines)
                 for k, line in enumerate(lines):
                     key = line.strip(STRIPPED)
-                    if key and (min_chars <= 1 or len(key) >= min_chars and len(key.decode()) >= min_chars):
+                    if key and (min_chars <= 1 or len(key) >= min_chars and len(key.decode()) >= min_chars) and (not min_words or len(key.split()) >= min_words):
                         h = xxhash.xxh3_128_intdigest(key)
                         lo.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
                         hi.append((h >> 64) - (1 << 63))
@@ -153,11 +153,11 @@ def digested(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: str = "all", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: str = "all", doc_id: str = "doc_id", text: str = "text", min_words: int = 0) -> DataFrame:
     """(doc_id, digest, n_lines, keep): a row per document and text that loses lines; keep is the zlib-compressed bitmap of kept lines. All others keep all."""
     later = {"all": False, "later": True}[drop]
     parts = int(small_batches(docs).sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = digested(docs, doc_id, text).mapInArrow(line_rows(min_chars), ROW)
+    rows = digested(docs, doc_id, text).mapInArrow(line_rows(min_chars, min_words), ROW)
     rows = rows.repartitionByRange(parts, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos", "digest")
     said = cut(rows.mapInArrow(streamed(min_docs, later), f"kind int, {ROW}, n_docs long"))
     key = ["h1", "h2"]
@@ -205,9 +205,9 @@ def report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame
     return both.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def apply(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: str = "later") -> DataFrame:
+def apply(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: str = "later", min_words: int = 0) -> DataFrame:
     """docs with the dropped lines taken out of text (and n_chars counted anew, where there is such a column); a document that had words and loses them all goes."""
-    both = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, drop))
+    both = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, drop, min_words=min_words))
 
     @F.pandas_udf("string")
     def stripped(text, keep):
