@@ -58,3 +58,12 @@ def test_branches_merge_only_if_alike():
 
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).collect() == []
+
+
+def test_rules_do_not_spread_to_other_branches(spark):
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    for n, hidden in ((40, 0), (120, 0), (40, 7)):  # pages under /en/, below and above the share of a literal
+        urls = [f"http://x.com/{word(k)}/{k}" for k in range(2000 - n)] + [f"http://x.com/en/{k}" for k in range(n)]
+        rule = "x.com/en/" if not hidden else "x.com/en/7"
+        got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", rule)]).collect()
+        assert {r.page_id for r in got if r.verdict == "block"} == {k for k, u in enumerate(urls) if u.startswith("http://" + rule)}

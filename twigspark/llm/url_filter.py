@@ -1,10 +1,10 @@
 """URL filters: written rules first, then a tree of path templates per host.
 
 A rule (verdict, "host/path") fits its host and all subdomains where the path starts with the rule's; the longest fitting rule decides.
-All other URLs are judged by their template. Per host, a path segment that enough of the host's URLs share at its depth stays literal, all
-others become a wildcard of their shape; the resulting tree of templates is small whatever the number of URLs. Sibling
+All other URLs are judged by their template. Per host, a path segment that enough of the host's URLs share at its depth, or that a rule for
+the host names, stays literal, all others become a wildcard of their shape; the resulting tree of templates is small whatever the number of URLs. Sibling
 branches whose subtrees are distributed alike and whose labels don't differ are merged. A template is rejected if its
-share of bad among labelled URLs, smoothed towards one half, is high; URLs are labelled by the rules that fit them and by
+share of bad among labelled URLs, smoothed towards one half, is high and enough of its URLs are labelled; URLs are labelled by the rules that fit them and by
 an optional table of labels.
 
 Only counts are grouped by host: rows of a host with a third of all URLs are counted by partial aggregation, and the
@@ -136,9 +136,9 @@ def merged(node: Node) -> None:
 
 
 def judged(node: Node, weight: float, prefix: str = "") -> list[tuple]:
-    """(key, template, purity) of every leaf."""
+    """(key, template, purity, labelled share) of every leaf."""
     purity = (node.bad + weight / 2) / (node.bad + node.good + weight)
-    out = [(k, prefix or "/", purity) for k in node.leaves]
+    out = [(k, prefix or "/", purity, (node.bad + node.good) / max(node.n, 1)) for k in node.leaves]
     for k, c in node.children.items():
         out += judged(c, weight, f"{prefix}/{k}")
     return out
@@ -152,15 +152,15 @@ def _host_tree(weight: float, key, table):
         root.add(parts, tuple(parts), int(n), int(bad), int(good))
     merged(root)
     rows = judged(root, weight)
-    return pd.DataFrame({"host": [key[0]] * len(rows), "parts": [list(r[0]) for r in rows], "template": [r[1] for r in rows], "purity": [r[2] for r in rows]})
+    return pd.DataFrame({"host": [key[0]] * len(rows), "parts": [list(r[0]) for r in rows], "template": [r[1] for r in rows], "purity": [r[2] for r in rows], "labelled": [r[3] for r in rows]})
 
 
 def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, share: float = 0.05, support: int = 20, weight: float = 4.0, reject: float = 0.9, depth: int = 8, url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict, template, purity. labels: (url, bad 0/1), further labelled URLs."""
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, share: float = 0.05, support: int = 20, weight: float = 4.0, reject: float = 0.9, depth: int = 8, url: str = "url", page_id: str = "page_id", labelled: float = 0.25) -> DataFrame:
+    """Per row: page_id, host, path, rule, verdict, template, purity. labels: (url, bad 0/1), further labelled URLs. A template is rejected only if at least the share `labelled` of its URLs is."""
     u = F.col(f"`{url}`")
     p = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
     p = p.withColumn("rule", first_fit(rules, F.col("host"), F.col("path"), lambda v, r: r)).withColumn("by_rule", first_fit(rules, F.col("host"), F.col("path"), lambda v, r: v))
@@ -174,13 +174,22 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
     literal = at.join(total, ["host", "level"]).where((F.col("count") >= support) & (F.col("count") >= share * F.col("total")) & (F.col("segment") != ""))
     literal = sized(cut(literal.groupBy("host").agg(F.collect_set(F.concat_ws("/", "level", "segment")).alias("literal"))), 512)
 
+    named = [(rule.partition("/")[0], level, s) for _, rule in rules for level, s in enumerate(rule.partition("/")[2].split("/")[:-1]) if s and level < depth - 1]
+
+    def by_rule(s: Column, i: Column) -> Column:
+        """Whether a rule that may fit the host names the segment."""
+        host, out = F.col("host"), F.lit(False)
+        for name, level, segment in dict.fromkeys(named):
+            out = out | ((i == level) & (s == segment) & ((host == name) | host.endswith("." + name)))
+        return out
+
     def generalised(df: DataFrame) -> DataFrame:
         kept = lambda s, i: F.array_contains(F.coalesce("literal", F.array().cast("array<string>")), F.concat_ws("/", i, s))
         last = lambda s, i: F.when(s.contains("/"), F.lit("{*}")).otherwise(shape(s))
-        return df.join(literal, "host", "left").withColumn("parts", F.transform("parts", lambda s, i: F.when(kept(s, i), s).otherwise(last(s, i)))).drop("literal")
+        return df.join(literal, "host", "left").withColumn("parts", F.transform("parts", lambda s, i: F.when(kept(s, i) | by_rule(s, i), s).otherwise(last(s, i)))).drop("literal")
 
     counted = generalised(known).groupBy("host", "parts").agg(F.count("*").alias("n"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
-    trees = counted.groupBy("host").applyInPandas(partial(_host_tree, weight), "host string, parts array<string>, template string, purity double")
+    trees = counted.groupBy("host").applyInPandas(partial(_host_tree, weight), "host string, parts array<string>, template string, purity double, labelled double")
     out = generalised(p).join(sized(cut(trees), 256), ["host", "parts"], "left")
-    verdict = F.coalesce("by_rule", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
+    verdict = F.coalesce("by_rule", F.when((F.col("purity") >= reject) & (F.col("labelled") >= labelled), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
