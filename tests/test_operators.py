@@ -247,3 +247,23 @@ def test_repartitioning_changes_nothing(spark, sf):
     b = shoots.first_form(f.repartition(7), p.repartition(5), 6.0)[1].collect()
     told = lambda rows: sorted((r.image_id, r.id, r.shoot_id, r.branch_id, round(r.confidence, 9)) for r in rows)
     assert told(a) == told(b)
+
+
+def test_sinkhorn_converges():
+    from twigspark.operators import transport
+
+    def by_logs(a, b, d, reg, rounds=20_000):
+        """The same plan by dual potentials, with many rounds."""
+        top = lambda m, axis: m.max(axis=axis) + np.log(np.exp(m - m.max(axis=axis, keepdims=True)).sum(axis=axis))
+        a, b, g = np.log(a / a.sum()), np.log(b / b.sum()), np.zeros(len(b))
+        for _ in range(rounds):
+            f = a - top(g[None] - d / reg, 1)
+            g = b - top(f[:, None] - d / reg, 0)
+        return float((np.exp(f[:, None] + g[None] - d / reg) * d).sum())
+
+    r = np.random.default_rng(3)
+    xy, a, b = r.uniform(0, 100, (12, 2)), r.uniform(0.1, 1, 12), r.uniform(0.1, 1, 12)
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    reg = 0.05 * float(np.median(d[d > 0]))
+    assert abs(transport.sinkhorn(a, b, d, reg, 5) - by_logs(a, b, d, reg)) < 1e-6
+    assert abs(transport.sinkhorn(a, b, d, reg) - by_logs(a, b, d, reg)) < 1e-6

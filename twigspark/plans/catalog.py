@@ -587,7 +587,7 @@ def subsample_nodes(spark, sf):
 @query()
 def sinkhorn_similarity(spark, sf):
     p = spaces.labelled(spark, sf)[1]
-    return transport.transport_similarity(_heat(spark, sf), _heat(spark, sf, "id % 2 = 0"), p, 60.0, 40.0, 100)
+    return transport.transport_similarity(_heat(spark, sf), _heat(spark, sf, "id % 2 = 0"), p, 60.0, 40.0)
 
 
 # L-System and shoots
