@@ -114,10 +114,17 @@ def test_pixel_classes(spark):
     assert sorted(got) == ["body"] * 3 + ["endpoint"] * 2
 
 
-def test_components(spark):
-    e = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 101), (101, 102)], "a long, b long")
-    got = {r.node: r.root for r in components(e).collect()}
-    assert got == {k: 0 for k in range(21)} | {100: 100, 101: 100, 102: 100}
+@pytest.mark.parametrize("few", [0, 5, 100_000])
+def test_components(spark, monkeypatch, few):
+    """By rounds alone, by rounds and one task, by one task; over plain, struct and repeated edges."""
+    monkeypatch.setattr("twigspark.operators.components.FEW", few)
+    edges = [(k, k + 1) for k in range(20)] + [(100, 101), (101, 102), (102, 101), (7, 7)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    want = {k: 0 for k in range(21)} | {100: 100, 101: 100, 102: 100}
+    assert {r.node: r.root for r in components(e).collect()} == want
+    s = e.selectExpr("struct(struct(1 as image_id) as image_id, a as id) a", "struct(struct(1 as image_id) as image_id, b as id) b")
+    assert {r.node.id: r.root.id for r in components(s).collect()} == want
+    assert components(e.limit(0)).collect() == []
 
 
 def test_lsystem(spark):
