@@ -47,8 +47,11 @@ def made(seed, n=260):
     return [*rows, (n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "one"), (n + 4, "ONE"), (n + 5, rows[0][1]), (n + 6, rows[0][1]), (n + 7, "É é"), (n + 8, "É É")]
 
 
-@pytest.mark.parametrize(("seed", "words", "num", "hot", "block"), [(1, 4, 85, 48, 1024), (2, 5, 80, 3, 7), (3, 4, 85, 2, 16)])
-def test_matches_brute_force(spark, monkeypatch, seed, words, num, hot, block):
+@pytest.mark.parametrize(("seed", "words", "num", "hot", "block", "small"), [(1, 4, 85, 48, 1024, 8 << 20), (2, 5, 80, 3, 7, 0), (3, 4, 85, 2, 16, 0)])
+def test_matches_brute_force(spark, monkeypatch, seed, words, num, hot, block, small):
+    """small = 0: no side of a join is broadcast for its size, and sets with many copies are looked up apart."""
+    monkeypatch.setattr(J, "BROADCAST_BYTES", small)
+    monkeypatch.setattr(J, "HOT_SETS", 100)
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "HOT", hot)
     rows = made(seed)

@@ -37,6 +37,8 @@ from .common import BROADCAST_BYTES, cut, release, small_batches
 
 #: Members of a token's run that are paired one by one; longer runs go through a star.
 HOT = 48
+#: Sets of shingles at most that are known for their many copies; they are broadcast.
+HOT_SETS = 100_000
 #: Documents of a block, and shingles at most on average.
 BLOCK, BLOCK_SHINGLES = 1024, 1_500_000
 ORDERS = 3
@@ -302,7 +304,7 @@ def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
 
 
 def linked_sets(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per row of docs its set of shingles (doc_id, digest, n, s1, s2); each set's smallest doc_id; and the sets with a similar one, by component (s1, s2, root)."""
+    """Per row of docs its set of shingles (doc_id, digest, n, s1, s2); each set's smallest doc_id and its copies; and the sets with a similar one, by component (s1, s2, root)."""
     sc, conf = small_batches(docs).sparkSession.sparkContext, docs.sparkSession.conf
     parts = int(conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -316,26 +318,46 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "
     node = lambda x: F.struct(F.col(f"{x}1").alias("s1"), F.col(f"{x}2").alias("s2")).alias(x)
     near = pairs.where(F.col("star") | (F.col("count") + F.greatest(rest("na"), rest("nb")) >= F.expr(need)))
     clusters = components(near.select(node("a"), node("b"))).select("node.s1", "node.s2", F.col("root.s1").alias("g1"), F.col("root.s2").alias("g2"))
-    own = nodes.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"))
-    members = clusters.join(own, ["s1", "s2"])
-    held = members.groupBy("g1", "g2").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = cut(members.join(held, ["g1", "g2"]).select("g1", "g2", "s1", "s2", F.col("doc_id").alias("__d"), "blocks"))
-    dealt = d.join(sized(members, 64), F.col("doc_id").eqNullSafe(F.col("__d")))
+    own = cut(nodes.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    members = cut(own.join(sized(clusters, 48), ["s1", "s2"]))
+    held = members.groupBy("g1", "g2").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    members = members.join(sized(cut(held), 32), ["g1", "g2"], "left").select("g1", "g2", "s1", "s2", F.col("doc_id").alias("__d"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    dealt = d.join(sized(cut(members), 64), F.col("doc_id").eqNullSafe(F.col("__d")))
     dealt = dealt.withColumn("b", F.pmod("s1", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("g1", "g2", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s1", "s2", "text")
     dealt = dealt.repartition(parts, "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j", "s1", "s2")
     links = dealt.mapInArrow(partial(_verified, words, num, den, shared), "a1 long, a2 long, b1 long, b2 long")
-    return nodes, own, components(links.select(node("a"), node("b"))).select("node.s1", "node.s2", "root")
+    linked = components(links.select(node("a"), node("b"))).select("node.s1", "node.s2", "root")
+    shared.destroy()  # components are checkpointed: nothing reads the sketch again
+    return nodes, own, linked
+
+
+def labelled(nodes: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """nodes with component_id: that of their set in found (s1, s2, copies, component_id), else their own doc_id.
+
+    If found measures more than BROADCAST_BYTES, sets with very many copies, of which there are at most HOT_SETS, are looked up apart, so that no task gets all
+    copies of a text, and nodes without shingles in no join at all.
+    """
+    own = F.col("doc_id").alias("own")
+    if found.count() * 40 <= BROADCAST_BYTES:
+        out = nodes.join(F.broadcast(found.drop("copies")), ["s1", "s2"], "left")
+        return out.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component_id", own)).otherwise(own))
+    many = F.col("copies") > max(1, rows // HOT_SETS)
+    hot, rest = F.broadcast(found.where(many).drop("copies")), found.where(~many).drop("copies").hint("shuffle_hash")
+    full = nodes.where("n > 0")
+    apart = full.join(hot, ["s1", "s2"])
+    others = full.join(hot, ["s1", "s2"], "left_anti").join(rest, ["s1", "s2"], "left").withColumn("component_id", F.coalesce("component_id", own))
+    return apart.unionByName(others).unionByName(nodes.where("n = 0").withColumn("component_id", own))
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over pairs with Jaccard similarity of num / den or more)."""
     nodes, own, linked = linked_sets(docs, words, num, den, doc_id, text)
-    least = linked.join(own, ["s1", "s2"]).groupBy("root").agg(F.min("doc_id").alias("least"))
-    linked = linked.join(least, "root").select("s1", "s2", "least")
-    found = own.join(linked, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("least", "doc_id").alias("component_id"))
-    out = nodes.join(found, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    at = own.join(sized(linked, 32), ["s1", "s2"], "left").select("s1", "s2", "copies", "doc_id", "root")
+    least = at.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
+    found = at.join(sized(cut(least), 24), "root", "left").where("least is not null or copies > 1")
+    found = cut(found.select("s1", "s2", "copies", F.coalesce("least", "doc_id").alias("component_id")))
+    return labelled(nodes, found, nodes.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -344,9 +366,9 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Rows are told apart by doc_id and text, so a doc_id may come with several texts; of rows that repeat both, the first by their other columns stays.
     """
     nodes, _, linked = linked_sets(docs, words, num, den)
-    rows = nodes.where("n > 0").groupBy("doc_id", "digest", "s1", "s2").count()
+    rows = cut(nodes.where("n > 0").groupBy("doc_id", "digest", "s1", "s2").count())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
-    sets = rows.groupBy("s1", "s2").agg(first).join(linked, ["s1", "s2"], "left")
+    sets = rows.groupBy("s1", "s2").agg(first).join(sized(linked, 32), ["s1", "s2"], "left")
     kept = sets.groupBy(F.coalesce("root", F.struct("s1", "s2")).alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.digest").alias("__g"))
     is_kept = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("digest") == F.col("__g"))
     named_rows = rows.select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g"), "count")
