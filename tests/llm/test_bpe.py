@@ -45,3 +45,21 @@ def test_frames(spark, library):
         sha = lambda b: hashlib.sha256(b).hexdigest()
         assert tuple(r)[1:] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((TEXTS[r.doc_id] or "").encode()))
     assert bpe.report(df.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_vocabularies_of_one_size_are_told_apart(spark, ranks, tmp_path):
+    """Two that differ in the ranks of two late tokens alone, one after the other in the same worker."""
+    import base64
+
+    a, b = [k for k, v in ranks.items() if v >= 40_000 and k.isalpha()][:2]
+    other = ranks | {a: ranks[b], b: ranks[a]}
+    path = tmp_path / "other.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % v for k, v in other.items()))
+    df = spark.createDataFrame([(1, a.decode(), 0)], "doc_id long, text string, x int").coalesce(1)
+    assert [bpe.encode(df, p, P.PATTERN).first().ids for p in (PATH, str(path), PATH)] == [[ranks[a]], [ranks[b]], [ranks[a]]]
+
+
+def test_decoding_joins_halves(ranks):
+    e = bpe.TextEncoder(ranks, P.PATTERN)
+    for text in ("", "a", "é日本 " * 3000, "x y " * bpe.LEAF_IDS):
+        assert e.decode(e.ids(text)) == text.encode()

@@ -9,8 +9,8 @@ the tokens at its rim and those outside are stable pairs, which proves that noth
 
 Text is cut by the pre-tokenizing pattern first. A single space before a non-space always begins a match of
 that pattern and no earlier match reaches past it, so text is cut there and the tokens of each cut
-are looked up in a bounded table; what isn't there goes through the pattern and the tree. Decoding
-looks up tokens and concatenates blocks up the tree.
+are looked up in a bounded table; what isn't there goes through the pattern and, where a match is no token, the tree. At a cut nothing can
+merge, so joins above the pieces are plain concatenation. Decoding halves the ids down to leaves of single look-ups and concatenates their bytes up the tree.
 
 Defined cases: null and empty texts have no ids; texts and pieces of any length are read whole (a piece of n bytes costs n log n);
 repeated rows are encoded row by row; an empty table gives an empty table; other columns aren't touched.
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import held, small_batches
 
-#: Pieces of up to this many bytes are the leaves of the tree.
-LEAF = 16
+#: Pieces of up to this many bytes are the leaves of the tree; ids of up to so many those of decoding's.
+LEAF, LEAF_IDS = 4, 512
 #: Entries of a worker's lookup tables; beyond, a table starts anew.
 TABLE = 400_000
 #: Longer cuts aren't kept in the table.
 KEPT_CHARS = 48
-#: Ids handled at once when a text is digested or decoded.
+#: Ids handled at once when a text is digested.
 BLOCK = 1 << 16
 
 
@@ -46,6 +46,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
+def digest_of(ranks: dict[bytes, int]) -> str:
+    """Tells a whole vocabulary from any other."""
+    h = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        h.update(b"%d:%d:" % (rank, len(token)) + token)
+    return h.hexdigest()
+
+
 class Merger:
     """BPE of one piece."""
 
@@ -179,32 +187,31 @@ class TextEncoder:
         return np.frombuffer(self._plain(cuts[0]) + b"".join(map(self.cuts.__getitem__, cuts[1:])), self.dtype)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.blocks(ids))
-
-    def blocks(self, ids: np.ndarray) -> Iterator[bytes]:
-        for k in range(0, len(ids), BLOCK):
-            yield b"".join(map(self.bytes.__getitem__, ids[k : k + BLOCK].tolist()))
+        """The bytes of ids: halves are decoded recursively and joined; joining byte strings needs no window."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids; SHA-256 of the decimal ids joined by spaces; SHA-256 of the decoded bytes."""
         ids = self.ids(text)
-        names, back = hashlib.sha256(), hashlib.sha256()
+        names = hashlib.sha256()
         for k in range(0, len(ids), BLOCK):
-            part = ids[k : k + BLOCK].tolist()
-            names.update((" " if k else "").encode() + " ".join(map(self.names.__getitem__, part)).encode())
-            back.update(b"".join(map(self.bytes.__getitem__, part)))
-        return len(ids), names.hexdigest(), back.hexdigest()
+            names.update((" " if k else "").encode() + " ".join(map(self.names.__getitem__, ids[k : k + BLOCK].tolist())).encode())
+        return len(ids), names.hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 def _encoder(shared) -> TextEncoder:
     """One per worker process: the tables outlive a task."""
-    ranks, pattern = shared.value
-    return held(("bpe", len(ranks), pattern, hash(frozenset(list(ranks.items())[:100]))), lambda: TextEncoder(ranks, pattern))
+    ranks, pattern, digest = shared.value
+    return held(("bpe", digest, pattern), lambda: TextEncoder(ranks, pattern))
 
 
 def _shared(docs: DataFrame, path: str, pattern: str):
     """The ranks, read by the driver and broadcast: the size of a vocabulary, not of the data."""
-    return small_batches(docs).sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
+    ranks = read_ranks(path)
+    return small_batches(docs).sparkSession.sparkContext.broadcast((ranks, pattern, digest_of(ranks)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
