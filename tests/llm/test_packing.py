@@ -23,8 +23,7 @@ def test_hilbert_steps_to_neighbours():
 
 def test_ids_equal_the_tokenizer():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    e, r = packing.encoder(packing.read_vocabulary(PATH), P.PATTERN), random.Random(4)
+    e, r = packing.Splitter(packing.encoder(packing.read_vocabulary(PATH), P.PATTERN), packing.read_added(PATH)), random.Random(4)
     chars = [chr(c) for c in range(0x500)] + [" "] * 900 + ["\n"] * 300 + ["a", "b", "'s"] * 100
     for x in ["<|endoftext|> a", "  a", "", *("".join(r.choices(chars, k=r.randint(0, 20))) for _ in range(2000))]:
         assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
@@ -33,7 +32,6 @@ def test_ids_equal_the_tokenizer():
 @pytest.mark.parametrize("parts", ["1", "5"])
 def test_pieces(spark, parts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").toPandas()
     rows = [*df.itertuples(index=False, name=None), (900, None), (901, ""), (902, "word " * 5000), (3, df.text[3]), (None, "x")]
     spark.conf.set("spark.sql.shuffle.partitions", parts)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .bpe import digest_of
 from .common import held, release, small_batches
 
 DIMENSIONS, BITS = 4, 10
@@ -119,7 +120,8 @@ class Splitter:
 TABLE = 120_000
 
 
-def encoder(ranks: dict[bytes, int], pattern: str):
+def encoder(ranks: dict[bytes, int], pattern: str, digest: str | None = None):
+    """One per worker process and vocabulary, which its digest names."""
     import tiktoken
 
     from .bpe import TextEncoder
@@ -128,7 +130,7 @@ def encoder(ranks: dict[bytes, int], pattern: str):
         plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         return TextEncoder(ranks, pattern, encode_text=plain, table=TABLE)
 
-    return held(("packing", len(ranks), pattern), make)
+    return held(("packing", digest or digest_of(ranks), pattern), make)
 
 
 def powers(n: int) -> list[int]:
@@ -174,8 +176,8 @@ class Packer:
 def _packed(size: int, end_id: int, with_ids: bool, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    ranks, pattern, added = shared.value
-    e = Splitter(encoder(ranks, pattern), added)
+    ranks, pattern, added, digest = shared.value
+    e = Splitter(encoder(ranks, pattern, digest), added)
     packer = Packer(size, TaskContext.get().partitionId() << 40)
     end = np.array([end_id], e.dtype)
     types = [pa.int64()] * 7
@@ -202,7 +204,8 @@ def _packed(size: int, end_id: int, with_ids: bool, shared, batches: Iterator[pa
 def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     spark = small_batches(docs).sparkSession
-    shared = spark.sparkContext.broadcast((read_vocabulary(path), pattern, read_added(path)))
+    ranks = read_vocabulary(path)
+    shared = spark.sparkContext.broadcast((ranks, pattern, read_added(path), digest_of(ranks)))
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = d.mapInArrow(_keyed, "doc_id long, text string, key long").repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
