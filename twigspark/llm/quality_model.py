@@ -2,8 +2,8 @@
 
 A document is a bag of passages; only the document has a label. Each passage (its hashed words and some measures of its characters) is
 encoded by one layer; gated attention, softmax(w . (tanh(V h) * sigmoid(U h))) over the document's passages, weighs the encodings, and
-a logistic layer scores the weighted sum. All weights are learned together, by gradients through the attention, on the driver from a bounded
-sample of labelled rows; scoring reads every passage of every text on the executors.
+a logistic layer scores the weighted sum. All weights are learned together, by gradients through the attention, in one task from a bounded
+sample of labelled rows, the first by a hash of their ids; scoring reads every passage of every text.
 
 Defined cases: a null or empty text is one passage without words and is scored like any other; texts are scored whole; rows that repeat
 a doc_id are scored row by row; labels other than 0 and 1, null ones and rows without a document don't take part; without both labels in the sample every
@@ -12,6 +12,7 @@ score is the share of label 1 (0.5 if there are none); an empty table gives an e
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import release, small_batches
 
-#: Most labelled rows that training reads, and the longest text among them: together they bound the driver's memory.
+#: Most labelled rows that training reads, and the longest text among them: together they bound the training task's memory.
 TRAINING_ROWS, TRAINING_CHARS = 4000, 1 << 16
 PASSAGE_WORDS = 48
 BUCKETS = 512
@@ -116,33 +117,53 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.
     return float(loss), {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
 
 
+class Bags:
+    """Passage features of texts: word counts as (place, value) of what isn't zero, since most are."""
+
+    def __init__(self, texts: pa.Array):
+        sizes, counts, at, value, measures = [], [], [], [], []
+        for _, first, chunks in passages(texts):
+            sizes.append(np.diff(first))
+            for c in chunks:
+                x = features(c)
+                row, column = np.nonzero(x[:, :BUCKETS])
+                counts.append(np.bincount(row, minlength=len(x)))
+                at.append(column.astype("u2")), value.append(x[row, column]), measures.append(x[:, BUCKETS:].copy())
+        self.first = np.r_[0, np.cumsum(np.concatenate(sizes))]
+        self.start = np.r_[0, np.cumsum(np.concatenate(counts))]
+        self.at, self.value, self.measures = np.concatenate(at), np.concatenate(value), np.concatenate(measures)
+
+    def dense(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passages, BUCKETS + MEASURES) of these texts, and where each begins."""
+        first = np.r_[0, np.cumsum(self.first[texts + 1] - self.first[texts])]
+        x = np.zeros((first[-1], BUCKETS + MEASURES), "f4")
+        for row, a, b in zip(first[:-1], self.first[texts], self.first[texts + 1], strict=True):
+            lo, hi = self.start[a], self.start[b]
+            x[row + np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1])), self.at[lo:hi]] = self.value[lo:hi]
+            x[row : row + b - a, BUCKETS:] = self.measures[a:b]
+        return x, first
+
+
 def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Model:
     """Adam over shuffled batches of documents."""
     y = np.asarray(labels, "f4")
     width = BUCKETS + MEASURES
     if not len(y) or y.min() == y.max():
         return Model(None, float(y.mean()) if len(y) else 0.5, np.zeros(width, "f4"), np.ones(width, "f4"))
-    bags: list[np.ndarray] = []
-    for _, first, chunks in passages(pa.array(texts, pa.string())):
-        x = np.concatenate([features(c) for c in chunks])
-        bags += [x[a:b].copy() for a, b in zip(first[:-1], first[1:], strict=True)]
-    seen = np.concatenate([b[:, BUCKETS:] for b in bags])
+    bags = Bags(pa.array(texts, pa.string()))
     middle, spread = np.zeros(width, "f4"), np.ones(width, "f4")
-    middle[BUCKETS:], spread[BUCKETS:] = seen.mean(axis=0), seen.std(axis=0) + 1e-3
-    for b in bags:
-        b -= middle
-        b /= spread
+    middle[BUCKETS:], spread[BUCKETS:] = bags.measures.mean(axis=0), bags.measures.std(axis=0) + 1e-3
+    bags.measures = (bags.measures - middle[BUCKETS:]) / spread[BUCKETS:]
     r = np.random.default_rng(seed)
     normal = lambda *s: (r.normal(size=s) / np.sqrt(s[0])).astype("f4")
     w = {"W": normal(width, HIDDEN), "b": np.zeros(HIDDEN, "f4"), "V": normal(HIDDEN, GATE), "U": normal(HIDDEN, GATE), "w": normal(GATE), "c": normal(HIDDEN), "d": np.zeros(1, "f4")}
     m, v, step = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2)), None, 0
     m, v = m
     for epoch in range(epochs):
-        order = r.permutation(len(bags))
+        order = r.permutation(len(y))
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
-            x = np.concatenate([bags[i] for i in at])
-            _, g = gradients(w, x, np.r_[0, np.cumsum([len(bags[i]) for i in at])], y[at], np.ones(len(at), "f4"))
+            _, g = gradients(w, *bags.dense(at), y[at], np.ones(len(at), "f4"))
             step += 1
             lr = rate * (1 - epoch / epochs) + 1e-4
             for n in w:
@@ -173,16 +194,27 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    texts, labels = [], []
+    for b in batches:
+        texts += b["text"].to_pylist()
+        labels += b["label"].to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(labels)))], pa.binary())], ["model"])
+    del texts
+    release()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, chars: int = TRAINING_CHARS) -> Model:
-    """A model from at most `rows` labelled documents that aren't held out, picked by a hash of doc_id."""
-    known = labels.where(F.col(f"`{label}`").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max(f"`{label}`").alias("__y")).persist()
+    """A model from at most `rows` labelled documents that aren't held out, the first by a hash of doc_id. One task reads them and only the weights come to the driver."""
+    known = labels.where(F.col(f"`{label}`").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max(f"`{label}`").alias("label"))
     share = min(1.0, 1.2 * rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # a bounded table, as rows is a bound
-    d = docs.select(F.col("doc_id"), F.col("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
-    found = d.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").limit(rows).collect()
-    known.unpersist()
-    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] for r in found], np.array([r["__y"] for r in found]))
+    order = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
+    picked = known.where(order < int(share * (1 << 30))).withColumn("order", order)  # a bounded table, as rows is a bound
+    d = small_batches(docs).select(F.col("doc_id"), F.col("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
+    found = d.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("order", "doc_id", "text", "label").orderBy("order", "doc_id", "text").limit(rows)
+    made = found.select("text", "label").coalesce(1).mapInArrow(_trained, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], np.empty(0))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
