@@ -64,3 +64,15 @@ def test_clean_prose_stays(spark):
 def test_empty_table_and_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert Q.report(df).collect() == [] and Q.keep(df).columns == df.columns and Q.keep(df).count() == 0
+
+
+def test_two_calls_agree(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = [[r.name for r in Q.ordered(df, Q.all_rules)] for _ in range(2)]
+    assert names[0] == names[1] and sorted(names[0]) == sorted(r.name for r in Q.all_rules(Q.parts_of(Q.whole("text"))))
+
+
+def test_kept_is_the_same_in_both_uses(spark):
+    """The pipeline's filter and the report, over odd texts, with clashing column names."""
+    df = spark.createDataFrame([(k, t, "k", 3) for k, t in enumerate(texts())], SCHEMA)
+    assert sorted(r.doc_id for r in Q.keep(df).collect()) == sorted(r.doc_id for r in Q.report(df).where("kept").collect())

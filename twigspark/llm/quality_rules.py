@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-Each rule is one boolean expression over the text, true where the document is rejected. On a bounded
-sample the cascade measures what each rule costs and how many documents it rejects, and orders the
-rules by rejections per second among the documents that earlier rules leave. The order changes the
+Each rule is one boolean expression, true where the document is rejected, over the text and what is measured of it once for all rules (words,
+lines, counts). On a bounded sample the cascade measures what each rule costs beyond that and how many documents it rejects, and orders the
+rules by rejections per second among the documents that earlier rules leave. A cost is the least of several warm runs beyond that of the cheapest
+rule, in powers of two of half that run, so that noise doesn't turn the order; rules that reject nothing more keep theirs. The order changes the
 speed only: a document is kept if no rule rejects it, so any order has the same result.
 
 Defined cases: a null or empty text has no words, so `too_few_words` rejects it; very long texts are
@@ -12,7 +13,9 @@ row; an empty table gives an empty table; other columns pass through, whatever t
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import let
 
 #: Rows of the sample from which costs and selectivities are estimated; it never affects which documents are kept.
-SAMPLE_ROWS = 1000
-#: Longer texts aren't sampled: the sample goes through the driver, and this bounds it.
-SAMPLE_CHARS = 1 << 16
+SAMPLE_ROWS = 400
+#: Longer texts aren't sampled: the sample goes through the driver, and this bounds it (to 7 million characters).
+SAMPLE_CHARS = 1 << 14
+#: Timed runs of each rule, after one that isn't timed.
+RUNS = 2
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -37,7 +42,7 @@ class Rule:
 
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return."""
-    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE_RUN), "")
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -61,24 +66,22 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """
 
     def covered(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
-            same = lambda a, b: s[a]["h"] == s[b]["h"]
-            n = F.size(s)
-            kept = F.filter(s, lambda x, j: ((j > 0) & same(F.greatest(j - 1, F.lit(0)), j)) | ((j < n - 1) & same(F.least(j + 1, n - 1), j)))
-            return F.array_sort(F.transform(kept, lambda x: x["i"]))
+            like = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+            kept = F.filter(s, lambda x, j: like(x, j - 1) | like(x, j + 1))
+            return F.sort_array(F.transform(kept, lambda x: x["i"]))
 
         def measured(at: Column) -> Column:
-            n = F.size(at)
-            gaps = F.transform(at, lambda x, j: F.when(j == n - 1, F.lit(window)).otherwise(F.least(F.lit(window), at[F.least(j + 1, n - 1)] - x)))
+            gaps = F.transform(at, lambda x, j: F.least(F.lit(window), F.coalesce(F.get(at, j + 1) - x, F.lit(window))))
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, g: acc + g)
 
         return let(let(pairs, starts), measured)
 
     def windows(hw: Column) -> Column:
         first = F.sequence(F.lit(0), F.size(hw) - window)
-        return F.transform(first, lambda i: F.xxhash64(*[hw[i + k] for k in range(window)]))
+        return F.transform(first, lambda i: F.xxhash64(*[F.get(hw, i + k) for k in range(window)]))
 
     def counted(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(hashes))
@@ -87,27 +90,45 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(let(let(hashed, windows), counted))
 
 
-def base_rules(text: Column) -> list[Rule]:
+@dataclass(frozen=True)
+class Parts:
+    """What rules ask of a text, each measured once."""
+
+    text: Column
+    words: Column
+    lines: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_repeat_words: Column
+
+
+def parts_of(text: Column, words: Column | None = None, lines: Column | None = None) -> Parts:
+    w, x = words_of(text) if words is None else words, worded_lines(text) if lines is None else lines
+    return Parts(text, w, x, F.size(w).cast("long"), F.length(F.array_join(w, "")).cast("long"), count_of(text, SYMBOLS), repeated_words(w))
+
+
+def base_rules(text: Column | Parts) -> list[Rule]:
     """The rules that decide base_failed."""
-    return [
-        Rule("too_few_words", F.size(words_of(text)) < 20),
-        Rule("repeated_windows", let(words_of(text), lambda w: 100 * repeated_words(w) > 30 * F.size(w))),
-    ]
+    p = text if isinstance(text, Parts) else parts_of(text)
+    return [Rule("too_few_words", p.n_words < 20), Rule("repeated_windows", 100 * p.n_repeat_words > 30 * p.n_words)]
 
 
-def further_rules(text: Column) -> list[Rule]:
+def further_rules(text: Column | Parts) -> list[Rule]:
     """Rules of published web-corpus filters, with thresholds that plain prose doesn't reach."""
-    n = lambda: F.size(words_of(text))
+    p = text if isinstance(text, Parts) else parts_of(text)
+    capitals, letters = count_of(p.text, "\\p{Lu}"), F.length(p.text) - F.length(F.regexp_replace(p.text, "\\p{L}+", ""))
+    chars = lambda x: F.length(F.array_join(x, ""))
     return [
-        Rule("symbols", let(n(), lambda k: 10 * count_of(text, SYMBOLS) > k)),
-        Rule("shouting", 2 * count_of(text, "\\p{Lu}") > count_of(text, "\\p{L}")),
-        Rule("exclaims", let(n(), lambda k: 5 * count_of(text, "!") > k)),
+        Rule("symbols", 10 * p.n_symbols > p.n_words),
+        Rule("shouting", 2 * capitals > letters),
+        Rule("exclaims", 5 * count_of(p.text, "!") > p.n_words),
         # By characters: a short line that opens and closes a text of three lines is a third of its lines, but little of it.
-        Rule("duplicate_lines", let(worded_lines(text), lambda x: let(F.length(F.array_join(x, "")), lambda c: 5 * (c - F.length(F.array_join(F.array_distinct(x), ""))) > c))),
-        Rule("word_length", let(words_of(text), lambda w: let(F.length(F.array_join(w, "")), lambda c: (c < 2 * F.size(w)) | (c > 20 * F.size(w))))),
-        Rule("few_letters", let(words_of(text), lambda w: 10 * F.size(F.filter(w, lambda x: x.rlike("\\p{L}"))) < 6 * F.size(w))),
-        Rule("ellipses", let(worded_lines(text), lambda x: 10 * F.size(F.filter(x, lambda y: y.rlike("(\\.\\.\\.|…)\\s*$"))) > 3 * F.size(x))),
-        Rule("bullets", let(worded_lines(text), lambda x: 10 * F.size(F.filter(x, lambda y: y.rlike("^\\s*[-*•●]\\s"))) > 9 * F.size(x))),
+        Rule("duplicate_lines", let(chars(p.lines), lambda c: 5 * (c - chars(F.array_distinct(p.lines))) > c)),
+        Rule("word_length", (p.word_chars < 2 * p.n_words) | (p.word_chars > 20 * p.n_words)),
+        Rule("few_letters", 10 * F.size(F.filter(p.words, lambda x: x.rlike("\\p{L}"))) < 6 * p.n_words),
+        Rule("ellipses", 10 * F.size(F.filter(p.lines, lambda y: y.rlike("(\\.\\.\\.|…)\\s*$"))) > 3 * F.size(p.lines)),
+        Rule("bullets", 10 * F.size(F.filter(p.lines, lambda y: y.rlike("^\\s*[-*•●]\\s"))) > 9 * F.size(p.lines)),
     ]
 
 
@@ -115,29 +136,42 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def ordered(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second on a sample of at most sample_rows rows, each measured among the rows that the rules before it leave."""
+def ordered(df: DataFrame, rules: list[Rule] | Callable[[Parts], list[Rule]], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """rules by rejections per second on a sample of at most sample_rows rows, each measured among the rows that the rules before it leave.
+
+    A function from Parts to rules gives rules that share what is measured of a text; that is cached with the sample, so a cost is the rule's own.
+    """
     # take() reads partitions only until it has enough rows; persist() of a limit would read them all.
     texts = df.select(F.col(f"`{text}`")).where(F.length(F.col(f"`{text}`")) <= SAMPLE_CHARS).sample(0.1, seed=7).take(sample_rows)
-    sample = df.sparkSession.createDataFrame(texts, f"`{text}` string").persist()
+    sample = df.sparkSession.createDataFrame(texts, f"`{text}` string").coalesce(1)
+    if callable(rules):
+        p = parts_of(whole(text), F.col("__w"), F.col("__l"))
+        sample = sample.withColumns({"__w": words_of(whole(text)), "__l": worded_lines(whole(text))}).withColumns({"__n": p.n_words, "__c": p.word_chars, "__s": p.n_symbols, "__r": p.n_repeat_words})
+        rules = rules(Parts(whole(text), *map(F.col, ("__w", "__l", "__n", "__c", "__s", "__r"))))
+    if not texts:
+        return rules
+    sample.persist()
     try:
-        total = sample.count()
-        if not total:
-            return rules
-        timed = lambda e: (time.perf_counter(), sample.agg(F.count_if(e)).collect(), time.perf_counter())
-        timed(F.lit(False))  # compiles and caches
-        a, _, b = timed(F.lit(False))
-        fixed, cost = b - a, {}
-        for r in rules:
-            a, _, b = timed(r.rejects)
-            cost[r.name] = max(b - a - fixed, 1e-3)
+
+        def timed(e: Column) -> float:
+            test, took = sample.agg(F.count_if(e)), []
+            for _ in range(1 + RUNS):
+                began = time.perf_counter()
+                test.collect()
+                took.append(time.perf_counter() - began)
+            return min(took[1:])
+
+        sample.count()
+        took = {r.name: timed(r.rejects) for r in rules}
+        least = min(took.values())
+        cost = {k: 2 ** round(math.log2(max(1, (t - least) / (least / 2)))) for k, t in took.items()}
         marks = [F.coalesce(r.rejects, F.lit(False)).alias(r.name) for r in rules]
         found = sample.select(*marks).groupBy(*[r.name for r in rules]).count().collect()
     finally:
         sample.unpersist()
     left, out, rows = list(rules), [], [(x.asDict(), x["count"]) for x in found]
     while left:
-        best = max(left, key=lambda r: (sum(n for x, n in rows if x[r.name]) / cost[r.name], -cost[r.name]))
+        best = max(left, key=lambda r: sum(n for x, n in rows if x[r.name]) / cost[r.name])
         rows = [(x, n) for x, n in rows if not x[best.name]]
         out.append(best)
         left.remove(best)
@@ -152,26 +186,33 @@ def cascade(rules: list[Rule]) -> Column:
     return passed
 
 
+def all_rules(p: Parts) -> list[Rule]:
+    return [*base_rules(p), *further_rules(p)]
+
+
+def named(rules: list[Rule], order: list[Rule]) -> list[Rule]:
+    """rules in the order of others of the same names."""
+    by = {r.name: r for r in rules}
+    return [by[r.name] for r in order]
+
+
 def keep(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
-    rules = rules or [*base_rules(whole(text)), *further_rules(whole(text))]
-    return docs.where(cascade(ordered(docs, rules, text, sample_rows)))
+    if rules:
+        return docs.where(cascade(ordered(docs, rules, text, sample_rows)))
+    order = ordered(docs, all_rules, text, sample_rows)
+    t = whole(text)
+    return docs.where(let(words_of(t), lambda w: let(worded_lines(t), lambda x: cascade(named(all_rules(parts_of(t, w, x)), order)))))
 
 
 def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    rules = ordered(docs, further_rules(whole(text)), text, sample_rows)
-    d = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("__t"))
+    order = ordered(docs, further_rules, text, sample_rows)
+    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), whole(text).alias("__t"))
     d = d.select("doc_id", "__t", words_of(F.col("__t")).alias("__w"), worded_lines(F.col("__t")).alias("__l"))
-    d = d.select(
-        "doc_id",
-        "__t",
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        count_of(F.col("__t"), SYMBOLS).alias("n_symbols"),
-        repeats(F.col("__l")).alias("n_dup_lines"),
-        repeated_words(F.col("__w")).alias("n_repeat_words"),
-    )
-    d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    verdict = cascade([Rule(r.name, x.rejects) for r in rules for x in further_rules(F.col("__t")) if x.name == r.name])
-    return d.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict)).drop("__t")
+    p = parts_of(F.col("__t"), F.col("__w"), F.col("__l"))
+    d = d.select("*", p.n_words.alias("n_words"), p.word_chars.alias("word_chars"), p.n_symbols.alias("n_symbols"), repeats(p.lines).alias("n_dup_lines"), p.n_repeat_words.alias("n_repeat_words"))
+    p = Parts(p.text, p.words, p.lines, *map(F.col, ("n_words", "word_chars", "n_symbols", "n_repeat_words")))
+    failed = base_rules(p)[0].rejects | base_rules(p)[1].rejects
+    d = d.withColumn("base_failed", failed)
+    return d.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(named(further_rules(p), order)))).drop("__t", "__w", "__l")
