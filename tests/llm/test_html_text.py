@@ -62,3 +62,39 @@ def test_odd_pages(spark, weights):
     assert got[1, None].text == "" == got[1, "u"].text and got[1, "u"].n_chars == 0
     assert got[2, "u"].text.count("story") == 5000
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string"), weights).collect() == []
+
+
+def test_time_follows_length():
+    """Markup on which a search for each tag's end, an element's end or an open element would look through the whole page again and again."""
+    import time
+
+    hard = ["<a ", "<a \"", "<a '\"", "<a<a", "<svg>", "<head>", "<b></i>", "<!x", "<a \"'>", "<script", "</b ", "<svg><svg></svg>"]
+    for part in hard:
+        took = []
+        for n in (100_000, 1_000_000):
+            began = time.process_time()
+            H.blocks(part * (n // len(part)))
+            took.append(time.process_time() - began)
+        assert took[1] < 15 and took[1] < 40 * max(took[0], 0.05), (part, took)
+
+
+def test_unclosed_and_nested_elements_lose_no_text():
+    for tag in ("svg", "math", "object", "canvas", "audio", "video", "template", "noscript"):
+        assert [b.text for b in H.blocks(f"<p>one</p><{tag}><p>two</p>")] == ["one", "two"]
+        assert [b.text for b in H.blocks(f"<p>one</p><{tag} x='>'>a<{tag}>b</{tag}>c</{tag}><p>two</p>")] == ["one", "two"]
+        assert [b.text for b in H.blocks(f"<p>one</p><{tag}/><p>two</p></{tag}>")] == ["one", "two"]
+    assert [b.text for b in H.blocks("<p>one <a href=\"x>two</a><p>three")] == ['one <a href="x>two', "three"]
+
+
+def test_long_pages_in_pieces(weights):
+    page = "".join(f"<p>a{k} of the story</p>" if k % 3 else f"<nav>b{k}</nav>" for k in range(700))
+    found = H.blocks(page)
+    whole = H.forward(weights, H.vectors([found]), [len(found)])
+    for size in (1, 64, 699, 700, 5000):
+        assert np.allclose(H.forward_in_pieces(weights, found, size), whole, atol=1e-4)
+
+
+def test_very_many_blocks(weights):
+    found = H.blocks("<p>a" * 100_000)
+    (keep,) = H.labelled(weights, [found])
+    assert len(found) == len(keep) == 100_000

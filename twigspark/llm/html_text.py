@@ -7,7 +7,9 @@ and blocks labelled as article are joined. The network is trained here, on the d
 `training_page` makes up: layouts of random structure and class names whose labels are known.
 
 Defined cases: null and empty html have an empty text; unclosed, misnested and cut-off markup is read as far as it goes; scripts, styles, comments,
-templates and the head are never text; pages are read whole, with any number of blocks; rows that repeat a page_id are read row by row; an
+templates, drawings and the head are never text, but of an element such as a drawing that is never closed only the tag is skipped; a "<" whose tag never ends is text, the
+last one of a page excepted; elements nested deeper than DEPTH don't count as containers; pages are read whole, with any number of blocks, in time proportional to their
+length: a page of more than CELLS blocks is read in pieces that hand on the network's state; rows that repeat a page_id are read row by row; an
 empty table gives an empty table; other columns aren't touched.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -36,12 +39,15 @@ CELLS = 1 << 15
 #: Elements that end the text before them and begin a block.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul label iframe ins".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-UNSEEN = frozenset("script style template noscript svg math head title object canvas audio video".split())
+#: Elements whose content is never text of the page: such as hold plain characters up to their end tag, and such as hold elements.
+RAW, UNSEEN = frozenset("script style title".split()), frozenset("template noscript svg math object canvas audio video".split())
+#: Open elements that are known at once.
+DEPTH = 512
 CLOSED_BY = {"p": BLOCK_TAGS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
 #: An implied end doesn't reach past these.
 BARRIERS = frozenset("ul ol dl table div section article main aside header footer nav body html form td th blockquote".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,63})")
+HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -60,8 +66,54 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join([tag, *words])
 
 
+class Page:
+    """A page's text, and where its tags and hidden elements end; each table is made once, by one pass, when it is first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.marks: list[int] | None = None
+        self.ends: list[int] = []
+        self.pairs: dict[str, dict[int, int]] = {}
+        self.headless = False
+
+    def tag_end(self, at: int) -> int:
+        """Where the > stands that ends a tag whose attributes begin at `at`, or -1. One in quotes doesn't end it, nor does an unpaired quote let it end."""
+        if self.marks is None:
+            self.marks = [m.start() for m in re.finditer("[>\"']", self.text)]
+            self.ends = [-1] * (len(self.marks) + 1)
+            later: dict[str, int] = {}
+            for k in range(len(self.marks) - 1, -1, -1):
+                c = self.text[self.marks[k]]
+                if c == ">":
+                    self.ends[k] = self.marks[k]
+                else:
+                    self.ends[k] = self.ends[later[c] + 1] if c in later else -1
+                    later[c] = k
+        return self.ends[bisect_left(self.marks, at)]
+
+    def element_end(self, tag: str, start: int) -> int | None:
+        """Where the element ends that the tag at start opens; None if it is never closed."""
+        if tag not in self.pairs:
+            found, open_at = {}, []
+            for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>", self.text, re.I):
+                if not m[1]:
+                    if not m[0].endswith("/>"):
+                        open_at.append(m.start())
+                elif open_at:
+                    found[open_at.pop()] = m.end()
+            self.pairs[tag] = found
+        return self.pairs[tag].get(start)
+
+    def head_end(self, at: int) -> int:
+        """After </head>, else before <body, else at."""
+        end = None if self.headless else HEAD_END.search(self.text, at)
+        self.headless = end is None
+        return end.end() if end else at
+
+
 def blocks(page: str | None) -> list[Block]:
     page = page or ""
+    whole = Page(page)
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
@@ -69,9 +121,9 @@ def blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         if text:
-            whole = " ".join(html.unescape("".join(text)).split())
-            if whole:
-                out.append(Block(whole, state["path"], min(state["linked"], len(whole))))
+            found = " ".join(html.unescape("".join(text)).split())
+            if found:
+                out.append(Block(found, state["path"], min(state["linked"], len(found))))
         text.clear()
         state["linked"], state["path"] = 0, None
 
@@ -88,19 +140,29 @@ def blocks(page: str | None) -> list[Block]:
             tag, _ = stack.pop()
             state["links"] -= tag == "a"
 
-    at = 0
-    while True:
-        m = TOKEN.search(page, at)
+    at = look = 0  # what is before `at` is read; a tag is looked for from `look` on
+    while (lt := page.find("<", look)) >= 0:
+        look = lt + 1
+        m = TAG.match(page, lt)
         if m is None:
-            # an unfinished tag at the end of a page that was cut off isn't text
-            rest = page[at:]
-            k = rest.rfind("<")
-            add(rest[:k] if k >= 0 and re.match(r"<[/!a-zA-Z]", rest[k:]) else rest)
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), lt):
+                end = page.find(">", lt) + 1
+                if not end:
+                    break  # nor does any tag end after it
+            else:
+                continue
+            add(page[at:lt])
+            at = look = end
             continue
+        end = whole.tag_end(m.end())
+        if end < 0:
+            continue
+        add(page[at:lt])
+        at = look = end + 1
+        closed = page[end - 1] == "/"
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK_TAGS:
@@ -112,9 +174,15 @@ def blocks(page: str | None) -> list[Block]:
                 if tag not in BLOCK_TAGS and stack[k][0] in BARRIERS:
                     break
             continue
-        if tag in UNSEEN and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, at)
-            at = end.end() if end else (at if tag == "head" else len(page))
+        if tag == "head" and not closed:
+            at = look = whole.head_end(at)
+            continue
+        if tag in RAW and not closed:
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = look = found.end() if found else len(page)
+            continue
+        if tag in UNSEEN:
+            at = look = whole.element_end(tag, lt) or at
             continue
         if tag in BLOCK_TAGS:
             flush()
@@ -126,9 +194,13 @@ def blocks(page: str | None) -> list[Block]:
                     break
         elif tag == "br":
             add(" ")
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _label(tag, m[3])))
+        if tag not in VOID and not closed and len(stack) < DEPTH:
+            stack.append((tag, _label(tag, page[m.end() : end])))
             state["links"] += tag == "a"
+    # an unfinished tag at the end of a page that was cut off isn't text
+    rest = page[at:]
+    k = rest.rfind("<")
+    add(rest[:k] if k >= 0 and re.match(r"<[/!a-zA-Z]", rest[k:]) else rest)
     flush()
     return out
 
@@ -152,8 +224,8 @@ def _path(path: str) -> tuple[np.ndarray, int, bool]:
     return found
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """(blocks, WIDTH) of all blocks of the pages, in order."""
+def vectors(pages: list[list[Block]], part: tuple[int, int] | None = None) -> np.ndarray:
+    """(blocks, WIDTH) of all blocks of the pages, in order. part: of a single page, given are the blocks from the first number on, of so many."""
     flat = [b for p in pages for b in p]
     x = np.zeros((len(flat), WIDTH), "f4")
     if not flat:
@@ -175,7 +247,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
         x[row : row + len(n), -MEASURES + 1] = np.diff(offsets) / size / 10
     k = np.arange(len(flat))
     of = [len(p) for p in pages]
-    place = np.concatenate([np.arange(n) / max(1, n - 1) for n in of]) if of else k
+    place = (part[0] + k) / max(1, part[1] - 1) if part else np.concatenate([np.arange(n) / max(1, n - 1) for n in of]) if of else k
     x[:, -MEASURES + 2] = [b.linked / len(b.text) for b in flat]
     x[:, -MEASURES + 3] = [b.text.count(",") / (1 + len(b.text) / 50) for b in flat]
     x[:, -MEASURES + 4] = [b.text[-1] in ".!?:\"”" for b in flat]
@@ -193,10 +265,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _scan(xw: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """One direction of the LSTM over (steps, pages, 4 * HIDDEN) of projected inputs."""
+def _scan(xw: np.ndarray, u: np.ndarray, keep: bool, state: list | None = None) -> tuple[np.ndarray, list]:
+    """One direction of the LSTM over (steps, pages, 4 * HIDDEN) of projected inputs. state: what the network holds before and, afterwards, after them."""
     steps, n, _ = xw.shape
-    h, c = np.zeros((n, HIDDEN), "f4"), np.zeros((n, HIDDEN), "f4")
+    h, c = state or (np.zeros((n, HIDDEN), "f4"), np.zeros((n, HIDDEN), "f4"))
     out, tape = np.empty((steps, n, HIDDEN), "f4"), []
     for t in range(steps):
         z = xw[t] + h @ u
@@ -210,6 +282,8 @@ def _scan(xw: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         out[t] = h
         if keep:
             tape.append((i, f, o, g, tc, *before))
+    if state is not None:
+        state[:] = h, c
     return out, tape
 
 
@@ -256,6 +330,22 @@ def forward(w: dict, x: np.ndarray, lengths: list[int], keep: bool = False):
     return (p, both, tapes, (ahead, back, mask)) if keep else p
 
 
+def forward_in_pieces(w: dict, page: list[Block], size: int) -> np.ndarray:
+    """The same for one long page. Of its blocks only what the first direction says is held; their vectors are made anew for the second."""
+    n, out, ahead = len(page), np.empty(len(page), "f4"), np.empty((len(page), HIDDEN), "f4")
+    zero = lambda: [np.zeros((1, HIDDEN), "f4"), np.zeros((1, HIDDEN), "f4")]
+    state = zero()
+    for k in range(0, n, size):
+        x = vectors([page[k : k + size]], (k, n))
+        ahead[k : k + size] = _scan((x @ w["Wf"] + w["zf"])[:, None], w["Uf"], False, state)[0][:, 0]
+    state = zero()
+    for k in range((n - 1) // size * size, -1, -size):
+        x = vectors([page[k : k + size]], (k, n))
+        back = _scan((x @ w["Wb"] + w["zb"])[::-1, None], w["Ub"], False, state)[0][::-1, 0]
+        out[k : k + size] = sigmoid(np.concatenate([ahead[k : k + size], back, x], axis=1) @ w["v"] + w["d"])
+    return out
+
+
 def gradients(w: dict, x: np.ndarray, lengths: list[int], y: np.ndarray) -> tuple[float, dict]:
     p, both, tapes, (ahead, back, mask) = forward(w, x, lengths, keep=True)
     loss = -(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean()
@@ -445,7 +535,7 @@ def labelled(w: dict, pages: list[list[Block]]) -> list[np.ndarray]:
             e += 1
         at = order[k:e]
         lengths = [len(pages[i]) for i in at]
-        p = forward(w, vectors([pages[i] for i in at]), lengths) >= 0.5
+        p = (forward_in_pieces(w, pages[at[0]], CELLS) if lengths[0] > CELLS else forward(w, vectors([pages[i] for i in at]), lengths)) >= 0.5
         for i, part in zip(at, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
             out[i] = part
         k = e
