@@ -190,8 +190,9 @@ def test_raster_kernels():
     assert not raster.pruned(spur, 6)[7, 15] and raster.pruned(spur, 3)[7, 15]
     gap = np.zeros((9, 20), bool)
     gap[4, 1:9] = gap[4, 10:19] = True
-    assert raster.repaired(gap)[4, 9]
-    assert raster.features(m)["area"] == 120
+    filled = raster.repaired(gap)  # all three pixels between the parts lie equally far along the last step: the first in row order
+    assert filled[3, 9] and raster.labelled(filled).max() == 1 and filled.sum() == gap.sum() + 1
+    assert raster.features(m)["area_share"] == 120 / m.size
 
 
 def test_tracing():
@@ -274,3 +275,110 @@ def test_sinkhorn_converges():
     reg = 0.05 * float(np.median(d[d > 0]))
     assert abs(transport.sinkhorn(a, b, d, reg, 5) - by_logs(a, b, d, reg)) < 1e-6
     assert abs(transport.sinkhorn(a, b, d, reg) - by_logs(a, b, d, reg)) < 1e-6
+
+
+def plain_labels(x, near):
+    """Components by a walk from pixel to pixel."""
+    out, n = np.zeros(x.shape, int), 0
+    for start in map(tuple, np.argwhere(x)):
+        if out[start]:
+            continue
+        n += 1
+        out[start], todo = n, [start]
+        while todo:
+            y, c = todo.pop()
+            for dy, dx in near:
+                q = (y + dy, c + dx)
+                if 0 <= q[0] < x.shape[0] and 0 <= q[1] < x.shape[1] and x[q] and not out[q]:
+                    out[q] = n
+                    todo.append(q)
+    return out
+
+
+def test_labels_equal_a_walk():
+    r = np.random.default_rng(3)
+    for share in (0.0, 0.3, 0.5, 0.8, 1.0):
+        x = r.random((23, 31)) < share
+        assert np.array_equal(raster.labelled(x), plain_labels(x, raster.AROUND))
+        assert np.array_equal(raster.labelled(x, four=True), plain_labels(x, raster.AROUND[::2]))
+
+
+def test_features_of_known_shapes():
+    m = np.zeros((60, 80), "u1")
+    m[10:50, 10:40] = 255  # 40 x 30 with a hole of 20 x 10 that holds a dot of 2 x 2
+    m[20:40, 20:30] = 0
+    m[28:30, 24:26] = 255
+    m[5, 60] = 255  # one pixel
+    m[20:30, 60:70] = 255
+    f = raster.features(m)
+    area = 40 * 30 - 20 * 10 + 4 + 1 + 100
+    assert f["area_share"] == area / m.size and f["components"] == 4
+    assert f["largest_share"] == (40 * 30 - 200) / area and f["small_components"] == 2 and f["medium_components"] == 1
+    assert f["outline_share"] == (2 * 39 + 2 * 29 + 4 * 9) / area  # neither the dot inside nor the border of the hole; one pixel has no length
+    assert (f["box_height"], f["box_width"], f["box_fill"]) == (44, 59, area / (44 * 59))
+    assert f["holes"] == 0  # one hole smaller than the foreground, less one
+    assert f["dist_max"] >= 5 and 0 < f["fine_share"] < 1
+    assert raster.features(np.zeros((4, 4), "u1")) == dict.fromkeys(raster.FEATURES, 0.0)
+    diagonal = np.eye(6, dtype="u1") * 255
+    assert raster.outline(diagonal > 0) == pytest.approx(2 * 5 * 2**0.5)
+
+
+def test_calibrator_and_tuner(spark):
+    rows = [(1, *[0.0] * 16), (2, *[1.0] * 16), (3, *[float(k) for k in range(16)])]
+    df = spark.createDataFrame(rows, "image_id long, " + ", ".join(f"{n} double" for n in raster.FEATURES))
+    got = {x.image_id: x for x in raster.calibrated(df).collect()}
+    for image, *x in rows:
+        for k, (start, w) in raster.MODELS.items():
+            assert got[image][k] == round(start + sum(a * b for a, b in zip(w, x, strict=True)))
+        assert {k: got[image][k] for k in raster.CONSENSUS} == raster.CONSENSUS
+    stored = spark.createDataFrame([(1, 3, 5, 2.5, 7, None)], "image_id long, close_k int, open_k int, thick_dist double, dilate_k int, min_branch int")
+    t = {x.image_id: tuple(x)[1:] for x in raster.tuned(df, stored).collect()}
+    assert t == {1: (3, 5, 2.5, 7, None), 2: tuple(raster.TUNER_DEFAULTS.values()), 3: tuple(raster.TUNER_DEFAULTS.values())}
+
+
+def test_gaps_follow_the_last_step():
+    x = np.zeros((9, 12), bool)
+    x[1, 1:5] = True  # the end at (1, 4) came from the left
+    x[1, 6:9] = True
+    out = raster.repaired(x)  # of the three pixels that go on by a whole step, the first in row order
+    assert out[0, 5] and out.sum() == x.sum() + 1
+
+
+def test_distinct_branches_keep_the_longer_in_place():
+    line = lambda a, b: {"pixels": [(k, 0) for k in range(a, b)]}
+    given = [line(0, 10), line(100, 105), line(0, 12), line(1, 11), line(200, 203)]
+    assert [b["pixels"][-1][0] for b in skeleton.distinct_branches(given)] == [11, 104, 202]
+
+
+def test_medial_subsections(spark):
+    """A bar three pixels wide, given in raster order, is cut across, and each pixel takes the run of the axis pixel nearest to it."""
+    p = [(1, 1, k, float(x), float(y)) for k, (y, x) in enumerate((y, x) for y in range(10, 13) for x in range(20, 80))] + [(1, 2, 0, 5.0, 5.0), (1, 2, 1, 6.0, 5.0)]
+    df = spark.createDataFrame(p, "image_id long, branch_id long, ord long, x double, y double")
+    axis = {r.ord: (r.x, r.y) for r in skeleton.axes(df).where("branch_id = 1").collect()}
+    chain = np.array([axis[k] for k in range(len(axis))])
+    assert set(chain[:, 1]) == {11.0} and (np.abs(np.diff(chain[:, 0])) == 1).all()
+    parts = max(1, len(chain) // 20)
+    section = np.minimum(np.arange(len(chain)) // (len(chain) // parts), parts - 1)
+    for r in heat.medial_subsections(df, 20).collect():
+        want = section[((chain - (r.x, r.y)) ** 2).sum(axis=1).argmin()] if r.branch_id == 1 else 0
+        assert r.section_id == want
+
+
+def test_nearest_by_pairs_and_rings_agree(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    t = [(1 + k % 2, k % 3, k, float(x), float(y)) for k, (x, y) in enumerate(r.integers(0, 40, (400, 2)))] + [(3, 0, 1000, 1.0, 1.0)]
+    p = [(1 + k % 4, k, float(x), float(y)) for k, (x, y) in enumerate(r.integers(-10, 60, (80, 2)))]
+    points, targets = spark.createDataFrame(p, "image_id long, id long, x double, y double"), spark.createDataFrame(t, "image_id long, branch_id long, ord long, x double, y double")
+    want = sorted(map(tuple, joins.nearest_of_all(points, targets).collect()))
+    monkeypatch.setattr(joins, "PAIRED_TARGETS", 100)
+    assert sorted(map(tuple, joins.nearest(points, targets).collect())) == want and len(want) == 60
+
+
+def test_nearest_vector_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    v = r.integers(0, 3, (120, 4)).astype(float)  # with many ties
+    q = spark.createDataFrame([(k, v[k].tolist()) for k in range(40)], "id long, vector array<double>")
+    t = spark.createDataFrame([(k, k % 5, v[k].tolist()) for k in range(40, 120)], "ord long, branch_id long, vector array<double>")
+    want = {k: min((((v[k] - v[j]) ** 2).sum(), j) for j in range(40, 120))[::-1] for k in range(40)}
+    assert {x.id: (x.ord, x.d2) for x in joins.nearest_vector(q, t).collect()} == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twigspark.functions.geometry import cell, distance2
+from twigspark.operators.skeleton import axes
 
 
 def heat_field(bases: DataFrame, pixels: DataFrame, sigma: float) -> DataFrame:
@@ -57,3 +58,11 @@ def subsections(pixels: DataFrame, length: int = 30) -> DataFrame:
     parts = F.greatest(F.lit(1), F.floor(F.col("n") / length))
     run = F.floor(F.col("n") / parts)
     return p.withColumn("section_id", F.least(F.floor(F.col("k") / run), parts - 1).cast("int")).drop("k", "n")
+
+
+def medial_subsections(pixels: DataFrame, length: int = 30) -> DataFrame:
+    """(image_id, branch_id, ord, x, y, section_id): each branch's medial axis is cut into runs, and each pixel takes that of the axis pixel nearest to it, ties to the earlier one."""
+    at = subsections(axes(pixels), length).select("image_id", "branch_id", F.col("ord").alias("k"), F.col("x").alias("ax"), F.col("y").alias("ay"), "section_id")
+    near = pixels.select("image_id", "branch_id", "ord", "x", "y").join(at, ["image_id", "branch_id"])
+    best = F.min(F.struct(distance2("x", "y", "ax", "ay").alias("d2"), "k", "section_id")).alias("m")
+    return near.groupBy("image_id", "branch_id", "ord", "x", "y").agg(best).select("image_id", "branch_id", "ord", "x", "y", "m.section_id")

@@ -6,6 +6,8 @@ image is much larger than the others; aggregates over candidate pairs are partia
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,8 +40,24 @@ def min_distance_matrix(points: DataFrame, targets: DataFrame) -> DataFrame:
     return j.select("image_id", "id", "branch_id", F.sqrt(F.array_min(F.transform("pts", away))).alias("distance"))
 
 
+#: Targets of an image up to which all its pairs are compared; images with more go by grid cells.
+PAIRED_TARGETS = 4096
+
+
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(image_id, id, branch_id, ord, tx, ty, distance) of the nearest target, ties to the smaller ord, by all pairs of an image."""
+    """(image_id, id, branch_id, ord, tx, ty, distance) of the nearest target, ties to the smaller ord: by all pairs in images with up to PAIRED_TARGETS targets, else by rings."""
+    n = cut(targets.groupBy("image_id").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area")).where(F.col("n") > PAIRED_TARGETS))
+    width = n.agg(F.max(F.sqrt(F.col("area") / F.col("n")))).first()[0]
+    if width is None:
+        return nearest_of_all(points, targets)
+    large = n.select("image_id")
+    few = [df.join(large, "image_id", "left_anti") for df in (points, targets)]
+    many = [df.join(large, "image_id", "left_semi") for df in (points, targets)]
+    return nearest_of_all(*few).unionByName(nearest_by_rings(*many, max(2 * width, 1e-6)))
+
+
+def nearest_of_all(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """The same by all pairs of an image."""
     p = points.select("image_id", "id", "x", "y")
     # The least distance is a hash aggregate over all pairs; only the pairs that have it go through the slower ordering of ties.
     least = pairs(p, targets).groupBy("image_id", "id").agg(F.min("d2").alias("least"))
@@ -76,7 +94,7 @@ def nearest_by_rings(points: DataFrame, targets: DataFrame, size: float) -> Data
     left, done = points, None
     both = points.select("x", "y").unionByName(targets.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if both[0] is None:
-        return nearest(points, targets)
+        return nearest_of_all(points, targets)
     reach = max(both[1] - both[0], both[3] - both[2], size)
     while True:
         found = radius_cells(left, targets, size)
@@ -160,6 +178,38 @@ def nearest_within(points: DataFrame, parts: DataFrame) -> DataFrame:
     return best.select("image_id", "branch_id", "id", "m.section_id", F.sqrt("m.d2").alias("distance"))
 
 
+#: Vectors of a block, of either side.
+BLOCK = 2048
+
+
+def _nearest_vectors(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+    """Each query's nearest target of one pair of blocks: a matrix product, then exact distances of what may be nearest, ties to the smaller ord."""
+    if not len(queries) or not len(targets):
+        return pd.DataFrame({"id": [], "d2": [], "ord": [], "branch_id": []})
+    targets = targets.sort_values("ord")
+    q, t = (np.stack(x.vector.to_numpy()).astype(float) for x in (queries, targets))
+    near = (q * q).sum(axis=1)[:, None] + (t * t).sum(axis=1)[None] - 2 * q @ t.T
+    slack = 1e-9 * (1 + np.abs(q).max() + np.abs(t).max()) ** 2 * q.shape[1]
+    rows, columns = np.nonzero(near <= near.min(axis=1, keepdims=True) + slack)
+    d2 = ((q[rows] - t[columns]) ** 2).sum(axis=1)
+    found = pd.DataFrame({"id": queries.id.to_numpy()[rows], "d2": d2, "ord": targets.ord.to_numpy()[columns], "branch_id": targets.branch_id.to_numpy()[columns]})
+    return found.sort_values(["id", "d2", "ord"]).groupby("id", as_index=False).first()[["id", "d2", "ord", "branch_id"]]
+
+
+def nearest_vector(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, ord, branch_id, d2) of the target (ord, branch_id, vector) nearest to each query (id, vector) by Euclidean distance, ties to the smaller ord.
+
+    Both sides are dealt into blocks of about BLOCK, and each pair of blocks is one group: rows are sent once for each block of the other side, and of a pair only the best leave.
+    """
+    counts = [-(-max(1, df.count()) // BLOCK) for df in (queries, targets)]
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("id", "vector").withColumn("i", own("id", counts[0])).withColumn("j", other(counts[1]))
+    t = targets.select("ord", "branch_id", "vector").withColumn("j", own("ord", counts[1])).withColumn("i", other(counts[0]))
+    best = q.groupBy("i", "j").cogroup(t.groupBy("i", "j")).applyInPandas(_nearest_vectors, "id long, d2 double, ord long, branch_id long")
+    return best.groupBy("id").agg(F.min(F.struct("d2", "ord", "branch_id")).alias("m")).select("id", "m.ord", "m.branch_id", "m.d2")
+
+
 def ray_hits(rays: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """Hits of rays (ox, oy, dx, dy) on segments (ax, ay, bx, by) of the same image: t along the ray in [0, reach], s along the segment in [0, 1]; parallels don't hit."""
     j = rays.join(segments, "image_id")

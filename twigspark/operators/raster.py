@@ -16,7 +16,16 @@ from pyspark.sql.window import Window
 
 #: Parameters used where neither a manual nor a learned one is known.
 DEFAULTS = {"close_k": 7, "open_k": 4, "thick_dist": 5.5, "dilate_k": 11, "min_branch": 70}
+#: What the interactive tuner starts from where nothing is stored for an image.
+TUNER_DEFAULTS = {"close_k": 1, "open_k": 1, "thick_dist": 1.0, "dilate_k": 1, "min_branch": 5}
 REPAIR_STEPS = 8
+#: The learned calibrator, as published: three parameters by consensus and two linear models over the features of FEATURES, in that order.
+FEATURES = ["area_share", "dist_mean", "dist_std", "dist_p90", "dist_max", "thick_share", "fine_share", "components", "largest_share", "small_components", "medium_components", "outline_share", "box_height", "box_width", "box_fill", "holes"]
+CONSENSUS = {"close_k": 7, "thick_dist": 5.5, "dilate_k": 11}
+MODELS = {
+    "open_k": (-47.410295, [-63.38993348, 1.84279037, -1.44001408, 0.05660939, 0.05621225, 19.12823518, 222.1255056, 0.20235371, 6.74392716, -0.22085721, -0.7351967, -134.32654084, 0.00689731, 0.01042349, 54.09694702, -0.01142687]),
+    "min_branch": (37.232889, [-84.0930219, -1.27909852, 4.73778706, 0.37602549, -0.42387433, -4.31641049, -13.52995101, -0.54059273, 6.31112496, 0.85115127, 1.17218938, -114.70112638, 0.0244663, 0.00024658, 5.54948928, 0.82505752]),
+}
 #: The neighbours of a pixel, clockwise from above: (dy, dx).
 AROUND = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
@@ -159,59 +168,83 @@ def local_ball(x: np.ndarray, start: tuple[int, int], steps: int) -> list[tuple[
 
 
 def repaired(x: np.ndarray, steps: int = REPAIR_STEPS) -> np.ndarray:
-    """Bridges one-pixel gaps: of each end's empty neighbours that touch a pixel off its own branch, the one that goes on most straightly is filled."""
+    """Bridges one-pixel gaps: of each end's empty neighbours that touch a pixel off its own branch, the one is filled that lies farthest along the step
+    from the end's one neighbour to the end; of equal ones the first in row order."""
     out, (h, w) = x.copy(), x.shape
     for y, c in endpoints(x):
-        own = local_ball(x, (y, c), steps)
-        held, (ty, tx) = set(own), own[-1]
-        way, best = np.array([y - ty, c - tx], float), None
-        n = np.linalg.norm(way)
-        if n == 0:
-            continue
-        for dy, dx in AROUND:
+        held = set(local_ball(x, (y, c), steps))
+        (ny, nx), found = around(x, y, c)[0], []
+        for dy, dx in sorted(AROUND):
             q = (y + dy, c + dx)
-            if not (0 <= q[0] < h and 0 <= q[1] < w) or x[q] or all(p in held for p in around(x, *q)):
-                continue
-            score = float(way @ (dy, dx)) / n / np.hypot(dy, dx)
-            if best is None or score > best[0]:
-                best = (score, q)
-        if best:
-            out[best[1]] = True
+            if 0 <= q[0] < h and 0 <= q[1] < w and not x[q] and any(p not in held for p in around(x, *q)):
+                found.append((dy * (y - ny) + dx * (c - nx), q))
+        if found:
+            out[max(found, key=lambda f: f[0])[1]] = True
     return out
 
 
-def labelled(x: np.ndarray) -> np.ndarray:
-    """8-connected components, numbered from 1 in row order."""
-    out, n = np.zeros(x.shape, "i4"), 0
-    for y, c in np.argwhere(x).tolist():
-        if out[y, c]:
-            continue
-        n += 1
-        out[y, c], todo = n, [(y, c)]
-        while todo:
-            for q in around(x, *todo.pop()):
-                if not out[q]:
-                    out[q] = n
-                    todo.append(q)
+def labelled(x: np.ndarray, four: bool = False) -> np.ndarray:
+    """Components of 8 (or 4) neighbours, numbered from 1 in row order: each takes the smallest place that it meets, all at once."""
+    n, (h, w) = x.size, x.shape
+    label = np.where(x, np.arange(n).reshape(h, w), n)
+    while True:
+        p = np.pad(label, 1, constant_values=n)
+        met = np.minimum.reduce([p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in AROUND[:: 2 if four else 1]])
+        up = np.arange(n + 1)
+        np.minimum.at(up, label[x], met[x])
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        if np.array_equal(up[label[x]], label[x]):
+            break
+        label[x] = up[label[x]]
+    out = np.zeros(x.shape, "i4")
+    out[x] = np.unique(label[x], return_inverse=True)[1] + 1
     return out
 
 
+def outline(x: np.ndarray) -> float:
+    """Length of the outer borders of the components that no other one encloses: closed walks over border pixels by steps of 1 and sqrt 2."""
+    x = np.pad(x, 1)
+    parts, ground = labelled(x), labelled(~x, four=True) == 1
+    outer = np.logical_or.reduce(shifted(ground)[::2])
+    total = 0.0
+    for k in np.unique(parts[x & outer]):
+        start = tuple(int(v) for v in np.argwhere(parts == k)[0])
+        on = lambda p, d: x[p[0] + AROUND[d][0], p[1] + AROUND[d][1]]
+        # From the empty pixel to the left: clockwise to where the walk comes from, then counterclockwise onwards at each pixel.
+        ways = [d % 8 for d in range(6, 14) if on(start, d % 8)]
+        if not ways:
+            continue
+        came = first = ways[0]
+        at = start
+        while True:
+            way = next(d % 8 for d in range(came + 7, came - 1, -1) if on(at, d % 8))
+            total += 2**0.5 if way % 2 else 1.0
+            after = (at[0] + AROUND[way][0], at[1] + AROUND[way][1])
+            if after == start and at == (start[0] + AROUND[first][0], start[1] + AROUND[first][1]):
+                break
+            at, came = after, (way + 4) % 8
+    return total
+
+
 def features(gray: np.ndarray) -> dict[str, float]:
-    """Sixteen measures of a mask: area, distances, components, outline, box and holes."""
+    """Sixteen measures of a mask, all 0 for an empty one: area, distances, shares of thick and fine, components, outline, box and holes."""
     x = binary(gray)
-    h, w = x.shape
-    d = distance(x)[x]
+    area = int(x.sum())
+    if not area:
+        return dict.fromkeys(FEATURES, 0.0)
+    d = distance(x)
+    d = d[d > 0] if d.any() else np.zeros(1)
     size = np.bincount(labelled(x).ravel())[1:]
-    holes = np.bincount(labelled(~x).ravel())[1:]
-    edge = int((x & ~np.logical_and.reduce(shifted(x)[::2])).sum())
+    empty = np.bincount(labelled(~x).ravel())[1:]
     ys, xs = np.nonzero(x)
-    box = (int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1) if len(xs) else (0, 0)
-    of = lambda f, v: float(f(v)) if len(v) else 0.0
-    return {
-        "area": float(x.sum()), "area_share": float(x.mean()), "dist_mean": of(np.mean, d), "dist_std": of(np.std, d), "dist_max": of(np.max, d), "dist_median": of(np.median, d),
-        "dist_p90": of(lambda v: np.percentile(v, 90), d), "components": float(len(size)), "largest": of(np.max, size), "mean_size": of(np.mean, size), "outline": float(edge), "outline_share": edge / max(1.0, float(x.sum())),
-        "box_width": float(box[0]), "box_height": float(box[1]), "box_share": box[0] * box[1] / (h * w), "holes": float((holes < x.sum()).sum() - 1),
-    }
+    high, wide = int(np.ptp(ys)), int(np.ptp(xs))
+    found = [
+        area / x.size, d.mean(), d.std(), np.percentile(d, 90), d.max(), (d > 5.5).mean(), ((d > 0) & (d < 2)).mean(),
+        len(size), size.max() / area, (size < 50).sum(), ((size >= 50) & (size < 500)).sum(),
+        outline(x) / area, high, wide, area / max(1, high * wide), (empty < area).sum() - 1 if len(empty) else 0,
+    ]
+    return dict(zip(FEATURES, map(float, found), strict=True))
 
 
 def processed(gray: np.ndarray, close_k: float, open_k: float, thick_dist: float, dilate_k: float, min_branch: int, repair: bool = True, floor: int = 3) -> np.ndarray:
@@ -255,7 +288,8 @@ def skeletonise(images: DataFrame, params: DataFrame | None = None) -> DataFrame
 
 
 def mask_features(images: DataFrame) -> DataFrame:
-    names = list(features(np.zeros((2, 2), "u1")))
+    """(image_id, FEATURES...) of masks."""
+    names = FEATURES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -270,6 +304,20 @@ def linear(coefficients: list[float], intercept: float, columns: list[str]) -> C
     return F.round(F.lit(intercept) + sum(F.lit(c) * F.col(n) for c, n in zip(coefficients, columns, strict=True))).cast("int")
 
 
+def calibrated(measures: DataFrame) -> DataFrame:
+    """(image_id, close_k, open_k, thick_dist, dilate_k, min_branch) by the learned calibrator from mask_features: whole numbers by half-to-even rounding, but for thick_dist."""
+    of = lambda k: F.bround(F.lit(MODELS[k][0]) + sum(F.lit(c) * F.col(n) for c, n in zip(MODELS[k][1], FEATURES, strict=True)), 0).cast("int")
+    fixed = {k: F.lit(v) for k, v in CONSENSUS.items()}
+    return measures.select("image_id", *[(of(k) if k in MODELS else fixed[k]).alias(k) for k in DEFAULTS])
+
+
+def tuned(images: DataFrame, stored: DataFrame) -> DataFrame:
+    """Parameters by image as the tuner takes them: the stored row where there is one, whole, else the tuner's defaults."""
+    s = stored.select("image_id", F.struct(*DEFAULTS).alias("p"))
+    start = F.struct(*[F.lit(v).cast(stored.schema[k].dataType).alias(k) for k, v in TUNER_DEFAULTS.items()])
+    return images.select("image_id").join(s, "image_id", "left").select("image_id", F.coalesce("p", start).alias("p")).select("image_id", "p.*")
+
+
 def to_pixels(images: DataFrame) -> DataFrame:
     """(image_id, x, y) of foreground pixels, as rows."""
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twigspark.operators.hierarchy import RING
+from twigspark.operators.raster import thinned
 
 
 def _near(on: set, p: tuple) -> list[tuple]:
@@ -79,18 +81,22 @@ def traced(on: set) -> list[dict]:
 
 
 def distinct_branches(branches: list[dict], overlap: float = 0.6) -> list[dict]:
-    """Of branches that share more than overlap of the longer's pixels, the longer stays; earlier ones first."""
-    kept: list[dict] = []
-    for b in branches:
-        own = set(b["pixels"])
-        for k, other in enumerate(kept):
-            if len(own & other["set"]) / max(len(own), len(other["set"])) > overlap:
-                if len(own) > len(other["set"]):
-                    kept[k] = b | {"set": own}
-                break
-        else:
-            kept.append(b | {"set": own})
-    return kept
+    """Of branches that share more than overlap of the longer's pixels, the longer stays, in the place of the earlier one."""
+    holders: dict[tuple, list[int]] = {}
+    sizes = [len(set(b["pixels"])) for b in branches]
+    for n, b in enumerate(branches):
+        for p in set(b["pixels"]):
+            holders.setdefault(p, []).append(n)
+    both = Counter(pair for held in holders.values() for pair in combinations(held, 2))
+    close = {(i, j) for (i, j), n in both.items() if n > overlap * max(sizes[i], sizes[j])}
+    place: list[int] = []
+    for n, size in enumerate(sizes):
+        met = [k for k, m in enumerate(place) if (min(m, n), max(m, n)) in close]
+        if not met:
+            place.append(n)
+        elif size > sizes[place[met[0]]]:
+            place[met[0]] = n
+    return [branches[n] for n in place]
 
 
 def _traced(least: int, table: pd.DataFrame) -> pd.DataFrame:
@@ -179,6 +185,24 @@ def chained(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "branch_id", "ord", "x", "y").groupBy("image_id", "branch_id").applyInPandas(_chained, "image_id long, branch_id long, ord long, x double, y double")
 
 
+def _axis(table: pd.DataFrame) -> pd.DataFrame:
+    """A branch's pixels, thinned within their box; those of a branch that is too small to thin, its first pixel alone."""
+    t = table.sort_values("ord")
+    x, y = (t[c].round().astype(int).to_numpy() for c in ("x", "y"))
+    mask = np.zeros((np.ptp(y) + 3, np.ptp(x) + 3), bool)
+    mask[y - y.min() + 1, x - x.min() + 1] = True
+    at = np.argwhere(thinned(mask)) if len(t) >= 3 else np.empty((0, 2), int)
+    if len(at) < 2:
+        return t.head(1)[["image_id", "branch_id", "ord", "x", "y"]]
+    return pd.DataFrame({"image_id": t.image_id.iloc[0], "branch_id": t.branch_id.iloc[0], "ord": range(len(at)), "x": at[:, 1] + x.min() - 1.0, "y": at[:, 0] + y.min() - 1.0})
+
+
+def axes(pixels: DataFrame) -> DataFrame:
+    """(image_id, branch_id, ord, x, y): each branch's medial axis, a pixel wide, in nearest-neighbour order."""
+    p = pixels.select("image_id", "branch_id", "ord", "x", "y")
+    return chained(p.groupBy("image_id", "branch_id").applyInPandas(_axis, "image_id long, branch_id long, ord long, x double, y double"))
+
+
 def deduplicated_candidates(pixels: DataFrame, overlap: float = 0.6) -> DataFrame:
     """(image_id, a, b, share): branch pairs a < b that share more than overlap of the longer's pixels, by an equi-join on pixels."""
     p = pixels.select("image_id", "branch_id", "x", "y").distinct()

@@ -110,19 +110,18 @@ def rehomed_points(spark, sf):
     return joins.rehomed(f, joins.radius_nearest(f, p, 15.0), centres).select("id", "branch_id", r("distance"))
 
 
-@query(f"with {LABELLED}, nodes as (select * from lp where ord % 7 = 0), pr as (select f.id, p.ord, (f.x - p.x) * (f.x - p.x) + (f.y - p.y) * (f.y - p.y) d2 from lf f, nodes p), o as (select id, arg_min(ord, struct_pack(d2 := d2, ord := ord)) ord from pr group by all) select ord, round(sum(1.0 + id % 3), 6) mass from o group by all")
+@query(f"with {LABELLED}, {L_PAIRS}, {NEAREST} select ord, round(sum(1.0 + id % 3), 6) mass from nr group by all")
 def mass_on_nodes(spark, sf):
     f, p = spaces.labelled(spark, sf)
-    return joins.mass_to_nodes(f.withColumn("mass", 1.0 + F.col("id") % 3), p.where("ord % 7 = 0")).select("ord", r("mass"))
+    return joins.mass_to_nodes(f.withColumn("mass", 1.0 + F.col("id") % 3), p).select("ord", r("mass"))
 
 
 @query("select d.vec_id id, arg_min(e.label, struct_pack(d := list_sum(list_transform(list_zip(d.embedding, e.embedding), lambda p: (p[1]::double - p[2]::double) ** 2)), o := e.vec_id))::bigint branch_id from embeddings d, embeddings e where d.vec_id % 5 = 0 and e.vec_id % 5 <> 0 group by all")
 def vector_nearest(spark, sf):
     e = spaces.table(spark, sf, "embeddings")
-    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"))
-    t = e.where("vec_id % 5 <> 0").select("vec_id", F.col("label").cast("long").alias("branch_id"), "embedding")
-    j = q.join(t, F.lit(True)).withColumn("d2", vector_distance2("a", "embedding"))
-    return j.groupBy("id").agg(F.min_by("branch_id", F.struct("d2", "vec_id")).alias("branch_id"))
+    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    t = e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("ord"), F.col("label").cast("long").alias("branch_id"), F.col("embedding").alias("vector"))
+    return joins.nearest_vector(q, t).select("id", "branch_id")
 
 
 STEPS = """s0 as (select id, x, y, unnest(range(31)) k from lf), st as (select id, k, x px, y + k py from s0),
@@ -380,11 +379,11 @@ def ray_fan(spark, sf):
 
 
 def _segments(f: DataFrame) -> DataFrame:
-    """Each tenth flower with a segment up and to the right of it."""
-    return f.where("id % 50 = 0").select("image_id", F.col("id").alias("cluster"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 20).alias("bx"), (F.col("y") - 40).alias("by"))
+    """Each flower with a segment up and to the right of it."""
+    return f.select("image_id", F.col("id").alias("cluster"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 20).alias("bx"), (F.col("y") - 40).alias("by"))
 
 
-_HITS = f"""{_RAYS}, sg0 as (select id as cluster, x ax0, y ay0, 20 / (sqrt(2000) + 1e-12) sx, -40 / (sqrt(2000) + 1e-12) sy from lf where id % 50 = 0),
+_HITS = f"""{_RAYS}, sg0 as (select id as cluster, x ax0, y ay0, 20 / (sqrt(2000) + 1e-12) sx, -40 / (sqrt(2000) + 1e-12) sy from lf),
 sg as (select *, ax0 - 4 * sx ax, ay0 - 4 * sy ay, ax0 + 20 + 4 * sx bx, ay0 - 40 + 4 * sy by_ from sg0),
 dt as (select *, dy * (bx - ax) - dx * (by_ - ay) det from ry, sg where dy <= 1e-6),
 ht as (select *, ((ay - oy) * (bx - ax) - (ax - ox) * (by_ - ay)) / det t, (dx * (ay - oy) - dy * (ax - ox)) / det s from dt where abs(det) >= 1e-12),
@@ -519,12 +518,13 @@ def edited_branches(spark, sf):
 
 # Heat and scores
 
-_HEAT = f"{LABELLED}, ht as (select p.ord, coalesce(sum((1 + id % 4) * exp(-((p.x - f.x) ** 2 + (p.y - f.y) ** 2) / (2 * 80.0 * 80.0))), 0) heat from lp p left join lf f on f.id % 3 <> 0 group by all)"
+_HEAT = f"{LABELLED}, ht as (select p.ord, coalesce(sum((1 + id % 4) * exp(-((p.x - f.x) ** 2 + (p.y - f.y) ** 2) / (2 * 80.0 * 80.0))), 0) heat from lp p left join lf f on true group by all)"
 
 
-def _heat(spark, sf, keep: str = "id % 3 <> 0") -> DataFrame:
+def _heat(spark, sf, kinds: int = 4) -> DataFrame:
+    """The field of all flowers, each with a load that depends on its id."""
     f, p = spaces.labelled(spark, sf)
-    return heat.heat_field(f.where(keep).withColumn("n", 1 + F.col("id") % 4), p, 80.0)
+    return heat.heat_field(f.withColumn("n", 1 + F.col("id") % kinds), p, 80.0)
 
 
 @query(f"with {_HEAT} select ord, round(heat, 6) heat from ht")
@@ -537,9 +537,9 @@ def heat_summary(spark, sf):
     return heat.heat_summary(_heat(spark, sf)).select(r("total", 4), r("peak"), "pixels")
 
 
-@query(f"with {_HEAT}, h2 as (select p.ord, coalesce(sum((1 + id % 4) * exp(-((p.x - f.x) ** 2 + (p.y - f.y) ** 2) / (2 * 80.0 * 80.0))), 0) heat from lp p left join lf f on f.id % 2 = 0 group by all) select round(sum(a.heat * b.heat) / (sqrt(sum(a.heat ** 2) * sum(b.heat ** 2)) + 1e-12), 6) cosine, round(corr(a.heat, b.heat), 6) pearson from ht a join h2 b using (ord)")
+@query(f"with {_HEAT}, h2 as (select p.ord, coalesce(sum((1 + id % 7) * exp(-((p.x - f.x) ** 2 + (p.y - f.y) ** 2) / (2 * 80.0 * 80.0))), 0) heat from lp p left join lf f on true group by all) select round(sum(a.heat * b.heat) / (sqrt(sum(a.heat ** 2) * sum(b.heat ** 2)) + 1e-12), 6) cosine, round(corr(a.heat, b.heat), 6) pearson from ht a join h2 b using (ord)")
 def heat_similarity(spark, sf):
-    return heat.similarity(_heat(spark, sf), _heat(spark, sf, "id % 2 = 0")).select(r("cosine"), r("pearson"))
+    return heat.similarity(_heat(spark, sf), _heat(spark, sf, 7)).select(r("cosine"), r("pearson"))
 
 
 @query(f"""with {TREE}, k as (select *, row_number() over (partition by image_id, branch_id order by ord) - 1 k, count(*) over (partition by image_id, branch_id) n from tp),
@@ -554,6 +554,14 @@ def subsection_counts(spark, sf):
     return counts.per_section(joins.nearest_within(f, s), s)
 
 
+@query()
+def medial_subsection_counts(spark, sf):
+    """Flowers by runs of each branch's medial axis."""
+    f, p = spaces.tree(spark, sf)
+    s = heat.medial_subsections(p, 30)
+    return counts.per_section(joins.nearest_within(f, s), s)
+
+
 _SCORES = f"{TREE}, {T_PAIRS}, {NEAREST}, sc as (select nr.image_id, avg((nr.branch_id = tf.branch_id)::int) accuracy, count(*) flowers from nr join tf using (image_id, id) group by all)"
 
 
@@ -573,10 +581,9 @@ def accuracy_macro(spark, sf):
     return evaluate.macro(_scores(spark, sf)).select("method", r("accuracy"), "images")
 
 
-@query(f"with {LABELLED}, gt as (select 1 as image_id, ord, branch_id, x, y from lp where ord % 11 = 0), d as (select f.id, g.branch_id, g.ord, (f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y) d2 from lf f, gt g) select id, arg_min(branch_id, struct_pack(d := d2, o := ord)) true_branch from d group by all")
+@query(f"with {LABELLED}, {L_PAIRS}, {NEAREST} select id, branch_id true_branch from nr")
 def true_branches(spark, sf):
-    f, p = spaces.labelled(spark, sf)
-    return evaluate.true_branches(f, p.where("ord % 11 = 0")).select("id", "true_branch")
+    return evaluate.true_branches(*spaces.labelled(spark, sf)).select("id", "true_branch")
 
 
 @query(f"with {LABELLED} select ord from lp qualify row_number() over (partition by floor(x / 40), floor(y / 40) order by ord) = count(*) over (partition by floor(x / 40), floor(y / 40)) // 2 + 1")
@@ -587,7 +594,7 @@ def subsample_nodes(spark, sf):
 @query()
 def sinkhorn_similarity(spark, sf):
     p = spaces.labelled(spark, sf)[1]
-    return transport.transport_similarity(_heat(spark, sf), _heat(spark, sf, "id % 2 = 0"), p, 60.0, 40.0)
+    return transport.transport_similarity(_heat(spark, sf), _heat(spark, sf, 7), p, 60.0, 40.0)
 
 
 # L-System and shoots
@@ -679,6 +686,20 @@ def mask_features(spark, sf):
     return raster.mask_features(discs(spark, sf))
 
 
+@query()
+def learned_parameters(spark, sf):
+    """The learned calibrator's parameters of each mask."""
+    return raster.calibrated(raster.mask_features(discs(spark, sf)))
+
+
+@query("select p_partkey image_id, case when p_partkey % 3 = 0 then p_size else 1 end::int close_k, case when p_partkey % 3 = 0 then p_size + 1 else 1 end::int open_k, case when p_partkey % 3 = 0 then p_retailprice else 1 end::double thick_dist, case when p_partkey % 3 = 0 then p_size + 2 else 1 end::int dilate_k, case when p_partkey % 3 = 0 then p_size + 3 else 5 end::int min_branch from part")
+def tuned_parameters(spark, sf):
+    p = spaces.table(spark, sf, "part").withColumn("image_id", F.col("p_partkey"))
+    size = lambda k: (F.col("p_size") + k).cast("int")
+    stored = p.where("p_partkey % 3 = 0").select("image_id", size(0).alias("close_k"), size(1).alias("open_k"), F.col("p_retailprice").cast("double").alias("thick_dist"), size(2).alias("dilate_k"), size(3).alias("min_branch"))
+    return raster.tuned(p, stored)
+
+
 @query(f"with {TREE}, m as (select image_id, count(*) n, avg(x) ax, max(y) my, min(y) ny from tp group by all) select image_id, round(3.5 + 0.01 * n + 0.002 * ax - 0.001 * (my - ny))::int open_k from m")
 def mask_features_linear(spark, sf):
     p = spaces.tree(spark, sf)[1]
