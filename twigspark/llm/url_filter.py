@@ -8,7 +8,7 @@ share of bad among labelled URLs, smoothed towards one half, is high and enough
 an optional table of labels.
 
 Only counts are grouped by host: rows of a host with a third of all URLs are counted by partial aggregation, and the
-templates of a host come to at most (1 / share) literals and a few shapes a level.
+templates of a host come to at most (1 / share) literals and a fixed number of shapes a level, whatever the number of its URLs.
 
 Defined cases: a URL that is null or has no "://" has an empty host and path; no rule fits an empty host; a template without labels
 is allowed; rows that repeat a page_id are judged row by row; paths deeper than `depth` are cut into that many segments, the last
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, cut
 
+#: File endings that a wildcard keeps.
+ENDING = r"(?i)(\.(?:html?|xhtml|php|aspx?|jsp|cgi|pdf|jpe?g|png|gif|css|js|xml|txt|json|rss))$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,9 +60,9 @@ def segments(path: Column, depth: int) -> Column:
 
 
 def shape(segment: Column) -> Column:
-    """A wildcard: runs of digits, words, or anything, with a short file ending kept."""
-    ending = F.lower(F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1))
-    stem = F.regexp_replace(segment, r"\.[A-Za-z]{1,5}$", "")
+    """A wildcard: runs of digits, words, or anything, with one of a few file endings kept, so that a level has a bounded number of shapes."""
+    ending = F.lower(F.regexp_extract(segment, ENDING, 1))
+    stem = F.regexp_replace(segment, ENDING, "")
     kind = F.when(segment == "", "").when(stem.rlike("^[0-9]+$"), "{n}").when(stem.rlike("^[\\p{L}_-]+$"), "{w}").otherwise("{*}")
     return F.concat(kind, ending)
 
@@ -155,8 +157,13 @@ def _host_tree(weight: float, key, table):
     return pd.DataFrame({"host": [key[0]] * len(rows), "parts": [list(r[0]) for r in rows], "template": [r[1] for r in rows], "purity": [r[2] for r in rows], "labelled": [r[3] for r in rows]})
 
 
-def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
-    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df.hint("shuffle_hash")
+def sized(df: DataFrame, size: Column) -> DataFrame:
+    """df (checkpointed) as a side to broadcast if its rows' sizes sum up to at most BROADCAST_BYTES, else as the built side of a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df.hint("shuffle_hash")
+
+
+def list_bytes(c: str) -> Column:
+    return F.octet_length(F.concat_ws("/", c)) + 16 * F.size(c) + 64
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, share: float = 0.05, support: int = 20, weight: float = 4.0, reject: float = 0.9, depth: int = 8, url: str = "url", page_id: str = "page_id", labelled: float = 0.25) -> DataFrame:
@@ -172,7 +179,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
     at = known.select("host", F.posexplode("parts").alias("level", "segment")).groupBy("host", "level", "segment").count()
     total = at.groupBy("host", "level").agg(F.sum("count").alias("total"))
     literal = at.join(total, ["host", "level"]).where((F.col("count") >= support) & (F.col("count") >= share * F.col("total")) & (F.col("segment") != ""))
-    literal = sized(cut(literal.groupBy("host").agg(F.collect_set(F.concat_ws("/", "level", "segment")).alias("literal"))), 512)
+    literal = sized(cut(literal.groupBy("host").agg(F.collect_set(F.concat_ws("/", "level", "segment")).alias("literal"))), list_bytes("literal"))
 
     named = [(rule.partition("/")[0], level, s) for _, rule in rules for level, s in enumerate(rule.partition("/")[2].split("/")[:-1]) if s and level < depth - 1]
 
@@ -190,6 +197,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
 
     counted = generalised(known).groupBy("host", "parts").agg(F.count("*").alias("n"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
     trees = counted.groupBy("host").applyInPandas(partial(_host_tree, weight), "host string, parts array<string>, template string, purity double, labelled double")
-    out = generalised(p).join(sized(cut(trees), 256), ["host", "parts"], "left")
+    out = generalised(p).join(sized(cut(trees), list_bytes("parts") + F.octet_length("template") + F.octet_length("host")), ["host", "parts"], "left")
     verdict = F.coalesce("by_rule", F.when((F.col("purity") >= reject) & (F.col("labelled") >= labelled), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
