@@ -24,7 +24,7 @@ def test_shoots_and_heat(spark, tmp_path):
     (tmp_path / "imgs_frame9_00000_graph.json").write_text('{"image": "x", "nodes": [], "edges": [], "branches": []}')
     for form in (shoots.first_form, shoots.second_form):
         out = runs.shoots_and_heat(spark, str(tmp_path / "*_graph.json"), str(tmp_path / "frame*.json"), 2.0, form)
-        assert out["assignments"].groupBy("image_id").count().collect() == [(3, 20), (5, 20)] or out["assignments"].count() == 40
+        assert sorted(map(tuple, out["assignments"].groupBy("image_id").count().collect())) == [(3, 20), (5, 20)]
         assert {(r.image_id, r.branch_id): r.flowers for r in out["per_branch"].collect()} == {(3, 0): 20, (3, 1): 0, (5, 0): 20, (5, 1): 0}
         assert out["heat"].agg(F.min("heat"), F.count("*")).first()[1] == 600
         assert [r.frame for r in out["missing"].collect()] == [9]
