@@ -87,3 +87,19 @@ def test_long_lines_of_few_documents(spark):
     want = [(1, f"{own(1)}\n{passage}\n{short}"), *((d, f"{own(d)}\n{short}") for d in (2, 3))]
     assert rows(docs) == want
     assert all(r.n_chars == len(r.text) for r in docs.collect())
+
+
+def test_clashing_column_names(spark):
+    """Columns named as the stages name their own for a while come through, values and order."""
+    names = ["__d", "__G", "__keep", "__digest", "digest", "keep", "score", "label", "root", "copies", "n"]
+    line = "one line that all of them hold"
+    docs = [(k, f"{line}\n" + " ".join(f"w{k}x{j}" for j in range(60)), *[k] * len(names)) for k in range(12)] + [(50, docs_text := "a b c d e f g", *[50] * len(names)), (51, docs_text, *[51] * len(names))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("line dedup", "n-gram Jaccard join"):
+            out = stage(spark, df, SF)
+            assert out.columns == df.columns
+            got = {r[0]: tuple(r) for r in out.collect()}
+            assert all(set(r[2:]) == {d} for d, r in got.items()) and set(got) == ({*range(12), 50} | ({51} if name == "line dedup" else set()))
+            if name == "line dedup":
+                assert [d for d, r in got.items() if line in r[1]] == [0]

@@ -72,3 +72,14 @@ def let(value: Column, body) -> Column:
 
 def crc_mod(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string")), F.lit(n))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as tell it from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

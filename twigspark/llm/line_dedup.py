@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, release, small_batches
+from .common import BROADCAST_BYTES, cut, free, release, small_batches
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 ROW = "h1 long, h2 long, doc_id long, digest long, pos int, n_lines int"
@@ -172,13 +172,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, drop:
     return dropped.groupBy("doc_id", "digest", "n_lines").agg(F.collect_set("pos").alias("dropped")).mapInArrow(bitmaps, "doc_id long, digest long, n_lines int, keep binary")
 
 
-def with_bitmaps(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the column __keep (null: all lines stay). The bitmaps are broadcast if they measure at most BROADCAST_BYTES, else both sides are shuffled by document."""
-    found = cut(found).select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g"), F.col("keep").alias("__keep"))
-    held = found.agg(F.coalesce(F.sum(F.length("__keep") + 16), F.lit(0))).first()[0]
+def with_bitmaps(docs: DataFrame, found: DataFrame, keep: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the column keep (null: all lines stay). The bitmaps are broadcast if they measure at most BROADCAST_BYTES, else both sides are shuffled by document."""
+    d, g, digest = free(docs, "__d", "__g", "__digest")
+    found = cut(found).select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.col("keep").alias(keep))
+    held = found.agg(F.coalesce(F.sum(F.length(keep) + 16), F.lit(0))).first()[0]
     found = F.broadcast(found) if held <= BROADCAST_BYTES else found.hint("shuffle_hash")
-    left = docs.withColumn("__digest", F.xxhash64(F.col(f"`{text}`")))
-    return left.join(found, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")) & (F.col("__digest") == F.col("__g")), "left").drop("__d", "__g", "__digest")
+    left = docs.withColumn(digest, F.xxhash64(F.col(f"`{text}`")))
+    return left.join(found, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(d)) & (F.col(digest) == F.col(g)), "left").drop(d, g, digest)
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[int, int, bytes]:
@@ -201,18 +202,19 @@ def report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame
             shas = [hashlib.sha256(x).hexdigest() for _, _, x in found]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    both = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars))
+    both = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars), "__keep")
     return both.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def apply(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: str = "later", min_words: int = 0) -> DataFrame:
     """docs with the dropped lines taken out of text (and n_chars counted anew, where there is such a column); a document that had words and loses them all goes."""
-    both = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, drop, min_words=min_words))
+    (k,) = free(docs, "__keep")
+    both = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, drop, min_words=min_words), k)
 
     @F.pandas_udf("string")
     def stripped(text, keep):
         return text.combine(keep, lambda t, k: None if t is None else kept_lines(t, k)[2].decode())
 
-    out = both.withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(stripped("text", "__keep")))
-    out = out.where(F.col("__keep").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).drop("__keep")
+    out = both.withColumn("text", F.when(F.col(k).isNull(), F.col("text")).otherwise(stripped("text", k)))
+    out = out.where(F.col(k).isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).drop(k)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

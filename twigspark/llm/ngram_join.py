@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from twigspark.operators.components import components
 
 from . import hashing
-from .common import BROADCAST_BYTES, cut, release, small_batches
+from .common import BROADCAST_BYTES, cut, free, release, small_batches
 
 #: Members of a token's run that are paired one by one; longer runs go through a star.
 HOT = 48
@@ -365,15 +365,16 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     Rows are told apart by doc_id and text, so a doc_id may come with several texts; of rows that repeat both, the first by their other columns stays.
     """
+    d, g = free(docs, "__d", "__g")
     nodes, _, linked = linked_sets(docs, words, num, den)
     rows = cut(nodes.where("n > 0").groupBy("doc_id", "digest", "s1", "s2").count())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
     sets = rows.groupBy("s1", "s2").agg(first).join(sized(linked, 32), ["s1", "s2"], "left")
-    kept = sets.groupBy(F.coalesce("root", F.struct("s1", "s2")).alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.digest").alias("__g"))
-    is_kept = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("digest") == F.col("__g"))
-    named_rows = rows.select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g"), "count")
-    found = cut(rows.join(kept, is_kept, "left_anti").select(F.col("doc_id").alias("__d"), F.col("digest").alias("__g")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__g"))
+    kept = sets.groupBy(F.coalesce("root", F.struct("s1", "s2")).alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(d), F.col("first.digest").alias(g))
+    is_kept = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("digest") == F.col(g))
+    named_rows = rows.select(F.col("doc_id").alias(d), F.col("digest").alias(g), "count")
+    found = cut(rows.join(kept, is_kept, "left_anti").select(F.col("doc_id").alias(d), F.col("digest").alias(g)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(g))
     out = docs.join(sized(found, 24), same, "left_anti")
     repeated = cut(named_rows.where("count > 1").drop("count"))
     if repeated.isEmpty():
@@ -381,5 +382,5 @@ def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # Few rows: of a repeated doc_id and text, one; all columns go through the aggregate as one value.
     others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
     whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), others).alias("__row")
-    one = out.join(sized(repeated, 24), same, "left_semi").groupBy(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__g")).agg(whole).select("__row.*")
+    one = out.join(sized(repeated, 24), same, "left_semi").groupBy(F.col("doc_id").alias(d), F.xxhash64("text").alias(g)).agg(whole).select("__row.*")
     return out.join(sized(repeated, 24), same, "left_anti").unionByName(one)
