@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twigspark.functions.geometry import frame_number, vector_distance2
+from twigspark.functions.geometry import frame_number, natural_key, vector_distance2
 from twigspark.operators import cluster, counts, evaluate, fit, graphs, heat, hierarchy, joins, lsystem, raster, rays, shoots, skeleton, transport
 from twigspark.operators.components import components, levels
 from twigspark.plans import spaces
@@ -219,7 +219,13 @@ def random_walk_iter5(spark, sf):
     return graphs.walk_steps(graphs.transitions(graphs.branch_weights(f, p), graphs.point_weights(f)), 5).select("id", "branch_id", r("f"))
 
 
-@query()
+#: The limit of the walk as the sum of what arrives after each number of steps.
+_WALKED = f"""with recursive {WALK}, wk as (select 1 k, i, branch_id, p from rr union all select k + 1, q.i, w.branch_id, sum(q.p * w.p) p from wk w join qq q on q.j = w.i where k < 400 group by k, q.i, w.branch_id),
+fs as (select i id, branch_id, sum(p) p from wk group by all),
+fw as (select id, branch_id, p / sum(p) over (partition by id) probability from fs qualify row_number() over (partition by id order by p desc, branch_id) = 1)"""
+
+
+@query(_WALKED + " select id, branch_id, round(probability, 6) probability from fw")
 def random_walk_assign(spark, sf):
     return graphs.random_walk(*spaces.labelled(spark, sf)).select("id", "branch_id", r("probability"))
 
@@ -240,7 +246,7 @@ def hybrid_laplacian(spark, sf):
     return graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.laplacian(f, p, _edges(p)))
 
 
-@query()
+@query(_WALKED + f", {RATIO} select image_id, id, case when ratio > 1.5 then sp.branch_id else fw.branch_id end branch_id, case when ratio > 1.5 then 'nearest' else 'solver' end how from sp join fw using (id)")
 def hybrid_random_walk(spark, sf):
     f, p = spaces.labelled(spark, sf)
     return graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.random_walk(f, p))
@@ -404,6 +410,14 @@ def ray_winner(spark, sf):
     return rays.winners(rays.ray_fan(_origins(p)), _segments(f), 300.0).select("cluster", "ord", "branch_id", "turn", r("score"))
 
 
+@query(f"with {_HITS}, {L_PAIRS}, {NEAREST} select id, branch_id, round(distance, 6) distance from nr where id not in (select cluster from hh where t <= 8)")
+def unhit_clusters(spark, sf):
+    """Segments that no ray hits, with the branch nearest to their basal end."""
+    f, p = spaces.labelled(spark, sf)
+    s = _segments(f)
+    return rays.unhit(s, rays.winners(rays.ray_fan(_origins(p)), s, 8.0), p).select("id", "branch_id", r("distance"))
+
+
 @query(f"""with {LABELLED}, c as (select id, 0.0::double ox, 0.0::double oy, x hx, y hy, x + 10 tx, y - 10 ty from lf), k as (select *, unnest(range(30)) k from c), u as (select *, k / 29.0::double u, (ox + tx) / 2 + 0.25 * (hx - (ox + tx) / 2) qx, (oy + ty) / 2 + 0.25 * (hy - (oy + ty) / 2) qy from k)
 select id, k::int k, round((1 - u) ** 2 * ox + 2 * (1 - u) * u * qx + u * u * tx, 4) x, round((1 - u) ** 2 * oy + 2 * (1 - u) * u * qy + u * u * ty, 4) y from u""")
 def bezier_points(spark, sf):
@@ -767,6 +781,167 @@ def event_windows(spark, sf):
     return windowed_counts(spaces.table(spark, sf, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4))
 
 
+# Files: what readers, lookups and writers make of documents built from whole tables.
+
+_NAMES = "nm as (select event_id, event_type, case when event_id % 7 = 0 then 'img_' || event_id else 'imgs_frame' || user_id || '_' || event_id || '.png' end as name from events)"
+
+
+@query(f"with {_NAMES} select event_id, (row_number() over (partition by event_type order by coalesce(try_cast(regexp_extract(name, 'frame(\\d+)', 1) as int), 1073741824), name))::int place from nm")
+def natural_order(spark, sf):
+    """Places of file names in the readers' order, within each event type."""
+    numbered = F.concat(F.lit("imgs_frame"), F.col("user_id").cast("string"), F.lit("_"), F.col("event_id").cast("string"), F.lit(".png"))
+    name = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("img_"), F.col("event_id").cast("string"))).otherwise(numbered)
+    w = Window.partitionBy("event_type").orderBy(natural_key("name"))
+    return spaces.table(spark, sf, "events").withColumn("name", name).select("event_id", F.row_number().over(w).cast("int").alias("place"))
+
+
+_FILES = """gf as (select c_custkey frame, 'graphs/' || c_name as path from customer),
+ff as (select o_custkey frame, 'flowers/' || o_orderkey || '.json' as path, o_orderstatus from orders)"""
+
+
+def _files(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A graph file per customer; a flower file per order, with its customer as the frame."""
+    g = spaces.table(spark, sf, "customer").select(F.col("c_custkey").alias("frame"), F.concat(F.lit("graphs/"), "c_name").alias("path"))
+    name = F.concat(F.lit("flowers/"), F.col("o_orderkey").cast("string"), F.lit(".json"))
+    return g, spaces.table(spark, sf, "orders").select(F.col("o_custkey").alias("frame"), name.alias("path"), "o_orderstatus")
+
+
+@query(f"with {_FILES} select frame, g.path, min(f.path) partner from gf g join ff f using (frame) group by all")
+def graph_flower_lookup(spark, sf):
+    g, f = _files(spark, sf)
+    return files.matched(g, f)[0]
+
+
+@query(f"with {_FILES} select f.frame, f.path, min(g.path) partner from ff f join gf g using (frame) group by all")
+def flower_graph_lookup(spark, sf):
+    g, f = _files(spark, sf)
+    return files.matched(f.drop("o_orderstatus"), g)[0]
+
+
+@query(f"with {_FILES} select p_partkey frame, p_name as path from part where not exists (select 1 from ff where ff.frame = p_partkey)")
+def graphs_without_flowers(spark, sf):
+    """Files, one a part, whose frame no flower file has."""
+    g = spaces.table(spark, sf, "part").select(F.col("p_partkey").alias("frame"), F.col("p_name").alias("path"))
+    return files.matched(g, _files(spark, sf)[1])[1]
+
+
+@query(f"with {_FILES} select g.frame, coalesce((select min(path) from ff where ff.frame = g.frame and o_orderstatus = 'P'), (select min(path) from ff where ff.frame = g.frame and o_orderstatus = 'F'), g.path) as path from gf g")
+def first_source(spark, sf):
+    """Each frame's file in the first of three folders that has it."""
+    g, f = _files(spark, sf)
+    return files.first_source(g.select("frame"), f.where("o_orderstatus = 'P'"), f.where("o_orderstatus = 'F'"), g)
+
+
+@query("select s.s_suppkey frame, exists (select 1 from nation where n_nationkey = s_suppkey) has_graph from supplier s")
+def shoot_work_list(spark, sf):
+    there, missing = files.work_list(spaces.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("frame")), spaces.table(spark, sf, "nation").select(F.col("n_nationkey").alias("frame")))
+    return there.withColumn("has_graph", F.lit(True)).unionByName(missing.withColumn("has_graph", F.lit(False)))
+
+
+def _truth(spark, sf) -> DataFrame:
+    """Ground-truth documents: an image per customer, a point per order."""
+    o = spaces.table(spark, sf, "orders")
+    return files.truth_documents(o.select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("x"), (F.col("o_totalprice") / 2).alias("y"), (F.col("o_orderkey") % 5).cast("int").alias("num_flowers"), (F.col("o_orderkey") % 3).cast("int").alias("branch_id")))
+
+
+@query("select o_custkey image_id, count(*) n_points, sum(o_orderkey % 5)::bigint n_flowers from orders group by all")
+def truth_documents(spark, sf):
+    return _truth(spark, sf).drop("points")
+
+
+@query("select o_custkey frame, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int ord, o_totalprice x, o_totalprice / 2 y, (o_orderkey % 5)::int num_flowers, (o_orderkey % 3)::int branch_id from orders")
+def truth_points(spark, sf):
+    """Points of written ground-truth documents, read again."""
+    return files.truth_points(_truth(spark, sf).withColumnRenamed("image_id", "frame").withColumn("name", F.lit(""))).drop("name")
+
+
+@query("select c_custkey, case when c_custkey % 4 = 0 then c_name || '.json' else 'imgs_frame' || c_custkey || '.json' end graph_name from customer")
+def truth_graph_names(spark, sf):
+    c = spaces.table(spark, sf, "customer")
+    stated = F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit(".json")))
+    named = c.withColumns({"name": F.concat(F.lit("imgs_frame"), F.col("c_custkey").cast("string"), F.lit("_GT.json")), "graph_json": stated})
+    return files.truth_graph(named).select("c_custkey", "graph_name")
+
+
+@query("select l_orderkey frame, l_linenumber::int shoot_id, l_suppkey::int branch_id, l_quantity::int n, l_extendedprice x, l_discount y, l_tax confidence, len([l_partkey, l_suppkey])::int n_indices from lineitem")
+def shoot_records(spark, sf):
+    """Records of shoot documents: one document an order, one shoot a line."""
+    whole = lambda c: F.col(c).cast("int")
+    shoot = F.struct(whole("l_linenumber").alias("varilla_id"), whole("l_suppkey").alias("rama_id"), whole("l_quantity").alias("num_flowers"), F.array("l_extendedprice", "l_discount").alias("base_xy"), F.col("l_tax").alias("confidence"), F.array(whole("l_partkey"), whole("l_suppkey")).alias("flower_indices"))
+    docs = spaces.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("frame")).agg(F.collect_list(shoot).alias("varillas")).withColumn("name", F.lit(""))
+    return files.shoot_records(docs).withColumn("n_indices", F.size("flower_indices")).drop("name", "flower_indices")
+
+
+@query("select p_size frame, p_partkey::int branch_id, (p_partkey % 256)::int r, (p_size * 5 % 256)::int g, (p_partkey % 3 * 80)::int b from part")
+def branch_colours(spark, sf):
+    """Colours of the nodes of graph documents: one document a size, one node a part."""
+    null = lambda kind: F.lit(None).cast(kind)
+    rgb = F.array((F.col("p_partkey") % 256).cast("int"), (F.col("p_size") * 5 % 256).cast("int"), (F.col("p_partkey") % 3 * 80).cast("int"))
+    node = F.struct(F.col("p_partkey").cast("int").alias("id"), null("double").alias("centroid_x"), null("double").alias("centroid_y"), null("int").alias("level"), null("string").alias("level_name"), null("boolean").alias("is_trunk"), null("int").alias("size_px"), rgb.alias("color_rgb"))
+    docs = spaces.table(spark, sf, "part").groupBy(F.col("p_size").alias("frame")).agg(F.collect_list(node).alias("nodes")).withColumn("name", F.lit(""))
+    c = files.branch_colours(docs)
+    return c.select("frame", "branch_id", *[F.col("color_rgb")[k].alias(a) for k, a in enumerate("rgb")])
+
+
+def _records(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = spaces.tree(spark, sf)[1]
+    b = spaces.branches(p)
+    return hierarchy.graph_nodes(b, b.select("image_id", "branch_id", (F.col("branch_id") % 4 - 1).cast("int").alias("level"))), p
+
+
+_RECORDS = f"{TREE}, nd as (select image_id, branch_id, round_even(avg(x), 1) centroid_x, round_even(avg(y), 1) centroid_y, (branch_id % 4 - 1)::int as level, count(*) size_px from tp group by image_id, branch_id)"
+
+
+@query(f"with {_RECORDS} select *, case level when -1 then 'Desconectada' when 0 then 'Tronco' else level || 'º orden' end level_name, level = 0 is_trunk from nd")
+def node_records(spark, sf):
+    return _records(spark, sf)[0]
+
+
+@query(f"with {TREE} select image_id frame, branch_id, (row_number() over (partition by image_id order by branch_id, ord) - 1)::int ord, x, y from tp")
+def graph_documents(spark, sf):
+    """Branch pixels of written graph documents, read again."""
+    n, p = _records(spark, sf)
+    edges = n.groupBy("image_id").agg(F.min("branch_id").alias("a"), F.max("branch_id").alias("b"))
+    docs = files.graph_documents(n, edges, p).withColumnRenamed("image_id", "frame").withColumn("name", F.lit(""))
+    return files.graph_pixels(docs).drop("name")
+
+
+@query("select c_custkey, round(c_acctbal / 7, 3) a, case when c_nationkey > 0 then round(c_acctbal / c_nationkey / 11, 4) end b from customer")
+def metrics_table(spark, sf):
+    c = spaces.table(spark, sf, "customer")
+    by = F.when(F.col("c_nationkey") > 0, F.col("c_acctbal") / F.col("c_nationkey") / 11).otherwise(F.lit(float("nan")))
+    return files.metrics_table(c.select("c_custkey", (F.col("c_acctbal") / 7).alias("a"), by.alias("b")), {"a": 3, "b": 4})
+
+
+@query("select 'frame' || p_partkey || '.png' as name, p_size close_k, p_size + 1 open_k, p_retailprice thick_dist, p_size + 2 dilate_k, p_size + 3 min_branch from part")
+def parameter_store(spark, sf):
+    """Rows of parameter stores: a store a brand, an entry a part."""
+    size = lambda k, c: (F.col("p_size") + k).alias(c)
+    entry = F.struct(F.concat(F.lit("frame"), F.col("p_partkey").cast("string"), F.lit(".png")), F.struct(size(0, "close_k"), size(1, "open_k"), F.col("p_retailprice").alias("thick_dist"), size(2, "dilate_k"), size(3, "min_branch")))
+    stores = spaces.table(spark, sf, "part").groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    return files.parameter_rows(stores)
+
+
+_CELLS = "cl as (select l_suppkey image_id, l_linenumber::bigint branch_id, floor(l_quantity / 10)::bigint x, floor(l_extendedprice / 20000)::bigint y from lineitem)"
+
+
+def _cells(spark, sf) -> DataFrame:
+    """Branches that share pixels: a branch per line number, on a coarse grid."""
+    return spaces.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("branch_id"), F.floor(F.col("l_quantity") / 10).alias("x"), F.floor(F.col("l_extendedprice") / 20000).alias("y"))
+
+
+@query(f"with {_CELLS} select image_id, x, y, max(branch_id) branch_id from cl group by all")
+def pixel_owner(spark, sf):
+    return skeleton.pixel_owner(_cells(spark, sf))
+
+
+@query(f"""with {_CELLS}, px as (select distinct * from cl), n as (select image_id, branch_id, count(*) n from px group by all),
+sh as (select p.image_id, p.branch_id a, q.branch_id b, count(*) both_n from px p join px q using (image_id, x, y) where p.branch_id < q.branch_id group by all)
+select sh.image_id, a, b, round(both_n / greatest(na.n, nb.n), 6) share from sh join n na on na.image_id = sh.image_id and na.branch_id = a join n nb on nb.image_id = sh.image_id and nb.branch_id = b where both_n / greatest(na.n, nb.n) > 0.6""")
+def shared_pixels(spark, sf):
+    return skeleton.deduplicated_candidates(_cells(spark, sf)).select("image_id", "a", "b", r("share"))
+
+
 # Registry of assignment methods: (flowers, pixels) to a branch per flower.
 METHODS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "nearest": lambda f, p: joins.nearest(f, p).select("image_id", "id", "branch_id"),

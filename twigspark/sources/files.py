@@ -112,7 +112,11 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 def parameters(spark: SparkSession, path: str) -> DataFrame:
     """(name, close_k, open_k, thick_dist, dilate_k, min_branch) of the parameter store; a broken store is empty."""
-    text = spark.read.text(path, wholetext=True)
+    return parameter_rows(spark.read.text(path, wholetext=True))
+
+
+def parameter_rows(text: DataFrame) -> DataFrame:
+    """Rows of stores given as text in the column value."""
     return text.select(F.explode(F.from_json("value", PARAMETERS)).alias("name", "p")).select("name", "p.*")
 
 
