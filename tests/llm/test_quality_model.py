@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from twigspark.llm import hashing
 from twigspark.llm import quality_model as Q
 
 
@@ -61,3 +64,44 @@ def test_passages_cover_whole_texts():
     assert sum(int((c[5] - c[4]).sum()) for c in chunks) == 149
     x = Q.features(chunks[0])
     assert x.shape == (7, Q.BUCKETS + Q.MEASURES) and pytest.approx(x[0, Q.BUCKETS + len(Q._CLASSES)], 1e-5) == np.log1p(48)
+
+
+def plain_score(model, text):
+    """One text, passage by passage, as the method is stated."""
+    data = (text or "").encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    hidden, pull = [], []
+    for k in range(0, max(1, len(found)), Q.PASSAGE_WORDS):
+        part = found[k : k + Q.PASSAGE_WORDS]
+        a = found[k][0] if k else 0
+        b = found[k + Q.PASSAGE_WORDS][0] if k + Q.PASSAGE_WORDS < len(found) else len(data)
+        raw, words = data[a:b], [data[s:e] for s, e in part]
+        hashes = [int(hashing.word_hashes(np.frombuffer(w, "u1"), np.array([0]), np.array([len(w)]))[0]) for w in words]
+        x = np.zeros(Q.BUCKETS + Q.MEASURES)
+        for h in hashes:
+            x[(h >> 40) % Q.BUCKETS] += 1
+        distinct = np.count_nonzero(x)
+        x /= max(1e-6, np.sqrt((x * x).sum()))
+        for j, chars in enumerate(Q._CLASSES):
+            x[Q.BUCKETS + j] = np.sqrt(sum(c in chars for c in raw) / max(1, len(raw)))
+        n = max(1, len(words))
+        x[Q.BUCKETS + len(Q._CLASSES) :] = np.log1p(len(words)), sum(map(len, words)) / n, distinct / n, sum(p == q for p, q in zip(hashes, hashes[1:], strict=False)) / n, not words
+        w = model.weights
+        h = np.tanh((x - model.middle) / model.spread @ w["W"] + w["b"])
+        hidden.append(h)
+        pull.append(float(np.tanh(h @ w["V"]) / (1 + np.exp(-h @ w["U"])) @ w["w"]))
+    share = np.exp(np.array(pull) - max(pull))
+    share /= share.sum()
+    return 1 / (1 + np.exp(-(sum(s * h for s, h in zip(share, hidden, strict=True)) @ w["c"] + w["d"][0])))
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = Q.fit(docs, labels)
+    odd = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate([None, "", " \n", "é " * 100, "a\nb", "#|$ " * 47 + "x  ", "w " * 48, "w " * 49])], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd)
+    got = Q.score(rows, model).collect()
+    assert len(got) == docs.count() + 8
+    for r in got:
+        assert abs(r.score - plain_score(model, r.text)) < 1e-4

@@ -1,4 +1,9 @@
+import math
+import random
 import re
+from collections import Counter
+
+import regex
 
 from twigspark.llm import url_filter as U
 from twigspark.llm.queries import URL_RULES
@@ -67,3 +72,101 @@ def test_rules_do_not_spread_to_other_branches(spark):
         rule = "x.com/en/" if not hidden else "x.com/en/7"
         got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", rule)]).collect()
         assert {r.page_id for r in got if r.verdict == "block"} == {k for k, u in enumerate(urls) if u.startswith("http://" + rule)}
+
+
+def plain_templates(rows, weight):
+    """{parts: (purity, labelled share)} of a host's generalised paths, from lists of (parts, bad or None) alone."""
+    found = {}
+
+    def tally(part):
+        return sum(b == 1 for _, b, _ in part), sum(b == 0 for _, b, _ in part)
+
+    def below(part):
+        return Counter(rest[0] if rest else None for rest, _, _ in part)
+
+    def alike(x, y):
+        p, q, far = below(x), below(y), 0.0
+        for k in {*p, *q}:
+            a, b = p[k] / len(x), q[k] / len(y)
+            far += sum(v * math.log2(2 * v / (a + b)) / 2 for v in (a, b) if v)
+        (bx, gx), (by, gy) = tally(x), tally(y)
+        if far > 0.05 or not (bx + gx and by + gy):
+            return far <= 0.05 and bx + gx == by + gy
+        p = (bx + by) / (bx + gx + by + gy)
+        return abs(bx / (bx + gx) - by / (by + gy)) <= 1.96 * math.sqrt(max(p * (1 - p), 1e-9) * (1 / (bx + gx) + 1 / (by + gy))) + 1e-9
+
+    def walk(part):
+        bad, good = tally(part)
+        found.update({whole: ((bad + weight / 2) / (bad + good + weight), (bad + good) / len(part)) for rest, _, whole in part if not rest})
+        branches = {}
+        for rest, b, whole in part:
+            if rest:
+                branches.setdefault(rest[0], []).append((rest[1:], b, whole))
+        wild, names = [v for k, v in branches.items() if "{" in k], sorted(k for k in branches if "{" not in k)
+        while names:
+            group, rest = branches[names[0]], []
+            for n in names[1:]:
+                if alike(group, branches[n]):
+                    group = group + branches[n]
+                else:
+                    rest.append(n)
+            wild.append(group)
+            names = rest
+        for v in wild:
+            walk(v)
+
+    walk([(parts, b, parts) for parts, b in rows])
+    return found
+
+
+def plain_shape(s):
+    m = regex.search(U.ENDING, s)
+    stem = s[: m.start()] if m else s
+    kind = "" if not s else "{n}" if regex.fullmatch("[0-9]+", stem) else "{w}" if regex.fullmatch(r"[\p{L}_-]+", stem) else "{*}"
+    return kind + (m[1].lower() if m else "")
+
+
+def plain_verdicts(urls, rules, labels, depth=8):
+    cut = lambda path: path.removeprefix("/").split("/", depth - 1)
+    mine = [brute(u, rules) for u in urls]
+    known = [(h, cut(p), None if not b else int(b[0] == "block")) for h, p, b in mine]
+    known += [(h, cut(p), bad) for (h, p, _), bad in ((brute(u, []), bad) for u, bad in labels)]
+    count = Counter((h, k, s) for h, parts, _ in known for k, s in enumerate(parts))
+    total = Counter((h, k) for h, parts, _ in known for k in range(len(parts)))
+
+    def general(h, parts):
+        def one(k, s):
+            at = ((r.partition("/")[0], r.partition("/")[2].split("/")[:-1]) for _, r in rules)
+            named = any(s and len(p) > k and p[k] == s and k < depth - 1 and (h == n or h.endswith("." + n)) for n, p in at)
+            often = s and count[h, k, s] >= 20 and count[h, k, s] >= 0.05 * total[h, k]
+            return s if named or often else "{*}" if "/" in s else plain_shape(s)
+
+        return tuple(one(k, s) for k, s in enumerate(parts))
+
+    hosts = {}
+    for h, parts, b in known:
+        hosts.setdefault(h, []).append((general(h, parts), b))
+    trees = {h: plain_templates(rows, 4.0) for h, rows in hosts.items()}
+    out = []
+    for h, p, b in mine:
+        purity, labelled = trees[h][general(h, cut(p))]
+        out.append(b[0] if b else "block" if purity >= 0.9 and labelled >= 0.25 else "allow")
+    return out
+
+
+def test_verdicts_equal_plain_ones(spark):
+    r = random.Random(3)
+    urls = [x.url for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()] + URLS
+    first = ["deal", "sale", "news", "blog", "en", "tag"]
+    for host in ("http://shop.biz", "https://www.example.net", "http://big.org"):
+        for _ in range(700):
+            tail = r.choice([str(r.randrange(900)), "".join(r.choices("abcde", k=5)), f"{r.randrange(99)}.html", "a%20b", ""])
+            urls.append("/".join([host, r.choice(first), *r.choices(["x", "y", "2024", "10"], k=r.randrange(3)), tail]))
+    labels = [(u, int("/deal/" in u or "/sale/" in u or "blog/x" in u)) for u in r.sample(urls[-2100:], 1000)]
+    for given in ([], labels):
+        table = spark.createDataFrame(given, "url string, bad int") if given else None
+        got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES, table).collect()
+        want = plain_verdicts(urls, URL_RULES, given)
+        assert [x.verdict for x in sorted(got, key=lambda x: x.page_id)] == want
+        by_template = sum(v == "block" and not brute(u, URL_RULES)[2] for u, v in zip(urls, want, strict=True))
+        assert by_template > 50 if given else by_template == 0
