@@ -43,4 +43,26 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  or 5 * (len(array_to_string(l, '')) - len(array_to_string(list_distinct(l), ''))) > len(array_to_string(l, '')) or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 6 * n_words
  or 10 * len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) > 3 * len(l) or 10 * len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•●]\\s'))) > 9 * len(l)) kept from f"""
 
-ORACLE_SQL = {"op1_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op8_ngram_join": NGRAM_JOIN, "op9_quality_rules": QUALITY_RULES}
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of an ASCII string: each byte is XORed in, then eight steps of the register follow (written as the element -1)."""
+    steps = f"flatten(list_transform(range(1, length({x}) + 1), lambda i: list_prepend(ascii(({x})[i])::bigint, list_transform(range(8), lambda k: -1::bigint))))"
+    step = "case when e >= 0 then xor(c, e) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {steps}), lambda c, e: {step}))"
+
+
+PERIODIC = f"""with d as (select doc_id, {_crc32("doc_id::varchar")} h, list_filter(string_split_regex(coalesce(text, ''), {_SPLIT}), lambda x: x <> '') w from documents),
+g as (select doc_id, w, len(w) n, h, h // 10 g from d), a as (select *, case when n > 0 then g % n end a from g), p as (select *, 1 + (n - a) // (3 + g % 8) p from a),
+m as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) else w end w from p),
+u as (select doc_id, n, unnest(w) x, unnest(range(n)) i from m),
+j as (select a.doc_id, a.i, b.i - a.i q from u a join u b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i where 4 * (b.i - a.i) <= a.n),
+k as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) isle from j),
+r as (select doc_id, min(i) s, count(*) + q len, q from k group by doc_id, q, isle having count(*) + q >= greatest(6, 4 * q)),
+f as (select doc_id, s, len, min(q) q from r group by doc_id, s, len), z as (select doc_id, count(*) n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) txt from f group by doc_id),
+b as (select doc_id, s, len, q from f qualify row_number() over (partition by doc_id order by len desc, s, q) = 1), l as (select doc_id, list((s + q, s + len)) gone from f group by doc_id),
+t as (select doc_id, string_agg(x, ' ' order by i) txt from u left join l using (doc_id) where gone is null or len(list_filter(gone, lambda v: i >= v[1] and i < v[2])) = 0 group by doc_id)
+select d.doc_id, coalesce(z.n_runs, 0) n_runs, b.s as start, b.len as length, b.q as period, 1000 * b.len // b.q exponent_milli, sha256(coalesce(z.txt, '')) runs_sha256, sha256(coalesce(t.txt, '')) collapsed_sha256
+from d left join z using (doc_id) left join b using (doc_id) left join t using (doc_id)"""
+
+ORACLE_SQL = {"op1_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op8_ngram_join": NGRAM_JOIN, "op9_quality_rules": QUALITY_RULES, "op11_periodic": PERIODIC}

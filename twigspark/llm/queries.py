@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, line_dedup, ngram_join, packing, quality_model, quality_rules, url_filter, warc
+from . import ann, bpe, html_text, line_dedup, ngram_join, packing, periodic, quality_model, quality_rules, url_filter, warc
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -56,6 +56,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_html_text": op2_html_text,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "op11_periodic": op11_periodic,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
