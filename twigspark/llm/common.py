@@ -41,6 +41,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of text that one task of a shuffle is to take.
+TASK_BYTES = 64 << 20
+
+
+def parts_for(df: DataFrame, *texts: str) -> int:
+    """Partitions for a shuffle of these columns: as many as the session sets, more where the columns measure more than TASK_BYTES a partition."""
+    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in texts), F.lit(16).cast("long")))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
 _HELD: dict = {}
 
 

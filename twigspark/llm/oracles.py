@@ -65,4 +65,26 @@ t as (select doc_id, string_agg(x, ' ' order by i) txt from u left join l using
 select d.doc_id, coalesce(z.n_runs, 0) n_runs, b.s as start, b.len as length, b.q as period, 1000 * b.len // b.q exponent_milli, sha256(coalesce(z.txt, '')) runs_sha256, sha256(coalesce(t.txt, '')) collapsed_sha256
 from d left join z using (doc_id) left join b using (doc_id) left join t using (doc_id)"""
 
-ORACLE_SQL = {"op1_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op8_ngram_join": NGRAM_JOIN, "op9_quality_rules": QUALITY_RULES, "op11_periodic": PERIODIC}
+_KEY = "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"
+CONVERSATIONS = f"""with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') t, {_crc32(_KEY)} % 20 k from conversations),
+d as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t, unnest(range(case when k = 3 then 2 else 1 end)) from c where k <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, t) i from d),
+f as (select *, row_number() over (partition by conv_id, role, t order by i) seen, not regexp_matches(t, '[^\\x20\\x09-\\x0D]') blank, regexp_matches(t, '[.!?][\\x20\\x09-\\x0D]*$') whole, left(role, 1) ini, lag(left(role, 1)) over (partition by conv_id order by i) prior from o),
+g as (select conv_id, i, turn, role, t, ini, blank, not blank and seen > 1 duplicate, not blank and seen = 1 and not whole truncated, i > 1 and prior || ini not in ('su', 'ua', 'au') illegal from f),
+ins(a, b, letters, txt) as (values ('', '', '', ''), ('', 'u', 'I', '~user:'), ('', 'a', 'II', '~user:~assistant:'), ('s', 's', '', ''), ('s', 'u', 'I', '~user:'), ('s', 'a', 'II', '~user:~assistant:'),
+ ('u', 'u', '', ''), ('u', 'a', 'I', '~assistant:'), ('a', 'a', '', ''), ('a', 'u', 'I', '~user:')),
+e as (select a, b, letters, replace(txt, '~', chr(10)) txt, 3 * length(letters) cost from ins),
+walk(conv_id, i, s, m) as (select distinct conv_id, 0::bigint, '', {{'cost': 0, 'audit': '', 'txt': ''}} from g union all
+ select conv_id, i, x.s, min(x.m) from (select g.conv_id, g.i, unnest(case when blank or duplicate then [{{'s': e.b, 'm': {{'cost': m.cost + e.cost + 4, 'audit': m.audit || letters || 'D', 'txt': m.txt || e.txt}}}}]
+  else [{{'s': e.b, 'm': {{'cost': m.cost + e.cost + 4, 'audit': m.audit || letters || 'D', 'txt': m.txt || e.txt}}}},
+   {{'s': case when e.b = 'u' then 'a' else 'u' end, 'm': {{'cost': m.cost + e.cost + 3 + 3 * truncated::int, 'audit': m.audit || letters || 'R', 'txt': m.txt || e.txt || chr(10) || case when e.b = 'u' then 'assistant:' else 'user:' end || t}}}},
+   {{'s': case when e.b || ini in ('s', 'u', 'su', 'ua', 'au') then ini end, 'm': {{'cost': m.cost + e.cost + 3 * truncated::int, 'audit': m.audit || letters || 'K', 'txt': m.txt || e.txt || chr(10) || role || ':' || t}}}}] end) x
+  from walk w join e on e.a = w.s join g on g.conv_id is not distinct from w.conv_id and g.i = w.i + 1) where x.s is not null group by all),
+n as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count_if(blank) blank, count_if(duplicate) duplicate, count_if(truncated) truncated, count_if(illegal) illegal from g group by conv_id),
+z as (select n.conv_id, min({{'cost': m.cost + e.cost, 'audit': m.audit || letters, 'txt': substr(m.txt || e.txt, 2)}}) m from walk w join n on n.conv_id is not distinct from w.conv_id and w.i = n.n
+ join e on e.a = w.s and (e.b = 'a' or w.s = '' and e.b = '') group by n.conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal,
+ coalesce(m.cost, 0)::bigint as cost, coalesce(m.audit, '') audit, sha256(coalesce(m.txt, '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join z on z.conv_id is not distinct from c.conv_id"""
+
+ORACLE_SQL = {"op1_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op8_ngram_join": NGRAM_JOIN, "op9_quality_rules": QUALITY_RULES, "op11_periodic": PERIODIC, "op13_conversations": CONVERSATIONS}
