@@ -87,4 +87,34 @@ select c.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint bla
  coalesce(m.cost, 0)::bigint as cost, coalesce(m.audit, '') audit, sha256(coalesce(m.txt, '')) repaired_sha256
 from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join z on z.conv_id is not distinct from c.conv_id"""
 
-ORACLE_SQL = {"op1_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op8_ngram_join": NGRAM_JOIN, "op9_quality_rules": QUALITY_RULES, "op11_periodic": PERIODIC, "op13_conversations": CONVERSATIONS}
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": "[A-Za-z0-9_-]{20,}",
+}
+_TERM = r"[\p{L}\p{M}]{3,}"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: case when i % 2 = 1 then {_DIGITS}[-i]::int else 2 * {_DIGITS}[-i]::int - case when {_DIGITS}[-i]::int > 4 then 9 else 0 end end)) % 10 = 0"
+_GOOD = f"""case kind when 'ip' then len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or ltrim(x, '0') <> '' and try_cast(right(x, 3) as int) > 255)) = 0
+ when 'card' then length({_DIGITS}) between 14 and 19 and {_LUHN} when 'phone' then length({_DIGITS}) between 10 and 15
+ when 'secret' then len(regexp_extract_all(regexp_replace(regexp_replace(m, '[A-Za-z]', 'a', 'g'), '[0-9]+', '0', 'g'), 'a0')) + len(regexp_extract_all(regexp_replace(m, '[A-Za-z]+', 'a', 'g'), '[0-9]a')) >= 5 else true end"""
+_FOUND = " union all ".join(f"select r, '{k}' kind, {n} rk, regexp_extract_all(t, '{p}') ms, string_split_regex(t, '{p}') gs from d" for n, (k, p) in enumerate(_PII.items()))
+PII = f"""with d as (select doc_id, coalesce(text, '') t, row_number() over () r from documents), a as ({_FOUND}),
+x as (select r, kind, rk, unnest(ms) m, unnest(gs[:len(ms)]) g, unnest(gs[2:len(ms) + 1]) h, unnest(range(len(ms))) k from a),
+s as (select *, (sum(length(g) + length(m)) over (partition by r, kind order by k) - length(m))::bigint s from x),
+b as (select r, kind, rk, s, s + length(m) e, kind || ':' || case when kind in ('card', 'phone') then {_DIGITS} else m end v, list_transform(list_concat(regexp_extract_all(right(g, 60), '{_TERM}')[(case when length(g) > 60 then 2 else 1 end):],
+ regexp_extract_all(left(h, 60), '{_TERM}')[:(case when length(h) > 60 then len(regexp_extract_all(left(h, 60), '{_TERM}')) - 1 else 99 end)]), lambda y: lower(y)) near from s where {_GOOD}),
+ne as (select v, count(distinct r) n_e from b group by v), et as (select v, t, count(distinct r) n_et from (select r, v, unnest(near) t from b) group by v, t having count(distinct r) >= 3),
+nt as (select t, count(distinct r) n_t from (select r, unnest(list_transform(regexp_extract_all(t, '{_TERM}'), lambda y: lower(y))) t from d) where t in (select t from et) group by t),
+f as (select v, t from et join ne using (v) join nt using (t), (select count(*)::double n from d) where log2(n * n_et / (n_e * (n_t + 1))) >= log2(n / n_e) / 1.1),
+w as (select distinct b.r, f.t from b join f using (v)), y as (select r, regexp_extract_all(t, '{_TERM}') ms, string_split_regex(t, '{_TERM}') gs from d where r in (select r from w)),
+u as (select r, unnest(ms) m, unnest(gs[:len(ms)]) g, unnest(range(len(ms))) k from y), z as (select r, m, (sum(length(g) + length(m)) over (partition by r order by k) - length(m))::bigint s from u),
+q as (select r, 'term' kind, 5 rk, s, s + length(m) e from z where exists (from w where w.r = z.r and w.t = lower(m)) and not exists (from b where b.r = z.r and b.s < z.s + length(m) and z.s < b.e)),
+every as (select r, kind, rk, s, e from b union all from q)
+select d.doc_id, count(*) filter (kind = 'email') n_email, count(*) filter (kind = 'ip') n_ip, count(*) filter (kind = 'card') n_card, count(*) filter (kind = 'phone') n_phone,
+ sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rk) filter (rk < 4), '')) base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rk), '') spans
+from d left join every using (r) group by d.r, d.doc_id"""
+
+ORACLE_SQL = {"op1_warc": WARC, "op7_line_dedup": LINE_DEDUP, "op8_ngram_join": NGRAM_JOIN, "op9_quality_rules": QUALITY_RULES, "op11_periodic": PERIODIC, "op12_pii": PII, "op13_conversations": CONVERSATIONS}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, conversations, html_text, line_dedup, ngram_join, packing, periodic, quality_model, quality_rules, url_filter, warc
+from . import ann, bpe, conversations, html_text, line_dedup, ngram_join, packing, periodic, pii, quality_model, quality_rules, url_filter, warc
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -60,6 +60,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
     "op11_periodic": op11_periodic,
+    "op12_pii": op12_pii,
     "op13_conversations": op13_conversations,
 }
 
