@@ -127,7 +127,7 @@ def test_report(spark, sf):
 
 
 def test_sanitised_text(spark):
-    rows = [(1, "mail a.b@c.de, +1 (017) 555-7713 or 4111 1111 1111 1111!"), (2, None), (3, "nothing here 123")] + [(k, f"Frau Quirrlen nahe quirr@len.org nr {k}") for k in range(4, 9)]
+    rows = [(1, "mail a.b@c.de, +1 (017) 555-7713 or 4111 1111 1111 1111!"), (2, None), (3, "nothing here 123")] + [(k, f"Frau Quirrlen nahe quirr@len.org nr {k}") for k in range(4, 9)] + [(k, f"Herr Allgemein Nummer {k}") for k in range(9, 300)]
     got = {r.doc_id: r.text for r in P.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == "mail [EMAIL], [PHONE] or [CARD]!" and got[2] is None and got[3] == "nothing here 123"
     for k in range(4, 9):

@@ -131,11 +131,9 @@ def disclosing(docs: DataFrame, text: str, spans: str) -> DataFrame:
     names = cut(near.select("term").distinct())
     if names.isEmpty():
         return near.select("entity", "term", F.lit(True).alias("removed"))
-    small = fits(names, "term")
     terms = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
-    said = docs.select(F.explode(terms).alias("term"))
-    # Where the terms are few, others are left out before they are counted; else they are counted (in each task first) and then joined.
-    counted = (said.join(F.broadcast(names), "term") if small else said).groupBy("term").agg(F.count("*").alias("n_t"))
+    # All terms are counted, in each task first, and joined then: a common one leaves a task as one row.
+    counted = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(names, "term")
     every, content = F.lit(float(docs.count())), F.log2(F.col("every") / F.col("n_e"))
     gives = F.log2(F.col("every") * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + 1)))
     found = near.join(n.where("term is null").select("entity", F.col("n").alias("n_e")), "entity").join(counted, "term").withColumn("every", every).withColumns({"gives": gives, "content": content})
