@@ -1,10 +1,9 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-Each rule is one boolean expression, true where the document is rejected, over the text and what is measured of it once for all rules (words,
-lines, counts). On a bounded sample the cascade measures what each rule costs beyond that and how many documents it rejects, and orders the
-rules by rejections per second among the documents that earlier rules leave. A cost is the least of several warm runs beyond that of the cheapest
-rule, in powers of two of half that run, so that noise doesn't turn the order; rules that reject nothing more keep theirs. The order changes the
-speed only: a document is kept if no rule rejects it, so any order has the same result.
+Each rule is one boolean expression, true where the document is rejected, over the text, its words and its lines. On a bounded sample from all partitions
+the cascade measures what each rule costs and how many documents it rejects, and orders the rules by rejections per second among the documents that earlier
+rules leave. A cost is the least of several warm runs over the cached sample beyond that of a run without a rule; words and lines are cached with the sample, and all else that a rule needs of a text (counts of
+characters, hashes of windows) is measured with it. The order changes the speed only: a document is kept if no rule rejects it, so any order has the same result.
 
 Defined cases: a null or empty text has no words, so `too_few_words` rejects it; very long texts are
 read whole (sorting windows is n log n in their length); repeated rows and equal doc_ids are judged row by
@@ -13,7 +12,6 @@ row; an empty table gives an empty table; other columns pass through, whatever t
 
 from __future__ import annotations
 
-import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,12 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-#: Rows of the sample from which costs and selectivities are estimated; it never affects which documents are kept.
+#: Rows, about, of the sample from which costs and selectivities are estimated; it never affects which documents are kept.
 SAMPLE_ROWS = 400
-#: Longer texts aren't sampled: the sample goes through the driver, and this bounds it (to 7 million characters).
-SAMPLE_CHARS = 1 << 14
-#: Timed runs of each rule, after one that isn't timed.
-RUNS = 2
+#: Evaluations of a rule in a timed run, and timed runs of each rule, after one that isn't timed.
+EVALUATIONS, RUNS = 1000, 3
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -136,40 +132,42 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def sampled(df: DataFrame, text: str, rows: int) -> DataFrame:
+    """About so many rows of text, from all partitions and whatever their length; they stay on the executors. A table of no more rows is taken whole."""
+    every = max(1, round(df.count() / rows))
+    t = F.col(f"`{text}`")
+    return df.select(t).where(F.pmod(F.xxhash64(t, F.monotonically_increasing_id()), F.lit(every)) == 0).repartition(1)
+
+
 def ordered(df: DataFrame, rules: list[Rule] | Callable[[Parts], list[Rule]], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second on a sample of at most sample_rows rows, each measured among the rows that the rules before it leave.
+    """rules by rejections per second on a sample of about sample_rows rows, each measured among the rows that the rules before it leave.
 
-    A function from Parts to rules gives rules that share what is measured of a text; that is cached with the sample, so a cost is the rule's own.
+    A function from Parts to rules gives rules that share words and lines, which are cached with the sample; what else a rule asks of a text is part of its own cost.
     """
-    # take() reads partitions only until it has enough rows; persist() of a limit would read them all.
-    texts = df.select(F.col(f"`{text}`")).where(F.length(F.col(f"`{text}`")) <= SAMPLE_CHARS).sample(0.1, seed=7).take(sample_rows)
-    sample = df.sparkSession.createDataFrame(texts, f"`{text}` string").coalesce(1)
+    sample = sampled(df, text, sample_rows)
     if callable(rules):
-        p = parts_of(whole(text), F.col("__w"), F.col("__l"))
-        sample = sample.withColumns({"__w": words_of(whole(text)), "__l": worded_lines(whole(text))}).withColumns({"__n": p.n_words, "__c": p.word_chars, "__s": p.n_symbols, "__r": p.n_repeat_words})
-        rules = rules(Parts(whole(text), *map(F.col, ("__w", "__l", "__n", "__c", "__s", "__r"))))
-    if not texts:
-        return rules
+        sample = sample.withColumns({"__w": words_of(whole(text)), "__l": worded_lines(whole(text))})
+        rules = rules(parts_of(whole(text), F.col("__w"), F.col("__l")))
     sample.persist()
     try:
-
-        def timed(e: Column) -> float:
-            test, took = sample.agg(F.count_if(e)), []
-            for _ in range(1 + RUNS):
+        marks = [F.coalesce(r.rejects, F.lit(False)).alias(r.name) for r in rules]
+        rows = [(x.asDict(), x["count"]) for x in sample.select(*marks).groupBy(*[r.name for r in rules]).count().collect()]
+        if not rows:
+            return rules
+        repeats = max(1, EVALUATIONS // sum(n for _, n in rows))
+        often = sample.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+        tests = {None: often.agg(F.count_if(F.col("__k") < 0))} | {r.name: often.agg(F.count_if(r.rejects)) for r in rules}
+        took = dict.fromkeys(tests, float("inf"))
+        for k in range(1 + RUNS):
+            for name, test in tests.items():
                 began = time.perf_counter()
                 test.collect()
-                took.append(time.perf_counter() - began)
-            return min(took[1:])
-
-        sample.count()
-        took = {r.name: timed(r.rejects) for r in rules}
-        least = min(took.values())
-        cost = {k: 2 ** round(math.log2(max(1, (t - least) / (least / 2)))) for k, t in took.items()}
-        marks = [F.coalesce(r.rejects, F.lit(False)).alias(r.name) for r in rules]
-        found = sample.select(*marks).groupBy(*[r.name for r in rules]).count().collect()
+                took[name] = min(took[name], time.perf_counter() - began) if k else took[name]
     finally:
         sample.unpersist()
-    left, out, rows = list(rules), [], [(x.asDict(), x["count"]) for x in found]
+    # What a run costs without any rule isn't a rule's own; less than a part of it can't be told apart.
+    cost = {r.name: max(took[r.name] - took[None], took[None] / 16) for r in rules}
+    left, out = list(rules), []
     while left:
         best = max(left, key=lambda r: sum(n for x, n in rows if x[r.name]) / cost[r.name])
         rows = [(x, n) for x, n in rows if not x[best.name]]
