@@ -98,3 +98,25 @@ def test_very_many_blocks(weights):
     found = H.blocks("<p>a" * 100_000)
     (keep,) = H.labelled(weights, [found])
     assert len(found) == len(keep) == 100_000
+
+
+def test_elements_that_never_end_are_read_once():
+    import time
+
+    for page in ("<svg>" + "<svg " * 200_000, "<script " * 150_000, "<svg/>" * 100_000 + "<svg " * 100_000, "<p>a" + "<style><style " * 70_000):
+        began = time.perf_counter()
+        H.blocks(page)
+        assert time.perf_counter() - began < 4
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("a<svg>x</svg>b", "ab"),
+        ("a<svg/>b", "ab"),
+        ("a<svg a='1'/>b<svg>c</svg >d", "abd"),
+        ("a<svg><svg>x</svg>y</svg>b", "ab"),
+    ],
+)
+def test_drawings_end_where_they_close(page, want):
+    assert "".join(b.text for b in H.blocks(page)) == want

@@ -95,12 +95,15 @@ class Page:
         """Where the element ends that the tag at start opens; None if it is never closed."""
         if tag not in self.pairs:
             found, open_at = {}, []
-            for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>", self.text, re.I):
+            begins, at = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I), 0
+            # Each tag is looked for behind the end of the one before, and none once no > is left: every character is read once.
+            while (m := begins.search(self.text, at)) and (end := self.text.find(">", m.end())) >= 0:
+                at = end + 1
                 if not m[1]:
-                    if not m[0].endswith("/>"):
+                    if self.text[m.end() : at][-2:] != "/>":
                         open_at.append(m.start())
                 elif open_at:
-                    found[open_at.pop()] = m.end()
+                    found[open_at.pop()] = at
             self.pairs[tag] = found
         return self.pairs[tag].get(start)
 
