@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from twigspark.functions.durable import cut
 from twigspark.functions.geometry import cell, distance2
 from twigspark.operators.skeleton import axes
 
@@ -51,6 +52,52 @@ def cell_size_for(pixels: DataFrame, nodes: int, rounds: int = 20, slack: float
     return size
 
 
+#: Halvings of the interval of cell sizes that one pass over the pixels settles.
+LEVELS = 5
+
+
+def sampled(pixels: DataFrame, nodes: int = 600, rounds: int = 20, slack: float = 0.1) -> DataFrame:
+    """(image_id, ord, x, y): about so many pixels of each image, evenly spread: the middle one, by ord, of each cell of a grid that begins at the image's smallest coordinates. Images with no more pixels are whole.
+
+    The size of an image's cells is halved in between a quarter of the span over the nodes and half the span, at most rounds times, until the cells are as many as asked for but for slack. A pass counts the
+    cells of all sizes that the next LEVELS halvings may come to, for all images at once."""
+    p = pixels.select("image_id", "ord", "x", "y")
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1.0))
+    own = p.groupBy("image_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), span.alias("span"))
+    state = cut(own.select("image_id", "n", "x0", "y0", (F.col("span") / (nodes * 4.0)).alias("low"), (F.col("span") / 2.0).alias("high"), F.lit(None).cast("double").alias("size"), (F.col("n") <= nodes).alias("settled")))
+    done = 0
+    while done < rounds and not state.where("not settled").isEmpty():
+        levels = min(LEVELS, rounds - done)
+        low, high, size = {1: F.col("low")}, {1: F.col("high")}, {}
+        for k in range(1, 1 << levels):
+            size[k] = 0.5 * (low[k] + high[k])
+            low[2 * k], high[2 * k] = low[k], size[k]
+            low[2 * k + 1], high[2 * k + 1] = size[k], high[k]
+        tree = state.where("not settled").select("image_id", "x0", "y0", F.posexplode(F.array(*[size[k] for k in sorted(size)])).alias("k", "size"))
+        at = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) * (1.0 / F.col("size")))
+        counts = p.join(tree, "image_id").select("image_id", "k", at("x").alias("i"), at("y").alias("j")).distinct().groupBy("image_id", "k").agg(F.count("*").alias("c"))
+        found = counts.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k") + 1, "c"))).alias("counts"))
+        # The way down the tree, from its root 1 to the children 2k (smaller cells) and 2k + 1: negative once a size is right.
+        state = state.join(found, "image_id", "left").withColumn("way", F.lit(1))
+        for _ in range(levels):
+            way, c = F.col("way"), F.col("counts")[F.abs("way")]
+            state = state.withColumn("way", F.when(way < 0, way).when(c > nodes * (1 + slack), 2 * way + 1).when(c < nodes * (1 - slack), 2 * way).otherwise(-way))
+        way = F.col("way")
+        tried = F.when(way < 0, -way).otherwise(F.floor(way / 2).cast("int"))
+        of = lambda values, k: F.get(F.array(*[values[x] for x in sorted(values)]), k - 1)
+        fresh = ~F.col("settled")
+        new = {"low": F.when(fresh, of(low, F.abs("way"))).otherwise(F.col("low")), "high": F.when(fresh, of(high, F.abs("way"))).otherwise(F.col("high")), "size": F.when(fresh, of(size, tried)).otherwise(F.col("size"))}
+        state = cut(state.select("image_id", "n", "x0", "y0", *[v.alias(k) for k, v in new.items()], (F.col("settled") | (F.col("way") < 0)).alias("settled")))
+        done += levels
+    cells = p.join(state.select("image_id", "x0", "y0", "size"), "image_id")
+    at = lambda c: F.coalesce(F.floor((F.col(c) - F.col(f"{c}0")) * (1.0 / F.col("size"))), F.lit(0))
+    # An image that is whole has no size; there each pixel is a cell of its own.
+    single = F.when(F.col("size").isNull(), F.col("ord"))
+    w = Window.partitionBy("image_id", at("x"), at("y"), single)
+    ranked = cells.withColumns({"__k": F.row_number().over(w.orderBy("ord")), "__n": F.count("*").over(w)})
+    return ranked.where(F.col("__k") == F.floor(F.col("__n") / 2) + 1).select("image_id", "ord", "x", "y")
+
+
 def subsections(pixels: DataFrame, length: int = 30) -> DataFrame:
     """(image_id, branch_id, ord, x, y, section_id): branches cut into equal runs of their pixel order, about length each; the last takes the remainder."""
     w = Window.partitionBy("image_id", "branch_id")

@@ -6,6 +6,9 @@ image is much larger than the others; aggregates over candidate pairs are partia
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,29 +43,63 @@ def min_distance_matrix(points: DataFrame, targets: DataFrame) -> DataFrame:
     return j.select("image_id", "id", "branch_id", F.sqrt(F.array_min(F.transform("pts", away))).alias("distance"))
 
 
-#: Targets of an image up to which all its pairs are compared; images with more go by grid cells.
-PAIRED_TARGETS = 4096
+def finite(df: DataFrame) -> DataFrame:
+    """Rows with coordinates: null, infinite and NaN ones are near nothing."""
+    ok = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    return df.where(ok("x") & ok("y"))
+
+
+def expanded(points: DataFrame, targets: DataFrame, k: int = 1, of_branches: bool = False, others: bool = False) -> DataFrame:
+    """(image_id, id, d2, ord, branch_id, tx, ty, rank): the k nearest targets of each point's image, ties to the smaller ord; of_branches: the nearest target of each of the k nearest branches, ties to the smaller branch_id;
+    others: not those whose ord is the point's id.
+
+    Each image has a grid whose cells hold some targets on average, by its own extent and number. A point is compared with the 3x3 cells around it, and is settled once its k-th distance isn't larger than a cell: nothing nearer can lie
+    outside. The others go on in cells of four times the width, at the end in one that holds the whole image. Only as many rows are left in the later rounds as there are points far from their targets."""
+    t = finite(targets.select("image_id", F.col("branch_id").cast("long").alias("branch_id"), "ord", "x", "y"))
+    p = finite(points.select("image_id", "id", "x", "y"))
+    spans = lambda df: df.groupBy("image_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"))
+    both = spans(t).unionByName(spans(p).withColumn("n", F.lit(0).cast("long"))).groupBy("image_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    reach = F.greatest(width, height)
+    mean = F.sqrt(width * height / F.greatest("n", F.lit(1))) * math.sqrt(4 * k * (4 if of_branches else 1) / 9)
+    grid = cut(both.where("n > 0").select("image_id", "x0", "y0", reach.alias("reach"), F.greatest(mean, reach / F.sqrt("n") / 8, reach * 1e-6, F.lit(1e-9)).alias("size")))
+    at = lambda c, o, size: F.floor((F.col(c) - F.col(o)) / size)
+    step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left, done, scale = p.join(grid, "image_id"), None, 1.0
+    of = t.join(grid, "image_id")
+    key = ["image_id", "id"]
+    while True:
+        size = F.col("size") * scale
+        cells = of.select("image_id", "branch_id", "ord", F.col("x").alias("tx"), F.col("y").alias("ty"), at("x", "x0", size).alias("cx"), at("y", "y0", size).alias("cy"))
+        around = left.withColumns({"cx": at("x", "x0", size), "cy": at("y", "y0", size), "s": F.explode(step)}).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")})
+        near = around.select(*key, "x", "y", "reach", size.alias("cell"), "cx", "cy").join(cells, ["image_id", "cx", "cy"]).withColumn("d2", distance2("x", "y", "tx", "ty"))
+        if others:
+            near = near.where("id <> ord")
+        if of_branches or k == 1:
+            best = F.min(F.struct("d2", "ord", "branch_id", "tx", "ty")).alias("m")
+            by = [*key, "branch_id"] if of_branches else key
+            near = near.groupBy(*by).agg(best, F.max("reach").alias("reach"), F.max("cell").alias("cell")).select(*key, "m.*", "reach", "cell")
+        order = ["d2", "branch_id"] if of_branches else ["d2", "ord"]
+        near = ranked(near, k, key, *order) if k > 1 else near.withColumn("rank", F.lit(1))
+        # A row is near enough by its own distance; a point is settled by its k-th, or where a cell holds the image.
+        sure = F.max(F.when((F.col("cell") >= F.col("reach")) | (F.col("rank") == k) & (F.col("d2") <= F.col("cell") * F.col("cell")), 1).otherwise(0))
+        found = near.withColumn("sure", sure.over(Window.partitionBy(*key)) if k > 1 else F.when((F.col("cell") >= F.col("reach")) | (F.col("d2") <= F.col("cell") * F.col("cell")), 1).otherwise(0))
+        ok = cut(found.where("sure = 1").select(*key, "d2", "ord", "branch_id", "tx", "ty", "rank"))
+        done = ok if done is None else done.unionByName(ok)
+        left = cut(left.join(ok.where("rank = 1").select(*key), key, "left_anti").where(size < F.col("reach")))
+        if left.isEmpty():
+            return done
+        scale *= 4
 
 
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(image_id, id, branch_id, ord, tx, ty, distance) of the nearest target, ties to the smaller ord: by all pairs in images with up to PAIRED_TARGETS targets, else by rings."""
-    n = cut(targets.groupBy("image_id").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area")).where(F.col("n") > PAIRED_TARGETS))
-    width = n.agg(F.max(F.sqrt(F.col("area") / F.col("n")))).first()[0]
-    if width is None:
-        return nearest_of_all(points, targets)
-    large = n.select("image_id")
-    few = [df.join(large, "image_id", "left_anti") for df in (points, targets)]
-    many = [df.join(large, "image_id", "left_semi") for df in (points, targets)]
-    return nearest_of_all(*few).unionByName(nearest_by_rings(*many, max(2 * width, 1e-6)))
+    """(image_id, id, branch_id, ord, tx, ty, distance) of the nearest target, ties to the smaller ord."""
+    return expanded(points, targets).select("image_id", "id", "branch_id", "ord", "tx", "ty", F.sqrt("d2").alias("distance"))
 
 
 def nearest_of_all(points: DataFrame, targets: DataFrame) -> DataFrame:
     """The same by all pairs of an image."""
-    p = points.select("image_id", "id", "x", "y")
-    # The least distance is a hash aggregate over all pairs; only the pairs that have it go through the slower ordering of ties.
-    least = pairs(p, targets).groupBy("image_id", "id").agg(F.min("d2").alias("least"))
-    tied = pairs(p.join(least, ["image_id", "id"]), targets).where(F.col("d2") == F.col("least"))
-    best = tied.groupBy("image_id", "id").agg(F.min(F.struct("d2", "ord", "branch_id", "tx", "ty")).alias("m"))
+    best = pairs(points.select("image_id", "id", "x", "y"), targets).groupBy("image_id", "id").agg(F.min(F.struct("d2", "ord", "branch_id", "tx", "ty")).alias("m"))
     return best.select("image_id", "id", "m.branch_id", "m.ord", "m.tx", "m.ty", F.sqrt("m.d2").alias("distance"))
 
 
@@ -89,32 +126,12 @@ def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest_by_rings(points: DataFrame, targets: DataFrame, size: float) -> DataFrame:
-    """nearest() by grid cells, for images with many targets: a point is settled once its nearest target in the 3x3 cells is no further than
-    a cell's width; the others go on with cells four times as wide, at the end with one cell."""
-    left, done = points, None
-    both = points.select("x", "y").unionByName(targets.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if both[0] is None:
-        return nearest_of_all(points, targets)
-    reach = max(both[1] - both[0], both[3] - both[2], size)
-    while True:
-        found = radius_cells(left, targets, size)
-        ok = found.where((F.col("distance") <= size) | F.lit(size >= reach))
-        ok = cut(ok)
-        done = ok if done is None else done.unionByName(ok)
-        if size >= reach:
-            return done
-        left = cut(left.join(ok.select("image_id", "id"), ["image_id", "id"], "left_anti"))
-        if left.isEmpty():
-            return done
-        size *= 4
-
-
-def radius_cells(points: DataFrame, targets: DataFrame, size: float) -> DataFrame:
-    """Nearest target within the 3x3 cells around each point."""
+    """nearest() with one cell size for all images at first: a point is settled once its nearest target in the 3x3 cells is no further than a cell's width; the others go by each image's own."""
     t = in_cells(targets.select("image_id", "branch_id", "ord", "x", "y"), size, False).withColumnsRenamed({"x": "tx", "y": "ty"})
     near = in_cells(points.select("image_id", "id", "x", "y"), size, True).join(t, ["image_id", "cx", "cy"]).withColumn("d2", distance2("x", "y", "tx", "ty"))
     best = near.groupBy("image_id", "id").agg(F.min(F.struct("d2", "ord", "branch_id", "tx", "ty")).alias("m"))
-    return best.select("image_id", "id", "m.branch_id", "m.ord", "m.tx", "m.ty", F.sqrt("m.d2").alias("distance"))
+    ok = cut(best.where(F.col("m.d2") <= size * size).select("image_id", "id", "m.branch_id", "m.ord", "m.tx", "m.ty", F.sqrt("m.d2").alias("distance")))
+    return ok.unionByName(nearest(points.join(ok.select("image_id", "id"), ["image_id", "id"], "left_anti"), targets))
 
 
 def ranked(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
@@ -124,20 +141,19 @@ def ranked(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
 
 
 def knn_branches(points: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
-    """The k branches nearest to each point, ties to the smaller branch_id."""
-    return ranked(min_distance_matrix(points, targets), k, ["image_id", "id"], F.col("distance"), F.col("branch_id"))
+    """(image_id, id, branch_id, distance, rank): the k branches nearest to each point, ties to the smaller branch_id."""
+    return expanded(points, targets, k, of_branches=True).select("image_id", "id", "branch_id", F.sqrt("d2").alias("distance"), "rank")
 
 
 def knn_points(points: DataFrame, k: int = 5) -> DataFrame:
     """(image_id, id, other, distance, rank): the k other points nearest to each, by id for self exclusion and ties."""
-    o = points.select("image_id", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = points.join(o, "image_id").where(F.col("id") != F.col("other")).withColumn("d2", distance2("x", "y", "ox", "oy"))
-    return ranked(near, k, ["image_id", "id"], F.col("d2"), F.col("other")).select("image_id", "id", "other", F.sqrt("d2").alias("distance"), "rank")
+    t = points.select("image_id", F.lit(0).alias("branch_id"), F.col("id").alias("ord"), "x", "y")
+    return expanded(points, t, k, others=True).select("image_id", "id", F.col("ord").alias("other"), F.sqrt("d2").alias("distance"), "rank")
 
 
 def knn_targets(points: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """The k targets (pixels) nearest to each point, ties by ord."""
-    return ranked(pairs(points, targets), k, ["image_id", "id"], F.col("d2"), F.col("ord")).select("image_id", "id", "ord", "branch_id", F.sqrt("d2").alias("distance"), "rank")
+    return expanded(points, targets, k).select("image_id", "id", "ord", "branch_id", F.sqrt("d2").alias("distance"), "rank")
 
 
 def two_nearest(points: DataFrame, targets: DataFrame, ratio: float = 1.5) -> DataFrame:
@@ -210,6 +226,33 @@ def nearest_vector(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return best.groupBy("id").agg(F.min(F.struct("d2", "ord", "branch_id")).alias("m")).select("id", "m.ord", "m.branch_id", "m.d2")
 
 
+def apart(df: DataFrame):
+    """df by image for a cogroup, with columns of its own: both sides may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy("image_id")
+
+
+def _nearest_of_image(digits: int, queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+    """Each query's nearest target of an image, in blocks of queries; distances that agree to so many digits are equal, and the smaller ord counts."""
+    out = []
+    targets = targets.sort_values("ord")
+    t = np.stack(targets["vector"].to_numpy()).astype(float) if len(targets) else None
+    for k in range(0, len(queries) if t is not None else 0, BLOCK):
+        part = queries.iloc[k : k + BLOCK]
+        q = np.stack(part["vector"].to_numpy()).astype(float)
+        d2 = np.zeros((len(q), len(t)))
+        for c in range(t.shape[1]):
+            d2 += (q[:, c][:, None] - t[:, c][None]) ** 2
+        best = np.round(d2, digits).argmin(axis=1)
+        out.append(pd.DataFrame({"image_id": part["image_id"].to_numpy(), "id": part["id"].to_numpy(), "ord": targets["ord"].to_numpy()[best], "branch_id": targets["branch_id"].to_numpy()[best], "d2": d2[np.arange(len(q)), best]}))
+    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("image_id", "id", "ord", "branch_id", "d2")})
+
+
+def nearest_vector_of_image(queries: DataFrame, targets: DataFrame, digits: int = 9) -> DataFrame:
+    """(image_id, id, ord, branch_id, d2) of the target (image_id, ord, branch_id, vector) of the same image nearest to each query (image_id, id, vector)."""
+    shape = "image_id long, id long, ord long, branch_id long, d2 double"
+    return apart(queries.select("image_id", "id", "vector")).cogroup(apart(targets.select("image_id", "ord", "branch_id", "vector"))).applyInPandas(partial(_nearest_of_image, digits), shape)
+
+
 def ray_hits(rays: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """Hits of rays (ox, oy, dx, dy) on segments (ax, ay, bx, by) of the same image: t along the ray in [0, reach], s along the segment in [0, 1]; parallels don't hit."""
     j = rays.join(segments, "image_id")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twigspark.functions.geometry import frame_number, natural_key, vector_distance2
-from twigspark.operators import cluster, counts, evaluate, fit, graphs, heat, hierarchy, joins, lsystem, raster, rays, shoots, skeleton, transport
+from twigspark.functions.durable import cut
+from twigspark.functions.geometry import frame_number, natural_key
+from twigspark.operators import cluster, counts, evaluate, fit, geodesic, graphs, heat, hierarchy, joins, lsystem, raster, rays, shoots, skeleton, transport
 from twigspark.operators.components import components, levels
 from twigspark.plans import spaces
 from twigspark.sources import files
@@ -22,6 +23,8 @@ ORACLES: dict[str, str] = {}
 #: The labelled space (l) and the tree space (t) as points (f) and pixels (p).
 LABELLED = """lf as (select 1::bigint image_id, vec_id id, embedding[1]::double * 1000 x, embedding[2]::double * 1000 y from embeddings where vec_id % 5 = 0),
 lp as (select 1::bigint image_id, vec_id ord, label::bigint branch_id, embedding[1]::double * 1000 x, embedding[2]::double * 1000 y from embeddings where vec_id % 5 <> 0)"""
+#: The labelled space as many images.
+SEVERAL = LABELLED.replace("1::bigint", "vec_id // 250")
 TREE = """t as (select l_suppkey image_id, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey id, l_linenumber::bigint branch_id, l_quantity * 10 x, l_extendedprice / 100 y, l_returnflag from lineitem),
 tf as (select * from t where l_returnflag = 'R'), tp as (select image_id, id ord, branch_id, x, y from t where l_returnflag <> 'R')"""
 L_PAIRS = "pr as (select f.image_id, f.id, f.x, f.y, p.ord, p.branch_id, p.x tx, p.y ty, (f.x - p.x) * (f.x - p.x) + (f.y - p.y) * (f.y - p.y) d2 from lf f join lp p using (image_id))"
@@ -78,7 +81,7 @@ def knn_branch_weights(spark, sf):
 
 
 POINT_EDGES = """nn as (select a.id i, b.id j, exp(-sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 50) w,
-row_number() over (partition by a.id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) k from lf a join lf b on a.id <> b.id),
+row_number() over (partition by a.id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) k from lf a join lf b on a.id <> b.id and a.image_id = b.image_id),
 pe as (select i, j, max(w) w from (select i, j, w from nn where k <= 5 union all select j, i, w from nn where k <= 5) group by all)"""
 
 
@@ -195,14 +198,14 @@ def run_report(spark, sf):
 
 # Propagation
 
-WALK = f"""{LABELLED}, {L_PAIRS}, {MATRIX}, {POINT_EDGES}, kb as (select id, branch_id, exp(-distance / 50) w from mx qualify row_number() over (partition by id order by distance, branch_id) <= 3),
+WALK = f"""{SEVERAL}, {L_PAIRS}, {MATRIX}, {POINT_EDGES}, kb as (select id, branch_id, exp(-distance / 50) w from mx qualify row_number() over (partition by id order by distance, branch_id) <= 3),
 tot as (select i, sum(w) tw from (select id i, w from kb union all select i, w from pe) group by all),
 rr as (select id i, branch_id, w / tw p from kb join tot on i = id), qq as (select i, j, w / tw p from pe join tot using (i))"""
 
 
 @query(f"with {WALK} select i id, round(sum(p), 6) total from (select i, p from rr union all select i, p from qq) group by all")
 def random_walk_rowsum(spark, sf):
-    f, p = spaces.labelled(spark, sf)
+    f, p = spaces.several(spark, sf)
     return graphs.transitions(graphs.branch_weights(f, p), graphs.point_weights(f)).groupBy(F.col("i").alias("id")).agg(F.round(F.sum("p"), 6).alias("total"))
 
 
@@ -215,7 +218,7 @@ def _walk_sql(steps: int) -> str:
 
 @query(_walk_sql(5))
 def random_walk_iter5(spark, sf):
-    f, p = spaces.labelled(spark, sf)
+    f, p = spaces.several(spark, sf)
     return graphs.walk_steps(graphs.transitions(graphs.branch_weights(f, p), graphs.point_weights(f)), 5).select("id", "branch_id", r("f"))
 
 
@@ -227,7 +230,7 @@ fw as (select id, branch_id, p / sum(p) over (partition by id) probability from
 
 @query(_WALKED + " select id, branch_id, round(probability, 6) probability from fw")
 def random_walk_assign(spark, sf):
-    return graphs.random_walk(*spaces.labelled(spark, sf)).select("id", "branch_id", r("probability"))
+    return graphs.random_walk(*spaces.several(spark, sf)).select("id", "branch_id", r("probability"))
 
 
 def _edges(p: DataFrame) -> DataFrame:
@@ -236,37 +239,57 @@ def _edges(p: DataFrame) -> DataFrame:
 
 @query()
 def laplacian_assign(spark, sf):
-    f, p = spaces.labelled(spark, sf)
-    return graphs.laplacian(f, p, _edges(p))
+    f, p = spaces.several(spark, sf)
+    return graphs.laplacian(f, p, _edges(p)).select("image_id", "id", "branch_id")
 
 
 @query()
 def hybrid_laplacian(spark, sf):
-    f, p = spaces.labelled(spark, sf)
+    f, p = spaces.several(spark, sf)
     return graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.laplacian(f, p, _edges(p)))
 
 
+@query(f"with {SEVERAL}, b as (select image_id, count(distinct branch_id) branches from lp where image_id in (select image_id from lf) group by image_id) select image_id, branches, branches * branches scores, true optimal from b")
+def laplacian_optimality(spark, sf):
+    """Of each image's scores: that the gradient is gone, checked by joins on the scores and edges, not by the solver."""
+    f, p = spaces.several(spark, sf)
+    w, edges = graphs.branch_weights(f, p), _edges(p)
+    return graphs.score_gradients(graphs.laplacian_scores(f, p, edges), w, edges).groupBy("image_id").agg(
+        F.count_distinct("branch_id").alias("branches"), F.count("*").alias("scores"), (F.max(F.abs("gradient")) < 1e-7).alias("optimal")
+    )
+
+
 @query(_WALKED + f", {RATIO} select image_id, id, case when ratio > 1.5 then sp.branch_id else fw.branch_id end branch_id, case when ratio > 1.5 then 'nearest' else 'solver' end how from sp join fw using (id)")
 def hybrid_random_walk(spark, sf):
-    f, p = spaces.labelled(spark, sf)
+    f, p = spaces.several(spark, sf)
     return graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.random_walk(f, p))
 
 
-def embedded_branches(f: DataFrame, p: DataFrame, k: int = 3, dims: int = 8) -> DataFrame:
-    """Flowers hang on their k nearest pixels, pixels on their near ones and branches on each other by their closest pixels; each flower takes the branch of the pixel nearest to it in the graph's embedding."""
-    own = joins.radius_join(p.select("image_id", F.col("ord").alias("id"), "x", "y", F.col("branch_id").alias("own")), p, 60.0).where("own = branch_id and id < ord").select("image_id", F.col("id").alias("a"), F.col("ord").alias("b"))
-    cross = hierarchy.bridges(hierarchy.adjacency(p, 12.0), p).select("image_id", F.col("pixel_a").alias("a"), F.col("pixel_b").alias("b"))
-    hang = joins.knn_targets(f, p, k).select("image_id", F.col("id").alias("a"), F.col("ord").alias("b"))
-    v = graphs.embedding(own.unionByName(cross).unionByName(hang).distinct(), dims)
-    q = f.join(v, (f.image_id == v.image_id) & (f.id == v.node)).select(f.image_id, "id", F.col("vector").alias("a"))
-    t = p.join(v, (p.image_id == v.image_id) & (p.ord == v.node)).select(p.image_id, "ord", "branch_id", "vector")
-    j = q.join(t, "image_id").withColumn("d2", vector_distance2("a", "vector"))
-    return j.groupBy("image_id", "id").agg(F.min_by("branch_id", F.struct(F.round("d2", 9), "ord")).alias("branch_id"))
+def embedded_branches(f: DataFrame, p: DataFrame, edges: DataFrame, step: float = 1.0, k: int = 3, dims: int = 8) -> DataFrame:
+    """(image_id, id, branch_id): each flower takes the branch of the pixel nearest to it in the embedding of the graph of both."""
+    v = cut(graphs.embedding(graphs.embedding_graph(f, p, edges, k, step), dims))
+    of = lambda kind: v.where(F.col("kind") == kind).select("image_id", "node", "vector")
+    t = of(graphs.PIXEL).join(p.select("image_id", F.col("ord").alias("node"), F.col("branch_id").cast("long").alias("branch_id")), ["image_id", "node"]).withColumnRenamed("node", "ord")
+    return joins.nearest_vector_of_image(of(graphs.FLOWER).withColumnRenamed("node", "id"), t, 9).select("image_id", "id", "branch_id")
+
+
+#: Pixels of the labelled spaces are this far apart, as those of an image are one.
+STEP = 60.0
 
 
 @query()
 def embedding_assign(spark, sf):
-    return embedded_branches(*spaces.labelled(spark, sf))
+    f, p = spaces.several(spark, sf)
+    return embedded_branches(f, p, _edges(p), STEP)
+
+
+@query(f"with {SEVERAL} select image_id, unnest(range(8)) dim, true eigenvector, true orthonormal from (select distinct image_id from lf where image_id in (select image_id from lp))")
+def embedding_residuals(spark, sf):
+    """Each vector of each image's embedding: that it is an eigenvector to 1e-5 and orthonormal to the others, by joins on the edge table."""
+    f, p = spaces.several(spark, sf)
+    g = cut(graphs.embedding_graph(f, p, _edges(p), 3, STEP))
+    r = graphs.eigen_residuals(g, graphs.embedding(g))
+    return r.select("image_id", "dim", (F.col("residual") < 1e-5).alias("eigenvector"), ((F.abs(F.col("norm") - 1) < 1e-6) & (F.col("cross") < 1e-6)).alias("orthonormal"))
 
 
 # Fits
@@ -605,10 +628,52 @@ def subsample_nodes(spark, sf):
     return heat.subsampled(spaces.labelled(spark, sf)[1], 40.0).select("ord")
 
 
+_SAMPLED = f"""with recursive {TREE}, g as (select image_id, count(*) n, min(x) x0, min(y) y0, greatest(max(x) - min(x), max(y) - min(y), 1.0) span from tp group by image_id),
+bs(image_id, k, low, high, size, settled) as (select image_id, 0, span / (60 * 4.0), span / 2.0, null::double, n <= 60 from g union all
+ select image_id, k + 1, case when c > 60 * 1.1 then m else low end, case when c < 60 * 0.9 then m else high end, m, c between 60 * 0.9 and 60 * 1.1 from (
+  select b.image_id, b.k, b.low, b.high, 0.5 * (b.low + b.high) m, count(distinct struct_pack(i := floor((x - x0) * (1.0 / (0.5 * (b.low + b.high)))), j := floor((y - y0) * (1.0 / (0.5 * (b.low + b.high)))))) c
+  from bs b join g using (image_id) join tp using (image_id) where not b.settled and b.k < 20 group by all)),
+z as (select image_id, arg_max(size, k) size from bs group by all),
+nd as (select tp.image_id, ord, tp.x, tp.y from tp join g using (image_id) join z using (image_id)
+ qualify row_number() over (partition by tp.image_id, floor((tp.x - x0) * (1.0 / size)), floor((tp.y - y0) * (1.0 / size)), case when size is null then ord end order by ord)
+  = count(*) over (partition by tp.image_id, floor((tp.x - x0) * (1.0 / size)), floor((tp.y - y0) * (1.0 / size)), case when size is null then ord end) // 2 + 1)"""
+
+
+@query(f"{_SAMPLED} select image_id, ord from nd")
+def sampled_nodes(spark, sf):
+    """About 60 nodes an image, by a search for its cell size."""
+    return heat.sampled(spaces.tree(spark, sf)[1], 60).select("image_id", "ord")
+
+
+#: Paths over pixels at most 40 apart between every 50th vector's pixel and the next; the search goes on from what became shorter.
+_PATHS = f"""with recursive {SEVERAL}, ed as (select a.image_id, a.ord u, b.ord v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) w from lp a join lp b on a.image_id = b.image_id and a.ord <> b.ord and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600),
+sp(s, v, d) using key (s, v) as (select ord, ord, 0::double from lp where ord % 50 = 1 union
+ select x.s, x.v, x.d from (select sp.s, ed.v, min(sp.d + ed.w) d from sp join ed on ed.u = sp.v group by sp.s, ed.v) x left join recurring.sp r on r.s = x.s and r.v = x.v where r.d is null or x.d < r.d)
+select p.image_id, s a, v b, round(d, 6) distance from sp join lp p on p.ord = s where s < v and v % 50 = 1"""
+
+
+@query(_PATHS)
+def geodesic_distances(spark, sf):
+    p = spaces.several(spark, sf)[1]
+    return geodesic.geodesics(p, p.where("ord % 50 = 1"), 40.0).select("image_id", "a", "b", r("distance"))
+
+
+@query(_PATHS)
+def geodesic_distances_by_joins(spark, sf):
+    """The same where no image is small enough for a kernel before its other pixels are eliminated."""
+    p = spaces.several(spark, sf)[1]
+    return geodesic.geodesics(p, p.where("ord % 50 = 1"), 40.0, 350).select("image_id", "a", "b", r("distance"))
+
+
+def _heat_of_images(spark, sf, kinds: int = 4) -> DataFrame:
+    f, p = spaces.several(spark, sf)
+    return heat.heat_field(f.withColumn("n", 1 + F.col("id") % kinds), p, 80.0)
+
+
 @query()
 def sinkhorn_similarity(spark, sf):
-    p = spaces.labelled(spark, sf)[1]
-    return transport.transport_similarity(_heat(spark, sf), _heat(spark, sf, 7), p, 60.0, 40.0)
+    p = spaces.several(spark, sf)[1]
+    return transport.transport_similarity(_heat_of_images(spark, sf), _heat_of_images(spark, sf, 7), p, 120, 40.0)
 
 
 # L-System and shoots
@@ -631,19 +696,19 @@ def lsystem_validate(spark, sf):
 
 @query()
 def lsystem_assign(spark, sf):
-    f, p = spaces.labelled(spark, sf)
+    f, p = spaces.several(spark, sf)
     return lsystem.reconstruct(f, p, 10.0)[1]
 
 
 @query()
 def shoots_by_clusters(spark, sf):
-    f, p = spaces.labelled(spark, sf)
+    f, p = spaces.several(spark, sf)
     return shoots.first_form(f, p, 6.0)[0].select("shoot_id", "branch_id", "n", r("length_cm", 4), r("confidence", 4), "found", "merged_from", "flag_too_short", "flag_too_long", "flag_bad_count")
 
 
 @query()
 def shoots_by_rays(spark, sf):
-    f, p = spaces.labelled(spark, sf)
+    f, p = spaces.several(spark, sf)
     return shoots.second_form(f, p, 6.0)[0].select("shoot_id", "branch_id", "found", r("score", 4))
 
 
@@ -942,26 +1007,33 @@ def shared_pixels(spark, sf):
     return skeleton.deduplicated_candidates(_cells(spark, sf)).select("image_id", "a", "b", r("share"))
 
 
-# Registry of assignment methods: (flowers, pixels) to a branch per flower.
-METHODS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "nearest": lambda f, p: joins.nearest(f, p).select("image_id", "id", "branch_id"),
-    "random_walk": lambda f, p: graphs.random_walk(f, p).select("image_id", "id", "branch_id"),
-    "laplacian": lambda f, p: graphs.laplacian(f, p, _edges(p)).select("image_id", "id", "branch_id"),
-    "embedding": lambda f, p: embedded_branches(f, p).select("image_id", "id", "branch_id"),
-    "hybrid_laplacian": lambda f, p: graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.laplacian(f, p, _edges(p))).drop("how"),
-    "hybrid_random_walk": lambda f, p: graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.random_walk(f, p)).drop("how"),
-    "clusters": lambda f, p: shoots.first_form(f, p, 6.0)[1].select("image_id", "id", "branch_id"),
-    "rays": lambda f, p: shoots.second_form(f, p, 6.0)[1].select("image_id", "id", "branch_id"),
-    "lsystem": lambda f, p: lsystem.reconstruct(f, p, 10.0)[1].select("image_id", "id", "branch_id"),
-}
+def methods(step: float = 1.0, gap: float = 7.0, px_per_cm: float = 6.0) -> dict[str, Callable[[DataFrame, DataFrame], DataFrame]]:
+    """Registry of assignment methods: (flowers, pixels) to a branch per flower. Pixels lie a step apart, and branches within gap are neighbours."""
+    near = lambda p: hierarchy.adjacency(p, gap)
+    split = lambda f, p: counts.ambiguity(joins.min_distance_matrix(f, p))
+    found = {
+        "nearest": joins.nearest,
+        "random_walk": graphs.random_walk,
+        "laplacian": lambda f, p: graphs.laplacian(f, p, near(p)),
+        "embedding": lambda f, p: embedded_branches(f, p, near(p), step),
+        "hybrid_laplacian": lambda f, p: graphs.hybrid(split(f, p), graphs.laplacian(f, p, near(p))),
+        "hybrid_random_walk": lambda f, p: graphs.hybrid(split(f, p), graphs.random_walk(f, p)),
+        "clusters": lambda f, p: shoots.first_form(f, p, px_per_cm)[1],
+        "rays": lambda f, p: shoots.second_form(f, p, px_per_cm)[1],
+        "lsystem": lambda f, p: lsystem.reconstruct(f, p, px_per_cm)[1],
+    }
+    return {k: lambda f, p, m=m: m(f, p).select("image_id", "id", "branch_id") for k, m in found.items()}
+
+
+METHODS = methods(STEP, 12.0)
 
 
 @query()
 def method_accuracy(spark, sf):
     """All methods of the registry against the branch of the nearest ground-truth point."""
-    f, p = spaces.labelled(spark, sf)
-    truth = evaluate.true_branches(f, p)
-    scored = [evaluate.accuracy(m(f, p).withColumn("method", F.lit(n)), truth) for n, m in METHODS.items()]
+    f, p = map(cut, spaces.several(spark, sf))
+    truth = cut(evaluate.true_branches(f, p))
+    scored = [cut(evaluate.accuracy(m(f, p).withColumn("method", F.lit(n)), truth)) for n, m in METHODS.items()]
     out = scored[0]
     for s in scored[1:]:
         out = out.unionByName(s)

@@ -17,6 +17,17 @@ def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id % 5 = 0").select(one, F.col("vec_id").alias("id"), "x", "y"), e.where("vec_id % 5 <> 0").select(one, F.col("vec_id").alias("ord"), "branch_id", "x", "y")
 
 
+#: Vectors of an image of `several`.
+IMAGE = 250
+
+
+def several(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The labelled space as an image for every IMAGE vectors, so that images grow in number with the table and not in size."""
+    of = lambda df, c: df.withColumn("image_id", F.floor(F.col(c) / IMAGE))
+    f, p = labelled(spark, sf)
+    return of(f, "id"), of(p, "ord")
+
+
 def tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """An image per supplier, a branch per line number; returned lines are flowers, the others pixels."""
     key = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("id")
