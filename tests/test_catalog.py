@@ -9,9 +9,6 @@ import pytest
 
 from twigspark.plans.catalog import ORACLES, QUERIES
 
-SLOW = {"method_accuracy"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
@@ -41,6 +38,6 @@ def test_equals_duckdb(spark, sf, duck, name):
     assert got == want and got[1]
 
 
-@pytest.mark.parametrize("name", sorted({*QUERIES} - {*ORACLES} - SLOW))
+@pytest.mark.parametrize("name", sorted({*QUERIES} - {*ORACLES}))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0

@@ -364,13 +364,12 @@ def test_medial_subsections(spark):
         assert r.section_id == want
 
 
-def test_nearest_by_pairs_and_rings_agree(spark, monkeypatch):
+def test_nearest_by_pairs_and_rings_agree(spark):
     r = np.random.default_rng(5)
     t = [(1 + k % 2, k % 3, k, float(x), float(y)) for k, (x, y) in enumerate(r.integers(0, 40, (400, 2)))] + [(3, 0, 1000, 1.0, 1.0)]
     p = [(1 + k % 4, k, float(x), float(y)) for k, (x, y) in enumerate(r.integers(-10, 60, (80, 2)))]
     points, targets = spark.createDataFrame(p, "image_id long, id long, x double, y double"), spark.createDataFrame(t, "image_id long, branch_id long, ord long, x double, y double")
     want = sorted(map(tuple, joins.nearest_of_all(points, targets).collect()))
-    monkeypatch.setattr(joins, "PAIRED_TARGETS", 100)
     assert sorted(map(tuple, joins.nearest(points, targets).collect())) == want and len(want) == 60
 
 

@@ -1,6 +1,7 @@
 """Runs from files to results."""
 
 import json
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,3 +68,60 @@ def test_hierarchy_of_a_raster(spark, tmp_path):
     assert [tuple(r)[1:] for r in out["edges"].collect()] == [(1, 2)]
     files.write_json(files.graph_documents(out["nodes"], out["edges"], out["pixels"]), str(tmp_path / "g"))
     assert files.graph_pixels(files.graphs(spark, str(tmp_path / "g"))).count() == 348
+
+
+def failing(on):
+    """A method that fails inside its kernel on some images."""
+
+    def run(f, p):
+        def kernel(x):
+            if x["image_id"].iloc[0] in on:
+                raise ValueError("no")
+            return x[["image_id", "id"]].assign(branch_id=0)
+
+        return f.groupBy("image_id").applyInPandas(kernel, "image_id long, id long, branch_id long")
+
+    return run
+
+
+def test_a_method_that_fails_keeps_the_others(spark, tmp_path):
+    for k in (3, 5, 7):
+        tree(tmp_path, k)
+    f, p, _ = runs.load(spark, str(tmp_path / "*_graph.json"), str(tmp_path / "frame*.json"))
+    truth = p.where("ord % 20 = 0").withColumn("n", F.lit(1))
+    loads = {"nearest": lambda f, p: f.select("image_id", "x", "y", F.lit(1).alias("n"))}
+    out = {(r.image_id, r.method): r for r in runs.method_table(f, p, truth, {"nearest": METHODS["nearest"], "broken": failing({5})}, loads, nodes=60).collect()}
+    assert len(out) == 6 and all(out[k, "nearest"].accuracy == 1.0 and out[k, "nearest"].note == "" for k in (3, 5, 7))
+    assert out[5, "broken"].accuracy is None and out[5, "broken"].note.startswith("ERR:")
+    assert out[3, "broken"].accuracy is not None and out[7, "broken"].note == ""
+    one = out[3, "nearest"]
+    assert one.wasserstein_cm > 0 and 0 < one.similarity < 1 and one.flowers == 20 and 54 <= one.nodes <= 66 and len(one.timestamp) == 19
+    assert out[3, "broken"].wasserstein_cm is None
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
+    images = spark.createDataFrame([(k,) for k in range(12)], "image_id long")
+    runs_of: list[int] = []
+    path = str(tmp_path / "out")
+
+    def method(stop):
+        def run(part):
+            ids = sorted(r.image_id for r in part.collect())
+            runs_of.extend(ids)
+            if stop and os.path.isdir(path):  # killed once a batch has been committed
+                raise KeyboardInterrupt
+            return part.withColumn("twice", F.col("image_id") * 2).where("image_id <> 4 or raise_error('bad') is null")
+
+        return run
+
+    try:
+        runs.resumed(path, images, method(True), 4)
+        raise AssertionError
+    except KeyboardInterrupt:
+        first = set(runs_of)
+    runs_of.clear()
+    got = {r.image_id: (r.twice, r.failed) for r in runs.resumed(path, images, method(False), 4).collect()}
+    assert set(got) == set(range(12)) and got[4][0] is None and got[4][1].startswith("ERR:") and got[11] == (22, None)
+    assert first and set(runs_of) < set(range(12))
+    runs_of.clear()
+    assert len(runs.resumed(path, images, method(False), 4).collect()) == 12 and set(runs_of) == {4}

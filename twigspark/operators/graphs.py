@@ -56,10 +56,12 @@ KERNEL_POINTS = 200_000
 
 
 def _absorb(table: pd.DataFrame) -> pd.DataFrame:
-    """The exact limit of walk_steps on one component: (D - W) F = B with the weights W between points, B to branches and D their sums, by conjugate gradients, clipped and normalised; a row per point with its most likely branch."""
+    """The exact limit of walk_steps on one component: (D - W) F = B with the weights W between points, B to branches and D their sums, by conjugate gradients, clipped and normalised; a row per point with its most likely branch.
+
+    Rows are (i, branch_id or j, p); p are weights, and the same in both directions between points."""
     points = np.unique(table["i"].to_numpy())
     branch = table["branch_id"].notna().to_numpy()
-    to, w = np.searchsorted(points, table["i"].to_numpy()), table["w"].to_numpy(float)
+    to, w = np.searchsorted(points, table["i"].to_numpy()), table["p"].to_numpy(float)
     branches = np.unique(table["branch_id"].to_numpy()[branch]).astype("i8")
     b = np.zeros((len(points), max(1, len(branches))))
     np.add.at(b, (to[branch], np.searchsorted(branches, table["branch_id"].to_numpy()[branch].astype("i8"))), w[branch])
@@ -103,13 +105,13 @@ def random_walk(points: DataFrame, targets: DataFrame, k: int = 3, k_points: int
     root = components(to_point.where("i < j").select(node("i").alias("a"), node("j").alias("b"))).select("node.image_id", F.col("node.id").alias("i"), F.col("root.id").alias("root"))
     none = lambda kind: F.lit(None).cast(kind)
     both = to_branch.select("image_id", F.col("id").alias("i"), F.col("branch_id").cast("long").alias("branch_id"), none("long").alias("j"), "w").unionByName(to_point.select("image_id", "i", none("long").alias("branch_id"), "j", "w"))
-    rows = cut(both.join(root, ["image_id", "i"], "left").withColumn("root", F.coalesce("root", "i")))
+    rows = cut(both.withColumnRenamed("w", "p").join(root, ["image_id", "i"], "left").withColumn("root", F.coalesce("root", "i")))
     large = cut(rows.groupBy("image_id", "root").agg(F.count_distinct("i").alias("n")).where(F.col("n") > kernel_points).select("image_id", "root"))
     shape = "image_id long, id long, branch_id long, probability double, residual double"
     if large.isEmpty():
         return rows.groupBy("image_id", "root").applyInPandas(_absorb, shape)
     few = rows.join(large, ["image_id", "root"], "left_anti").groupBy("image_id", "root").applyInPandas(_absorb, shape)
-    rest = rows.join(large, ["image_id", "root"], "left_semi")
+    rest = rows.join(large, ["image_id", "root"], "left_semi").withColumnRenamed("p", "w")
     t = transitions(rest.where("branch_id is not null").select("image_id", F.col("i").alias("id"), "branch_id", "w"), rest.where("j is not null").select("image_id", "i", "j", "w"))
     return few.unionByName(absorbed_by_steps(cut(t)))
 
