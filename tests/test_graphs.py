@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from twigspark.operators import geodesic, graphs, heat, joins, sparse, transport
+from twigspark.operators import geodesic, graphs, heat, joins, shoots, sparse, transport
 from twigspark.plans import catalog, runs
 
 
@@ -204,3 +204,34 @@ def test_methods_are_compared_on_one_image(spark):
     assert got["off"].wasserstein_px == pytest.approx(100, rel=0.08) and got["off"].wasserstein_cm == pytest.approx(got["off"].wasserstein_px / 2)
     assert got["empty"].note == "no mass" and math.isnan(got["empty"].similarity)
     assert 54 <= got["off"].nodes <= 66 and got["off"].diameter_cm == got["off"].diameter_px / 2
+
+
+def points_in_lines(r, n):
+    out = []
+    while len(out) < n:
+        x, y, turn = r.random() * 200, r.random() * 200, r.random() * 7
+        out += [(x + 4 * k * math.cos(turn) + r.gauss(0, 0.5), y + 4 * k * math.sin(turn) + r.gauss(0, 0.5)) for k in range(r.randint(1, 9))]
+    return out[:n] + out[:3]  # with points at one place
+
+
+def test_lines_grown_sparsely_are_those_of_the_dense_version():
+    r = random.Random(11)
+    for n in (0, 1, 5, 60, 200):
+        for grow, seed in ((7.0, 6.0), (5.0, 9.0)):
+            xy = np.array(points_in_lines(r, n)).reshape(-1, 2) if n else np.zeros((0, 2))
+            dense, sparsely = shoots.grown_labels(xy, grow, 18.0, seed), shoots.grown_sparsely(xy, grow, 18.0, seed)
+            sets = lambda x: {frozenset(np.flatnonzero(x == k).tolist()) for k in set(x.tolist())}
+            assert sets(dense) == sets(sparsely)
+
+
+def test_lines_by_components(spark):
+    r = random.Random(12)
+    images = {i: points_in_lines(r, 80) for i in (1, 2)}
+    f = spark.createDataFrame([(i, k, x, y) for i, xy in images.items() for k, (x, y) in enumerate(xy)], "image_id long, id long, x double, y double")
+    got = {}
+    for x in shoots.directional(f.repartition(3), 7.0, 18.0, 6.0).collect():
+        got.setdefault((x.image_id, x.cluster), set()).add(x.id)
+    for i, xy in images.items():
+        dense = shoots.grown_labels(np.array(xy), 7.0, 18.0, 6.0)
+        assert {frozenset(v) for (j, _), v in got.items() if j == i} == {frozenset(np.flatnonzero(dense == k).tolist()) for k in set(dense.tolist())}
+        assert sorted(c for j, c in got if j == i) == list(range(len(set(dense.tolist()))))

@@ -253,16 +253,35 @@ def nearest_vector_of_image(queries: DataFrame, targets: DataFrame, digits: int
     return apart(queries.select("image_id", "id", "vector")).cogroup(apart(targets.select("image_id", "ord", "branch_id", "vector"))).applyInPandas(partial(_nearest_of_image, digits), shape)
 
 
+def crossed(df: DataFrame, ax, ay, bx, by, size: float) -> DataFrame:
+    """df with a row for each cell (cx, cy) of a grid that the line from (ax, ay) to (bx, by) crosses, or comes within a thousandth of a cell of: column by column, the rows between where it enters and leaves."""
+    margin, s = size * 1e-3, F.lit(float(size))
+    low, high = F.least(ax, bx), F.greatest(ax, bx)
+    of = lambda v: F.floor(v / s)
+    wide = df.withColumn("cx", F.explode(F.sequence(of(low - margin), of(high + margin))))
+    part = lambda x, flat: F.when(F.abs(bx - ax) < 1e-12, F.lit(flat)).otherwise(F.least(F.greatest(F.try_divide(x - ax, bx - ax), F.lit(0.0)), F.lit(1.0)))
+    enters, leaves = (ay + part(F.col("cx") * s - margin, 0.0) * (by - ay), ay + part((F.col("cx") + 1) * s + margin, 1.0) * (by - ay))
+    return wide.withColumn("cy", F.explode(F.sequence(of(F.least(enters, leaves) - margin), of(F.greatest(enters, leaves) + margin))))
+
+
 def ray_hits(rays: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
-    """Hits of rays (ox, oy, dx, dy) on segments (ax, ay, bx, by) of the same image: t along the ray in [0, reach], s along the segment in [0, 1]; parallels don't hit."""
-    j = rays.join(segments, "image_id")
-    ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    wx, wy = F.col("ax") - F.col("ox"), F.col("ay") - F.col("oy")
-    det = F.col("dy") * ex - F.col("dx") * ey
+    """Hits of rays (ox, oy, dx, dy) on segments (ax, ay, bx, by) of the same image: t along the ray in [0, reach], s along the segment in [0, 1]; parallels don't hit.
+
+    Both are laid out over the cells of a grid as wide as a ray reaches, and meet where they share a cell; a pair that shares several counts in the one of the hit. Lines without finite ends hit nothing."""
+    c = F.col
+    ok = lambda df, *names: df.where(F.greatest(*[F.abs(c(n).cast("double")) for n in names]) < 1e15)
+    far = lambda o, d: c(o) + reach * c(d)
+    r = crossed(ok(rays, "ox", "oy", "dx", "dy"), c("ox"), c("oy"), far("ox", "dx"), far("oy", "dy"), reach)
+    s = crossed(ok(segments, "ax", "ay", "bx", "by"), c("ax"), c("ay"), c("bx"), c("by"), reach)
+    j = r.join(s, ["image_id", "cx", "cy"])
+    ex, ey = c("bx") - c("ax"), c("by") - c("ay")
+    wx, wy = c("ax") - c("ox"), c("ay") - c("oy")
+    det = c("dy") * ex - c("dx") * ey
     j = j.withColumn("det", det).where(F.abs("det") >= 1e-12)
-    j = j.withColumns({"t": F.try_divide(wy * ex - wx * ey, F.col("det")), "s": F.try_divide(F.col("dx") * wy - F.col("dy") * wx, F.col("det"))})
-    j = j.where(F.col("t").between(0, reach) & F.col("s").between(0, 1)).drop("det")
-    return j.withColumns({"hx": F.col("ox") + F.col("t") * F.col("dx"), "hy": F.col("oy") + F.col("t") * F.col("dy")})
+    j = j.withColumns({"t": F.try_divide(wy * ex - wx * ey, c("det")), "s": F.try_divide(c("dx") * wy - c("dy") * wx, c("det"))})
+    j = j.where(c("t").between(0, reach) & c("s").between(0, 1)).drop("det")
+    j = j.withColumns({"hx": c("ox") + c("t") * c("dx"), "hy": c("oy") + c("t") * c("dy")})
+    return j.where((c("cx") == cell("hx", reach)) & (c("cy") == cell("hy", reach))).drop("cx", "cy")
 
 
 def marched(starts: DataFrame, targets: DataFrame, gap: float, extra: float, tolerance: float) -> DataFrame:

@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from twigspark.functions.durable import cut
 from twigspark.operators import cluster, fit, joins, rays
+from twigspark.operators.components import components
 
 #: Fixed values, in centimetres or degrees unless named otherwise.
 FIRST = {"eps": 4.0, "squeeze": 4.0, "gap": 7.0, "extension": 18.0, "tolerance_px": 6.0, "merge_angle": 20.0, "merge_lateral": 36.0, "merge_reach": 50.0, "curved_from": 10, "most_curved": 0.0012, "shortest": 8.0, "longest": 80.0, "fewest": 3, "most": 60}
@@ -101,14 +103,80 @@ def grown_labels(xy: np.ndarray, grow: float, angle: float, seed: float) -> np.n
     return out
 
 
+def neighbours(xy: np.ndarray, reach: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(others, distances) within reach of each point, in order of their numbers, by a grid of that width."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y) in enumerate(np.floor(xy / reach).astype("i8").tolist()):
+        cells.setdefault((x, y), []).append(k)
+    others, away = [np.zeros(0, "i8")] * len(xy), [np.zeros(0)] * len(xy)
+    for (x, y), own in cells.items():
+        around = np.sort(np.array([k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in cells.get((x + i, y + j), ())]))
+        for k in own:
+            gap = xy[k] - xy[around]
+            d = np.sqrt((gap * gap).sum(axis=1))
+            ok = (d <= reach) & (around != k)
+            others[k], away[k] = around[ok], d[ok]
+    return others, away
+
+
+def grown_sparsely(xy: np.ndarray, grow: float, angle: float, seed: float) -> np.ndarray:
+    """grown_labels() with what is in reach of each point in place of all distances: a line carries the pairs of its members and the free points near them."""
+    n, out, least = len(xy), np.full(len(xy), -1), np.cos(np.radians(angle))
+    if n == 0:
+        return out
+    others, away = neighbours(xy, max(grow, seed, 1e-9))
+    label = 0
+    for s in np.argsort([d.min(initial=np.inf) for d in away], kind="stable"):
+        if out[s] >= 0:
+            continue
+        out[s] = label
+        free = np.where((out[others[s]] < 0) & (away[s] <= seed), away[s], np.inf)
+        if len(free) and free.min() < np.inf:
+            new = int(others[s][free.argmin()])
+            out[new] = label
+            own, pairs = [int(s)], [np.zeros((0, 2), "i8")]
+            far = [np.zeros(0)]
+            fresh = [int(s), new]
+            while fresh:
+                for m in fresh:
+                    ok = (away[m] <= grow) & (away[m] >= 1e-9)
+                    pairs.append(np.column_stack([np.full(ok.sum(), m), others[m][ok]]))
+                    far.append(away[m][ok])
+                own = sorted({*own, *fresh})
+                p, d = np.concatenate(pairs), np.concatenate(far)
+                left = out[p[:, 1]] < 0
+                p, d = p[left], d[left]
+                pairs, far, fresh = [p], [d], []
+                c = xy[own] - xy[own].mean(axis=0)
+                axis = np.linalg.eigh(c.T @ c)[1][:, -1]
+                along = np.abs((xy[p[:, 0]] - xy[p[:, 1]]) @ axis) / d
+                ok = along >= least
+                if ok.any():
+                    score = np.where(ok, np.round(along, 12), -1.0)
+                    best = np.flatnonzero(score == score.max())
+                    pick = best[np.lexsort((p[best, 1], d[best]))[0]]
+                    fresh = [int(p[pick, 1])]
+                    out[fresh[0]] = label
+        label += 1
+    return out
+
+
 def _grown(grow: float, angle: float, seed: float, table: pd.DataFrame) -> pd.DataFrame:
     t = table.sort_values("id")
-    return pd.DataFrame({"image_id": t["image_id"], "id": t["id"], "cluster": grown_labels(t[["x", "y"]].to_numpy(float), grow, angle, seed)})
+    own = grown_sparsely(t[["x", "y"]].to_numpy(float), grow, angle, seed)
+    return pd.DataFrame({"image_id": t["image_id"], "id": t["id"], "first": t["id"].groupby(own).transform("min")})
 
 
 def directional(flowers: DataFrame, grow: float, angle: float, seed: float) -> DataFrame:
-    """(image_id, id, cluster) by directional region growing, a sequential kernel per image."""
-    return flowers.select("image_id", "id", "x", "y").groupBy("image_id").applyInPandas(partial(_grown, grow, angle, seed), "image_id long, id long, cluster int")
+    """(image_id, id, cluster) by directional region growing. Points further apart than a line or a seed reaches never meet, so each component of the graph of points in reach is grown by itself, in the order of its own seeds; clusters are numbered by their smallest id."""
+    f = flowers.select("image_id", "id", "x", "y")
+    node = lambda c: F.struct("image_id", F.col(c).alias("id"))
+    near = joins.radius_pairs(f, max(grow, seed, 1e-9)).select(node("a").alias("a"), node("b").alias("b"))
+    root = components(near).select("node.image_id", "node.id", F.col("root.id").alias("root"))
+    parts = f.join(root, ["image_id", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    grown = cut(parts.groupBy("image_id", "root").applyInPandas(partial(_grown, grow, angle, seed), "image_id long, id long, first long"))
+    number = grown.select("image_id", "first").distinct().withColumn("cluster", (F.row_number().over(Window.partitionBy("image_id").orderBy("first")) - 1).cast("int"))
+    return grown.join(number, ["image_id", "first"]).select("image_id", "id", "cluster")
 
 
 def second_form(flowers: DataFrame, pixels: DataFrame, px_per_cm: float, p: dict = SECOND, merge: bool = True) -> tuple[DataFrame, DataFrame]:
