@@ -61,7 +61,7 @@ def expanded(points: DataFrame, targets: DataFrame, k: int = 1, of_branches: boo
     both = spans(t).unionByName(spans(p).withColumn("n", F.lit(0).cast("long"))).groupBy("image_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     reach = F.greatest(width, height)
-    mean = F.sqrt(width * height / F.greatest("n", F.lit(1))) * math.sqrt(4 * k * (4 if of_branches else 1) / 9)
+    mean = F.sqrt(width * height / F.greatest("n", F.lit(1))) * math.sqrt(4 * k / 9)
     grid = cut(both.where("n > 0").select("image_id", "x0", "y0", reach.alias("reach"), F.greatest(mean, reach / F.sqrt("n") / 8, reach * 1e-6, F.lit(1e-9)).alias("size")))
     at = lambda c, o, size: F.floor((F.col(c) - F.col(o)) / size)
     step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
