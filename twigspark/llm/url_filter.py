@@ -3,16 +3,17 @@
 A rule (verdict, "host/path") fits its host and all subdomains where the path starts with the rule's; the longest fitting rule decides.
 All other URLs are judged by their template. Per host, a path segment that enough of the host's URLs share at its depth, or that a rule for
 the host names, stays literal, all others become a wildcard of their shape; the resulting tree of templates is small whatever the number of URLs. Sibling
-branches whose subtrees are distributed alike and whose labels don't differ are merged. A template is rejected if its
-share of bad among labelled URLs, smoothed towards one half, is high and enough of its URLs are labelled; URLs are labelled by the rules that fit them and by
-an optional table of labels.
+literal branches whose next levels are distributed alike are merged: labelled ones if their shares of bad don't differ, unlabelled ones with each other, and an
+unlabelled branch with a labelled one if it is alike to that one alone; where labelled branches of different purity look the same, it stays apart. A template
+is rejected if its share of bad, smoothed towards one half, is high; each of its URLs without a label smooths as well, by a part of a URL (`spread`), so that what few
+labels say reaches few URLs. URLs are labelled by the rules that fit them and by an optional table of labels.
 
 Only counts are grouped by host: rows of a host with a third of all URLs are counted by partial aggregation, and the
 templates of a host come to at most (1 / share) literals and a fixed number of shapes a level, whatever the number of its URLs.
 
 Defined cases: a URL that is null or has no "://" has an empty host and path; no rule fits an empty host; a template without labels
 is allowed; rows that repeat a page_id are judged row by row; paths deeper than `depth` are cut into that many segments, the last
-keeping what remains as one wildcard; an empty table gives an empty table; other columns aren't touched.
+keeping what remains as one wildcard; an empty table gives an empty table; other columns aren't touched. A literal segment that looks like a wildcard is none (its braces are doubled in a template's name).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, cut
 
+#: What a literal segment starts with inside a tree, so that none is taken for a wildcard.
+LITERAL = "="
 #: File endings that a wildcard keeps.
 ENDING = r"(?i)(\.(?:html?|xhtml|php|aspx?|jsp|cgi|pdf|jpe?g|png|gif|css|js|xml|txt|json|rss))$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,7 +72,7 @@ def shape(segment: Column) -> Column:
 
 @dataclass
 class Node:
-    """A branch: labelled counts of its URLs, how many end here, and its children."""
+    """A branch: labelled counts of its URLs, how many end here, and its children; names of literal children start with LITERAL."""
 
     n: int = 0
     bad: int = 0
@@ -107,20 +110,20 @@ def divergence(a: Counter, b: Counter) -> float:
 
 
 def alike(a: Node, b: Node, most: float = 0.05, z: float = 1.96) -> bool:
-    """Whether two branches are statistically similar: what comes below is distributed alike, and both are without labels or their shares of bad don't differ."""
+    """Whether two branches are statistically similar: their next levels are distributed alike and, where both have labels, their shares of bad don't differ."""
     below = lambda x: Counter({k: c.n for k, c in x.children.items()} | ({None: x.ends} if x.ends else {}))
     if not a.n or not b.n or divergence(below(a), below(b)) > most:
         return False
     na, nb = a.bad + a.good, b.bad + b.good
     if not na or not nb:
-        return na == nb
+        return True
     p = (a.bad + b.bad) / (na + nb)
     return abs(a.bad / na - b.bad / nb) <= z * math.sqrt(max(p * (1 - p), 1e-9) * (1 / na + 1 / nb)) + 1e-9
 
 
-def merged(node: Node) -> None:
-    """Merges similar literal branches, from the top down, in order of their names."""
-    names = sorted(k for k in node.children if "{" not in k)
+def grouped(node: Node, names: list[str]) -> list[list[str]]:
+    """Takes alike children together: the first of a group absorbs the others."""
+    out = []
     while names:
         first, rest = names[0], []
         group, whole = [first], node.children[first]
@@ -130,31 +133,52 @@ def merged(node: Node) -> None:
                 group.append(other)
             else:
                 rest.append(other)
-        if len(group) > 1:
-            node.children["{" + "|".join(group) + "}"] = node.children.pop(first)
+        out.append(group)
         names = rest
+    return out
+
+
+def merged(node: Node) -> None:
+    """Merges similar literal branches, from the top down, in order of their names: those with labels, those without, then each of the latter with the only one of the former that it is like."""
+    names = sorted(k for k in node.children if k.startswith(LITERAL))
+    has = {k: node.children[k].bad + node.children[k].good > 0 for k in names}
+    known, others = (grouped(node, [k for k in names if has[k] == flag]) for flag in (True, False))
+    near = [[k for k in known if alike(node.children[k[0]], node.children[u[0]])] for u in others]
+    for u, found in zip(others, near, strict=True):
+        if len(found) == 1:
+            node.children[found[0][0]].absorb(node.children.pop(u[0]))
+            found[0].extend(u)
+    for group in known + [u for u, found in zip(others, near, strict=True) if len(found) != 1]:
+        if len(group) > 1:
+            node.children["{" + "|".join(sorted(map(shown, group))) + "}"] = node.children.pop(group[0])
     for c in node.children.values():
         merged(c)
 
 
-def judged(node: Node, weight: float, prefix: str = "") -> list[tuple]:
-    """(key, template, purity, labelled share) of every leaf."""
-    purity = (node.bad + weight / 2) / (node.bad + node.good + weight)
-    out = [(k, prefix or "/", purity, (node.bad + node.good) / max(node.n, 1)) for k in node.leaves]
+def shown(name: str) -> str:
+    """A child's name in a template."""
+    return name[len(LITERAL) :].replace("{", "{{").replace("}", "}}") if name.startswith(LITERAL) else name
+
+
+def judged(node: Node, weight: float, spread: float, prefix: str = "") -> list[tuple]:
+    """(key, template, purity) of every leaf."""
+    labels = node.bad + node.good
+    half = weight + spread * (node.n - labels)
+    out = [(k, prefix or "/", (node.bad + half / 2) / (labels + half)) for k in node.leaves]
     for k, c in node.children.items():
-        out += judged(c, weight, f"{prefix}/{k}")
+        out += judged(c, weight, spread, f"{prefix}/{shown(k)}")
     return out
 
 
-def _host_tree(weight: float, key, table):
+def _host_tree(weight: float, spread: float, key, table):
     import pandas as pd
 
     root = Node()
     for parts, n, bad, good in sorted(zip(table["parts"].map(list), table["n"], table["bad"], table["good"], strict=True), key=lambda r: r[0]):
         root.add(parts, tuple(parts), int(n), int(bad), int(good))
     merged(root)
-    rows = judged(root, weight)
-    return pd.DataFrame({"host": [key[0]] * len(rows), "parts": [list(r[0]) for r in rows], "template": [r[1] for r in rows], "purity": [r[2] for r in rows], "labelled": [r[3] for r in rows]})
+    rows = judged(root, weight, spread)
+    return pd.DataFrame({"host": [key[0]] * len(rows), "parts": [list(r[0]) for r in rows], "template": [r[1] for r in rows], "purity": [r[2] for r in rows]})
 
 
 def sized(df: DataFrame, size: Column) -> DataFrame:
@@ -166,8 +190,8 @@ def list_bytes(c: str) -> Column:
     return F.octet_length(F.concat_ws("/", c)) + 16 * F.size(c) + 64
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, share: float = 0.05, support: int = 20, weight: float = 4.0, reject: float = 0.9, depth: int = 8, url: str = "url", page_id: str = "page_id", labelled: float = 0.25) -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict, template, purity. labels: (url, bad 0/1), further labelled URLs. A template is rejected only if at least the share `labelled` of its URLs is."""
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, share: float = 0.05, support: int = 20, weight: float = 4.0, reject: float = 0.8, depth: int = 8, url: str = "url", page_id: str = "page_id", spread: float = 0.1) -> DataFrame:
+    """Per row: page_id, host, path, rule, verdict, template, purity. labels: (url, bad 0/1), further labelled URLs."""
     u = F.col(f"`{url}`")
     p = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
     p = p.withColumn("rule", first_fit(rules, F.col("host"), F.col("path"), lambda v, r: r)).withColumn("by_rule", first_fit(rules, F.col("host"), F.col("path"), lambda v, r: v))
@@ -193,10 +217,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
     def generalised(df: DataFrame) -> DataFrame:
         kept = lambda s, i: F.array_contains(F.coalesce("literal", F.array().cast("array<string>")), F.concat_ws("/", i, s))
         last = lambda s, i: F.when(s.contains("/"), F.lit("{*}")).otherwise(shape(s))
-        return df.join(literal, "host", "left").withColumn("parts", F.transform("parts", lambda s, i: F.when(kept(s, i) | by_rule(s, i), s).otherwise(last(s, i)))).drop("literal")
+        return df.join(literal, "host", "left").withColumn("parts", F.transform("parts", lambda s, i: F.when(kept(s, i) | by_rule(s, i), F.concat(F.lit(LITERAL), s)).otherwise(last(s, i)))).drop("literal")
 
     counted = generalised(known).groupBy("host", "parts").agg(F.count("*").alias("n"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"))
-    trees = counted.groupBy("host").applyInPandas(partial(_host_tree, weight), "host string, parts array<string>, template string, purity double, labelled double")
+    trees = counted.groupBy("host").applyInPandas(partial(_host_tree, weight, spread), "host string, parts array<string>, template string, purity double")
     out = generalised(p).join(sized(cut(trees), list_bytes("parts") + F.octet_length("template") + F.octet_length("host")), ["host", "parts"], "left")
-    verdict = F.coalesce("by_rule", F.when((F.col("purity") >= reject) & (F.col("labelled") >= labelled), "block").otherwise("allow"))
+    verdict = F.coalesce("by_rule", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
