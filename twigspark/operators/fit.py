@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twigspark.functions.geometry import axis_angle, clip
+from twigspark.operators.joins import radius_pairs
 
 ASSUMED_HEIGHT_CM = 350.0
 
@@ -78,7 +79,11 @@ def merge_candidates(s: DataFrame, image: str, ident: str, angle: float, lateral
     """(image, a, b, gap): pairs of shoots a < b that may be one: nearly parallel axes, small offset of b's centre across a's axis, and near ends or centres."""
     keep = ["cx", "cy", "ux", "uy", "vx", "vy", "top_x", "top_y", "bottom_x", "bottom_y"]
     side = lambda n: s.select(image, F.col(ident).alias(n), *[F.col(c).alias(f"{n}_{c}") for c in keep])
-    j = side("a").join(side("b"), image).where("a < b")
+    # Two shoots with a gap of at most reach have spots in neighbouring cells of that size; a little more, as the exact test compares roots.
+    place = F.explode(F.array(*[F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in ("c", "top_", "bottom_")]))
+    at = s.select(F.col(image).alias("image_id"), F.col(ident).alias("id"), place.alias("p")).select("image_id", "id", "p.x", "p.y")
+    near = radius_pairs(at, max(reach * (1 + 1e-9), 1e-9)).select(F.col("image_id").alias(image), "a", "b").distinct()
+    j = near.join(side("a"), [image, "a"]).join(side("b"), [image, "b"])
     spots = ("c", "top_", "bottom_")
     gaps = [F.sqrt(sum((F.col(f"a_{p}{k}") - F.col(f"b_{q}{k}")) * (F.col(f"a_{p}{k}") - F.col(f"b_{q}{k}")) for k in "xy")) for p in spots for q in spots]
     j = j.withColumns({

@@ -269,6 +269,28 @@ def raster(data: bytes, height: int, width: int) -> np.ndarray:
     return np.frombuffer(data, "u1").reshape(height, width)
 
 
+def _drawn(height: int, width: int, table: pd.DataFrame) -> pd.DataFrame:
+    m = np.zeros((height, width), "u1")
+    m[table["y"].to_numpy(), table["x"].to_numpy()] = 255
+    return pd.DataFrame({"image_id": [table["image_id"].iloc[0]], "height": [height], "width": [width], "data": [m.tobytes()]})
+
+
+def drawn(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """(image_id, height, width, data): masks of distinct cells (image_id, x, y), all within height and width; the inverse of to_pixels."""
+    return cells.groupBy("image_id").applyInPandas(partial(_drawn, height, width), "image_id long, height int, width int, data binary")
+
+
+def opened_masks(images: DataFrame, k: int) -> DataFrame:
+    """(image_id, height, width, data) of masks, opened by an ellipse of size k."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = [(opened(binary(raster(d, h, w)), k) * np.uint8(255)).tobytes() for h, w, d in zip(b.height, b.width, b.data, strict=True)]
+            yield b[["image_id", "height", "width"]].assign(data=data)
+
+    return images.mapInPandas(run, "image_id long, height int, width int, data binary")
+
+
 def _skeletons(defaults: dict, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []

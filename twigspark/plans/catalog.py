@@ -715,34 +715,24 @@ def shoots_by_rays(spark, sf):
 # Rasters
 
 
-def discs(spark, sf) -> DataFrame:
-    """Masks drawn from suppliers: a trunk and a few branches whose places depend on the key."""
-    keys = spaces.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image_id"))
+#: A mask's side, and its cells for each pixel of the tree space.
+SIDE = 96
+MASK_CELLS = [f"least(greatest(cast(floor({c} / {size}) as int) + 1 + {d}, 0), {SIDE - 1}) {c}" for c, size, d in (("x", 5.5, "di"), ("y", 12.0, "dj"))]
 
-    def draw(batches):
-        import pandas as pd
 
-        for b in batches:
-            rows = []
-            for i in b.image_id:
-                m = np.zeros((64, 64), "u1")
-                m[8:60, 30:35] = 255
-                for k in range(3):
-                    y = 14 + 12 * k + int(i) % 5
-                    for x in range(20):
-                        m[max(0, y - x // 2) : y - x // 2 + 3, 34 + x if (i + k) % 2 else 30 - x] = 255
-                rows.append((i, 64, 64, m.tobytes()))
-            yield pd.DataFrame(rows, columns=["image_id", "height", "width", "data"])
-
-    return keys.mapInPandas(draw, "image_id long, height int, width int, data binary")
+def masks(spark, sf) -> DataFrame:
+    """A mask for each image of the tree space: every pixel of it, drawn as a square of three cells. Cells are distinct before they meet in a group, so a group holds at most SIDE * SIDE rows."""
+    p = spaces.tree(spark, sf)[1]
+    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    cells = p.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).selectExpr("image_id", *MASK_CELLS).distinct()
+    return raster.drawn(cells, SIDE, SIDE)
 
 
 PARAMS = {"close_k": 1, "open_k": 1, "thick_dist": 9.0, "dilate_k": 1, "min_branch": 4}
 
 
 def _skeletons(spark, sf) -> DataFrame:
-    masks = discs(spark, sf)
-    return raster.skeletonise(masks.withColumns({k: F.lit(v) for k, v in PARAMS.items()}))
+    return raster.skeletonise(masks(spark, sf).withColumns({k: F.lit(v) for k, v in PARAMS.items()}))
 
 
 @query()
@@ -762,13 +752,36 @@ def skeleton_diameter(spark, sf):
 
 @query()
 def mask_features(spark, sf):
-    return raster.mask_features(discs(spark, sf))
+    return raster.mask_features(masks(spark, sf))
+
+
+@query(f"""with {TREE}, n(di) as (values (-1), (0), (1)), m(dj) as (values (-1), (0), (1)), c as (select distinct image_id, {", ".join(MASK_CELLS)} from tp, n, m)
+select image_id, count(*)::bigint area, (max(x) - min(x))::bigint wide, (max(y) - min(y))::bigint high, round(count(*) / (96.0 * 96.0), 6) share, round(count(*) / greatest(1, (max(x) - min(x)) * (max(y) - min(y))), 6) filled from c group by image_id""")
+def mask_extents(spark, sf):
+    """What of a mask's measures SQL can tell: area, box and how full it is."""
+    share, _, _, _, _, _, _, _, _, _, _, _, high, wide, filled, _ = raster.FEATURES
+    m = raster.mask_features(masks(spark, sf))
+    whole = lambda c: F.round(c).cast("long")
+    return m.select("image_id", whole(F.col(share) * SIDE * SIDE).alias("area"), whole(F.col(wide)).alias("wide"), whole(F.col(high)).alias("high"), F.round(share, 6).alias("share"), F.round(filled, 6).alias("filled"))
+
+
+@query(f"""with {TREE}, n(di) as (values (-1), (0), (1)), m(dj) as (values (-1), (0), (1)), c as (select distinct image_id, {", ".join(MASK_CELLS)} from tp, n, m),
+k(ki, kj) as (select a.di, b.di from n a, n b where a.di = 0 or b.di = 0), r as (select image_id, i::int x, j::int y from (select distinct image_id from c), range(96) p(i), range(96) q(j)),
+-- Outside the image nothing erodes: a cell goes if an empty cell of the image is next to it.
+e as (select image_id, x, y from r anti join c using (image_id, x, y)), gone as (select distinct image_id, x + ki x, y + kj y from e, k),
+core as (select * from c anti join gone using (image_id, x, y)),
+opened as (select distinct image_id, x + ki x, y + kj y from core, k where x + ki between 0 and 95 and y + kj between 0 and 95)
+select image_id, count(*)::bigint pixels, sum(x * 97 + y * 89)::bigint checksum from opened group by image_id""")
+def mask_opened(spark, sf):
+    """Each mask, opened by an ellipse of three: cells left and a sum that tells where they are."""
+    left = raster.to_pixels(raster.opened_masks(masks(spark, sf), 3))
+    return left.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("x") * 97 + F.col("y") * 89).alias("checksum"))
 
 
 @query()
 def learned_parameters(spark, sf):
     """The learned calibrator's parameters of each mask."""
-    return raster.calibrated(raster.mask_features(discs(spark, sf)))
+    return raster.calibrated(raster.mask_features(masks(spark, sf)))
 
 
 @query("select p_partkey image_id, case when p_partkey % 3 = 0 then p_size else 1 end::int close_k, case when p_partkey % 3 = 0 then p_size + 1 else 1 end::int open_k, case when p_partkey % 3 = 0 then p_retailprice else 1 end::double thick_dist, case when p_partkey % 3 = 0 then p_size + 2 else 1 end::int dilate_k, case when p_partkey % 3 = 0 then p_size + 3 else 5 end::int min_branch from part")
