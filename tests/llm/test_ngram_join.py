@@ -94,3 +94,28 @@ def test_representatives_by_row(spark):
     rows = [(1, a, 1), (2, a, 1), (2, b, 1), (3, c, 2), (3, c, 1), (None, a, 1), (None, "n u l l i d s o", 1), (None, "n u l l i d s o", 1), (4, "", 1), (4, "", 1)]
     got = J.representatives(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, a, 1), (2, b, 1), (3, c, 1), (None, "n u l l i d s o", 1), (4, "", 1), (4, "", 1)], key=str)
+
+
+def test_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    """Many different texts under the null id and under one id: all links are found, and the join to their texts makes no more rows than there are texts."""
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(150):
+        base = r.choices(vocabulary, k=60)
+        rows += [(None, " ".join(base)), (5, " ".join([*base[:-1], "x"])), (1000 + k, " ".join([*base[:-1], "y"]))]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA).repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+    plain = J._verified
+
+    def counted(*args):
+        def rows_of(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        yield from plain(*args[:-1], rows_of(args[-1]))
+
+    monkeypatch.setattr(J, "_verified", counted)
+    got = J.join(df, 5, 80, 100).collect()
+    assert len(got) == len(rows) and {x.component_id for x in got} == {5} and 0 < seen.value <= len(rows)

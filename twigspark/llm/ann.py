@@ -235,6 +235,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 10, h
     """(query_id, rank, vec_id, score) of the k nearest found for each row where is_query(vec_id) holds, among all other rows."""
     spark = vectors.sparkSession
     good = usable(vectors, vec_id, embedding)
+    # Of equal vectors the k + 1 smallest ids can be among a query's k. Spark limits the ranks before the shuffle as well, so a task sends no more than those of a vector.
     ranked = Window.partitionBy("vector").orderBy("id")
     index = good.withColumn("__r", F.dense_rank().over(ranked)).where(F.col("__r") <= k + 1).select("vector", "id").dropDuplicates(["vector", "id"]).select("id", "vector")
     cfg = (tables, hashes, width)

@@ -318,11 +318,13 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "
     node = lambda x: F.struct(F.col(f"{x}1").alias("s1"), F.col(f"{x}2").alias("s2")).alias(x)
     near = pairs.where(F.col("star") | (F.col("count") + F.greatest(rest("na"), rest("nb")) >= F.expr(need)))
     clusters = components(near.select(node("a"), node("b"))).select("node.s1", "node.s2", F.col("root.s1").alias("g1"), F.col("root.s2").alias("g2"))
-    own = cut(nodes.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    # A set's row is named by its doc_id and the digest of its text, since doc_ids may be null or repeated.
+    first = F.min(F.struct("doc_id", "digest")).alias("first")
+    own = cut(nodes.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), first))
     members = cut(own.join(sized(clusters, 48), ["s1", "s2"]))
     held = members.groupBy("g1", "g2").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
-    members = members.join(sized(cut(held), 32), ["g1", "g2"], "left").select("g1", "g2", "s1", "s2", F.col("doc_id").alias("__d"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    dealt = d.join(sized(cut(members), 64), F.col("doc_id").eqNullSafe(F.col("__d")))
+    members = members.join(sized(cut(held), 32), ["g1", "g2"], "left").select("g1", "g2", "s1", "s2", F.col("first.doc_id").alias("__d"), F.col("first.digest").alias("__g"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    dealt = d.join(sized(cut(members), 72), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__g")))
     dealt = dealt.withColumn("b", F.pmod("s1", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("g1", "g2", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s1", "s2", "text")
     dealt = dealt.repartition(parts, "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j", "s1", "s2")
