@@ -293,6 +293,8 @@ def marched(starts: DataFrame, targets: DataFrame, gap: float, extra: float, tol
     hit = radius_join(placed(walk(gap)), targets, tolerance).groupBy("image_id", "id").agg(F.min(F.struct("step", "d2", "ord", "branch_id", "tx", "ty")).alias("m"))
     hit = hit.select("image_id", "id", F.lit(True).alias("found"), "m.branch_id", "m.ord", "m.tx", "m.ty", "m.step", F.sqrt("m.d2").alias("distance"))
     rest = placed(walk(0)).join(hit.select("image_id", "id"), ["image_id", "id"], "left_anti")
-    near = pairs(rest, targets).groupBy("image_id", "id").agg(F.min(F.struct("d2", "step", "ord", "branch_id", "tx", "ty")).alias("m"))
+    # Each step is a point of its own: its nearest target, then of all steps the nearest.
+    steps = expanded(rest.select("image_id", F.struct("id", "step").alias("id"), "x", "y"), targets)
+    near = steps.select("image_id", "id.id", "id.step", "d2", "ord", "branch_id", "tx", "ty").groupBy("image_id", "id").agg(F.min(F.struct("d2", "step", "ord", "branch_id", "tx", "ty")).alias("m"))
     near = near.select("image_id", "id", F.lit(False).alias("found"), "m.branch_id", "m.ord", "m.tx", "m.ty", "m.step", F.sqrt("m.d2").alias("distance"))
     return hit.unionByName(near)
