@@ -71,7 +71,7 @@ def test_odd_documents(spark):
 
 
 def test_registered(spark):
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert np.isfinite(len(corpus_pipeline.STAGES))
 
