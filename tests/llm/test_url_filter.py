@@ -6,7 +6,7 @@ from collections import Counter
 import regex
 
 from twigspark.llm import url_filter as U
-from twigspark.llm.queries import URL_RULES
+from twigspark.llm.queries import URL_RULES, op6_url_filter
 
 
 def brute(url, rules):
@@ -228,3 +228,11 @@ def test_verdicts_equal_plain_ones(spark):
         assert [x.verdict for x in sorted(got, key=lambda x: x.page_id)] == want
         by_template = sum(v == "block" and not brute(u, URL_RULES)[2] for u, v in zip(urls, want, strict=True))
         assert by_template > 50 if given else by_template == 0
+
+
+def test_rules_are_those_of_the_contract(spark, tmp_path):
+    """Verdicts by each rule's word, written here apart from URL_RULES: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    want = {"http://a.com/en/1": "block", "http://example.com/en/71": "allow", "http://example.com/en/6": "block", "http://a.net/de/8": "allow", "http://www.example.net/de/81": "block", "http://example.net/de/7": "allow", "http://a.org/es/": "block"}
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in op6_url_filter(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))

@@ -13,7 +13,7 @@ from . import ann, bpe, conversations, html_text, line_dedup, ngram_join, packin
 from .common import table
 from .oracles import ORACLE_SQL
 
-URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
