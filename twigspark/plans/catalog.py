@@ -209,8 +209,12 @@ def random_walk_rowsum(spark, sf):
     return graphs.transitions(graphs.branch_weights(f, p), graphs.point_weights(f)).groupBy(F.col("i").alias("id")).agg(F.round(F.sum("p"), 6).alias("total"))
 
 
+#: The walk over the labelled space as the one image that it is.
+WALK_OF_ONE = WALK.replace(SEVERAL, LABELLED).replace(" and a.image_id = b.image_id", "")
+
+
 def _walk_sql(steps: int) -> str:
-    out = f"with {WALK}, f1 as (select * from rr)"
+    out = f"with {WALK_OF_ONE}, f1 as (select * from rr)"
     for k in range(2, steps + 1):
         out += f", f{k} as (select i, branch_id, sum(p) p from (select q.i, f.branch_id, q.p * f.p p from qq q join f{k - 1} f on f.i = q.j union all select * from rr) group by all)"
     return out + f" select i id, branch_id, round(p, 6) f from f{steps}"
@@ -218,7 +222,7 @@ def _walk_sql(steps: int) -> str:
 
 @query(_walk_sql(5))
 def random_walk_iter5(spark, sf):
-    f, p = spaces.several(spark, sf)
+    f, p = spaces.labelled(spark, sf)
     return graphs.walk_steps(graphs.transitions(graphs.branch_weights(f, p), graphs.point_weights(f)), 5).select("id", "branch_id", r("f"))
 
 
