@@ -171,17 +171,17 @@ def branch_summary(spark, sf):
 
 @query(f"with {LABELLED}, {L_PAIRS}, {MATRIX}, {RATIO} select id, branch_id, round(d1, 6) d1, round(d2, 6) d2, round(ratio, 6) ratio, ratio > 1.5 as nearest from sp")
 def ambiguity_split(spark, sf):
-    return counts.ambiguity(joins.min_distance_matrix(*spaces.labelled(spark, sf))).select("id", "branch_id", r("d1"), r("d2"), r("ratio"), "nearest")
+    return counts.ambiguity(joins.two_branches(*spaces.labelled(spark, sf))).select("id", "branch_id", r("d1"), r("d2"), r("ratio"), "nearest")
 
 
 @query(f"with {LABELLED}, {L_PAIRS}, {MATRIX}, {RATIO} select least(greatest(floor((ratio - 1) / 0.1), 0), 39)::int bin, count(*) n from sp where ratio <> 'inf'::double group by all")
 def ambiguity_histogram(spark, sf):
-    return counts.ratio_histogram(counts.ambiguity(joins.min_distance_matrix(*spaces.labelled(spark, sf))))
+    return counts.ratio_histogram(counts.ambiguity(joins.two_branches(*spaces.labelled(spark, sf))))
 
 
 @query(f"with {LABELLED}, {L_PAIRS}, {MATRIX}, {RATIO} select t::double threshold, round(count_if(ratio <= t) / count(*), 6) share from sp, (select unnest([1.1, 1.2, 1.5, 2.0, 3.0]::double[]) t) group by all")
 def ambiguity_thresholds(spark, sf):
-    return counts.ratio_thresholds(counts.ambiguity(joins.min_distance_matrix(*spaces.labelled(spark, sf))), [1.1, 1.2, 1.5, 2.0, 3.0]).select("threshold", r("share"))
+    return counts.ratio_thresholds(counts.ambiguity(joins.two_branches(*spaces.labelled(spark, sf))), [1.1, 1.2, 1.5, 2.0, 3.0]).select("threshold", r("share"))
 
 
 @query(f"with {TREE} select image_id, count(*) points, sum(x)::bigint flowers, count(distinct branch_id) branches, 0::bigint orphans from tf group by all")
@@ -250,7 +250,7 @@ def laplacian_assign(spark, sf):
 @query()
 def hybrid_laplacian(spark, sf):
     f, p = spaces.several(spark, sf)
-    return graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.laplacian(f, p, _edges(p)))
+    return graphs.hybrid(counts.ambiguity(joins.two_branches(f, p)), graphs.laplacian(f, p, _edges(p)))
 
 
 @query(f"with {SEVERAL}, b as (select image_id, count(distinct branch_id) branches from lp where image_id in (select image_id from lf) group by image_id) select image_id, branches, branches * branches scores, true optimal from b")
@@ -266,7 +266,7 @@ def laplacian_optimality(spark, sf):
 @query(_WALKED + f", {RATIO} select image_id, id, case when ratio > 1.5 then sp.branch_id else fw.branch_id end branch_id, case when ratio > 1.5 then 'nearest' else 'solver' end how from sp join fw using (id)")
 def hybrid_random_walk(spark, sf):
     f, p = spaces.several(spark, sf)
-    return graphs.hybrid(counts.ambiguity(joins.min_distance_matrix(f, p)), graphs.random_walk(f, p))
+    return graphs.hybrid(counts.ambiguity(joins.two_branches(f, p)), graphs.random_walk(f, p))
 
 
 def embedded_branches(f: DataFrame, p: DataFrame, edges: DataFrame, step: float = 1.0, k: int = 3, dims: int = 8) -> DataFrame:
@@ -1027,7 +1027,7 @@ def shared_pixels(spark, sf):
 def methods(step: float = 1.0, gap: float = 7.0, px_per_cm: float = 6.0) -> dict[str, Callable[[DataFrame, DataFrame], DataFrame]]:
     """Registry of assignment methods: (flowers, pixels) to a branch per flower. Pixels lie a step apart, and branches within gap are neighbours."""
     near = lambda p: hierarchy.adjacency(p, gap)
-    split = lambda f, p: counts.ambiguity(joins.min_distance_matrix(f, p))
+    split = lambda f, p: counts.ambiguity(joins.two_branches(f, p))
     found = {
         "nearest": joins.nearest,
         "random_walk": graphs.random_walk,
