@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigspark.operators import joins
+from twigspark.operators import hierarchy, joins
 from twigspark.plans.catalog import ORACLES, QUERIES
 
 from .test_catalog import rows
@@ -60,3 +60,22 @@ def test_points_without_coordinates_keep_their_rows_of_the_matrix(spark):
     p = spark.createDataFrame([(1, 7, 1, 0.0, 0.0), (1, 8, 2, None, 0.0)], "image_id long, branch_id long, ord long, x double, y double")
     got = {(r.id, r.branch_id): r.distance for r in joins.min_distance_matrix(f, p).collect()}
     assert got == {(1, 7): None, (1, 8): None, (2, 7): float("inf"), (2, 8): float("inf"), (3, 7): 5.0, (3, 8): None}
+
+
+@pytest.mark.parametrize("limit", [10**6, 50, 0])
+def test_adjacency_and_bridges_widen_in_large_images(spark, monkeypatch, limit):
+    """Branches that touch early, late and never; images of 40 and 80 pixels."""
+    monkeypatch.setattr(joins, "KERNEL_TARGETS", limit)
+    g = np.random.default_rng(3)
+    p = [(i, b, 1000 * i + 100 * b + k, float(x), float(y)) for i, n in ((1, 10), (2, 20)) for b, at in ((1, 0), (2, 1), (3, 9), (4, 60)) for k, (x, y) in enumerate(g.integers(0, 5, (n, 2)) + [at, 0])]
+    ps = spark.createDataFrame(p, "image_id long, branch_id long, ord long, x double, y double")
+    least = {}
+    for i, a, u, x, y in p:
+        for j, b, v, z, w in p:
+            if i == j and a != b:
+                least[i, a, b] = min(least.get((i, a, b), (np.inf,)), ((x - z) ** 2 + (y - w) ** 2, u, v))
+    near = {k for k, m in least.items() if k[1] < k[2] and m[0] <= 49}
+    assert {tuple(r) for r in hierarchy.adjacency(ps, 7.0).collect()} == near
+    edges = [k for k in least if k[1] < k[2]] + [(2, 4, 1)]
+    got = hierarchy.bridges(spark.createDataFrame(edges, "image_id long, a long, b long"), ps).collect()
+    assert {(r.image_id, r.a, r.b): (r.distance, r.pixel_a, r.pixel_b) for r in got} == {k: (least[k][0] ** 0.5, *least[k][1:]) for k in edges} and len(got) == len(edges)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from twigspark.functions.durable import cut
 from twigspark.functions.geometry import distance2
 from twigspark.operators.components import levels
-from twigspark.operators.joins import radius_join
+from twigspark.operators.joins import by_size, finite, radius_join
 
 CHANNELS = ("b", "g", "r")
 
@@ -49,14 +49,41 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def adjacency(pixels: DataFrame, gap: float) -> DataFrame:
-    """(image_id, a, b): branches with pixels within gap of each other."""
+def touching(pixels: DataFrame, gap: float) -> DataFrame:
+    """(image_id, a, b), a < b, of branches with pixels within gap, by all pairs of such pixels."""
     p = pixels.select("image_id", F.col("branch_id").alias("id"), "x", "y")
-    t = pixels.select("image_id", "branch_id", "ord", "x", "y")
-    near = radius_join(p, t, gap).where(F.col("id") < F.col("branch_id"))
+    near = radius_join(p, pixels, gap).where(F.col("id") < F.col("branch_id"))
     return near.select("image_id", F.col("id").alias("a"), F.col("branch_id").alias("b")).distinct()
 
 
+def adjacency(pixels: DataFrame, gap: float) -> DataFrame:
+    """(image_id, a, b): branches with pixels within gap of each other.
+
+    Images of many pixels begin with a gap of about their pixels' distance, and widen it: branches that touch all others of their image leave, so that dense images don't meet all pairs of pixels within the gap."""
+    pixels = pixels.select("image_id", "branch_id", "ord", "x", "y")
+    few, many = by_size(pixels, pixels, of_targets=True)
+    if many is None:
+        return touching(pixels, gap)
+    left = cut(finite(pixels).where("branch_id is not null").join(many, "image_id", "left_semi"))
+    area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
+    apart = left.groupBy("image_id").agg(F.sqrt(area / F.count("*")).alias("d")).agg(F.min("d")).first()[0]
+    gaps = [gap]
+    while gaps[0] > 2 * max(apart or 0.0, gap * 4.0**-8):
+        gaps.insert(0, gaps[0] / 4)
+    branches = left.groupBy("image_id").agg(F.count_distinct("branch_id").alias("of"))
+    found = None
+    for k, width in enumerate(gaps):
+        near = touching(left, width)
+        found = cut(near if found is None else near.unionByName(found).distinct())
+        if k + 1 < len(gaps):
+            both = found.select("image_id", F.col("a").alias("branch_id")).unionByName(found.select("image_id", F.col("b").alias("branch_id")))
+            done = both.groupBy("image_id", "branch_id").agg(F.count("*").alias("n")).join(branches, "image_id").where(F.col("n") >= F.col("of") - 1)
+            left = cut(left.join(done.select("image_id", "branch_id"), ["image_id", "branch_id"], "left_anti"))
+            if left.isEmpty():
+                break
+    return found if few is None else found.unionByName(touching(pixels.join(few, "image_id", "left_semi"), gap))
+
+
 def trunk(branches: DataFrame, edges: DataFrame, ratio: float = 0.30) -> DataFrame:
     """(image_id, branch_id): the lowest branch (largest mean y, then largest y, then smallest id) and what it reaches through branches of at most
     ratio times the upper median size."""
@@ -112,12 +139,41 @@ def pixel_graph(pixels: DataFrame) -> DataFrame:
     return q.join(p.withColumnRenamed("a", "b"), ["image_id", "x", "y"]).select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def bridges(edges: DataFrame, pixels: DataFrame) -> DataFrame:
-    """(image_id, a, b, pixel_a, pixel_b, distance): the nearest pixels of each two adjacent branches, ties in pixel order."""
+def _bridges_of_all(edges: DataFrame, pixels: DataFrame) -> DataFrame:
     p = lambda n: pixels.select("image_id", F.col("branch_id").alias(n), F.col("ord").alias(f"pixel_{n}"), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
     j = edges.join(p("a"), ["image_id", "a"]).join(p("b"), ["image_id", "b"]).withColumn("d2", distance2("ax", "ay", "bx", "by"))
-    best = j.groupBy("image_id", "a", "b").agg(F.min(F.struct("d2", "pixel_a", "pixel_b")).alias("m"))
-    return best.select("image_id", "a", "b", "m.pixel_a", "m.pixel_b", F.sqrt("m.d2").alias("distance"))
+    return j.groupBy("image_id", "a", "b").agg(F.min(F.struct("d2", "pixel_a", "pixel_b")).alias("m"))
+
+
+def bridges(edges: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(image_id, a, b, pixel_a, pixel_b, distance): the nearest pixels of each two adjacent branches, ties in pixel order.
+
+    In images of many pixels only those near each other are compared: an edge is settled once its nearest pixels are no further apart than the radius of a round, which sees all pairs as near as that; for the others the next is four times as wide."""
+    edges, pixels = edges.select("image_id", "a", "b").distinct(), pixels.select("image_id", "branch_id", "ord", "x", "y")
+    shown = lambda best: best.select("image_id", "a", "b", "m.pixel_a", "m.pixel_b", F.sqrt("m.d2").alias("distance"))
+    few, many = by_size(pixels, pixels, of_targets=True)
+    if many is None:
+        return shown(_bridges_of_all(edges, pixels))
+    p, left = cut(finite(pixels).join(many, "image_id", "left_semi")), cut(edges.join(many, "image_id", "left_semi"))
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    low, reach = p.groupBy("image_id").agg(F.sqrt(wide * high / F.count("*")).alias("d"), F.sqrt(wide * wide + high * high).alias("reach")).agg(F.min("d"), F.max("reach")).first() or (None, None)
+    radius, done = max(low or 0.0, (reach or 0.0) * 1e-6, 1e-9), None
+    while not left.isEmpty():
+        ends = left.select("image_id", F.col("a").alias("branch_id")).unionByName(left.select("image_id", F.col("b").alias("branch_id"))).distinct()
+        p = cut(p.join(ends, ["image_id", "branch_id"], "left_semi"))
+        near = radius_join(p.select("image_id", F.col("branch_id").alias("a"), F.col("ord").alias("pixel_a"), "x", "y"), p, radius).where("a <> branch_id")
+        best = near.groupBy("image_id", "a", F.col("branch_id").alias("b")).agg(F.min(F.struct("d2", "pixel_a", F.col("ord").alias("pixel_b"))).alias("m"))
+        ok = cut(best.join(left, ["image_id", "a", "b"]))
+        done = ok if done is None else done.unionByName(ok)
+        if radius > (reach or 0.0):
+            break
+        left = cut(left.join(ok.select("image_id", "a", "b"), ["image_id", "a", "b"], "left_anti"))
+        radius *= 4
+    out = shown(done) if done is not None else None
+    if few is None and out is not None:
+        return out
+    rest = shown(_bridges_of_all(edges, pixels if few is None else pixels.join(few, "image_id", "left_semi")))
+    return rest if out is None else out.unionByName(rest)
 
 
 RING = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
