@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigspark.operators import hierarchy, joins
+from twigspark.operators import hierarchy, joins, raster
 from twigspark.plans.catalog import ORACLES, QUERIES
 
 from .test_catalog import rows
@@ -79,3 +79,15 @@ def test_adjacency_and_bridges_widen_in_large_images(spark, monkeypatch, limit):
     edges = [k for k in least if k[1] < k[2]] + [(2, 4, 1)]
     got = hierarchy.bridges(spark.createDataFrame(edges, "image_id long, a long, b long"), ps).collect()
     assert {(r.image_id, r.a, r.b): (r.distance, r.pixel_a, r.pixel_b) for r in got} == {k: (least[k][0] ** 0.5, *least[k][1:]) for k in edges} and len(got) == len(edges)
+
+
+def test_masks_are_drawn_from_middle_cells(spark):
+    """A row for each cell before it is spread, not nine; beyond the image all falls on the border."""
+    cells = [(1, 0, 0), (1, 9, 4), (1, -1, 7), (1, 5, 10), (1, 10, 10)]
+    got = raster.drawn(spark.createDataFrame(cells, "image_id long, x int, y int"), 10, 10, spread=1).first()
+    want = np.zeros((10, 10), "u1")
+    for _, x, y in cells:
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                want[min(max(y + j, 0), 9), min(max(x + i, 0), 9)] = 255
+    assert got.data == want.tobytes()

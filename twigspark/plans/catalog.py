@@ -725,11 +725,10 @@ MASK_CELLS = [f"least(greatest(cast(floor({c} / {size}) as int) + 1 + {d}, 0), {
 
 
 def masks(spark, sf) -> DataFrame:
-    """A mask for each image of the tree space: every pixel of it, drawn as a square of three cells. Cells are distinct before they meet in a group, so a group holds at most SIDE * SIDE rows."""
+    """A mask for each image of the tree space: every pixel of it, drawn as a square of three cells. Middle cells are distinct before they meet in a group, so a group holds at most (SIDE + 2) ** 2 rows."""
     p = spaces.tree(spark, sf)[1]
-    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    cells = p.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).selectExpr("image_id", *MASK_CELLS).distinct()
-    return raster.drawn(cells, SIDE, SIDE)
+    middle = [f"least(greatest(cast(floor({c} / {size}) as int) + 1, -1), {SIDE}) {c}" for c, size in (("x", 5.5), ("y", 12.0))]
+    return raster.drawn(p.selectExpr("image_id", *middle).distinct(), SIDE, SIDE, spread=1)
 
 
 PARAMS = {"close_k": 1, "open_k": 1, "thick_dist": 9.0, "dilate_k": 1, "min_branch": 4}
