@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigspark.operators import hierarchy, joins, raster
+from twigspark.operators import geodesic, hierarchy, joins, raster
 from twigspark.plans.catalog import ORACLES, QUERIES
 
 from .test_catalog import rows
@@ -91,3 +91,12 @@ def test_masks_are_drawn_from_middle_cells(spark):
             for j in (-1, 0, 1):
                 want[min(max(y + j, 0), 9), min(max(x + i, 0), 9)] = 255
     assert got.data == want.tobytes()
+
+
+def test_paths_by_many_rounds_keep_no_estimates(spark):
+    """A line of 300 pixels takes some ten rounds by joins; Spark's estimate of the result, which checkpoints multiply in each, stays near the size of its files."""
+    p = spark.createDataFrame([(1, k, float(k), 0.0) for k in range(300)], "image_id long, ord long, x double, y double")
+    nodes = p.where("ord in (0, 150, 299)")
+    left = geodesic.contracted(geodesic.pixel_edges(p, 1.0), nodes, 2)
+    assert sorted((r.a, r.b, r.w) for r in left.collect()) == [(0, 150, 150.0), (150, 299, 149.0)]
+    assert left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000

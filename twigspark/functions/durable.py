@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read from there. For loops whose rounds join what the last one left with itself: a checkpoint passes on the size that Spark estimated, as the product of a join's sides, so that its
+    digits double with each round and fill the driver; the size of files is known."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared one that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

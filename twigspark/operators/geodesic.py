@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twigspark.functions.durable import cut
+from twigspark.functions.durable import kept
 from twigspark.operators.joins import apart, radius_pairs
 
 #: Edges of an image that one kernel takes, and neighbours up to which a pixel is eliminated by a join.
@@ -33,12 +33,12 @@ def _both(e: DataFrame) -> DataFrame:
 def contracted(edges: DataFrame, keep: DataFrame, few: int = FEW) -> DataFrame:
     """edges (image_id, a, b, w) with the same distances between the nodes of keep (image_id, ord), and at most few of them an image where elimination gets so far."""
     sizes = lambda e: e.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > few).select("image_id")
-    edges = cut(edges)
-    large = cut(sizes(edges))
+    edges = kept(edges)
+    large = kept(sizes(edges))
     if large.isEmpty():
         return edges
     done = edges.join(large, "image_id", "left_anti")
-    left = cut(edges.join(large, "image_id", "left_semi"))
+    left = kept(edges.join(large, "image_id", "left_semi"))
     k = 0
     while not left.isEmpty():
         k += 1
@@ -46,7 +46,7 @@ def contracted(edges: DataFrame, keep: DataFrame, few: int = FEW) -> DataFrame:
         degree = both.groupBy("image_id", "u").agg(F.count("*").alias("n")).where(F.col("n") <= STAR)
         may = degree.join(keep.select("image_id", F.col("ord").alias("u")), ["image_id", "u"], "left_anti").withColumn("rank", F.struct("n", F.xxhash64("image_id", "u", F.lit(k)), "u")).select("image_id", "u", "rank")
         around = both.join(may.select("image_id", F.col("u").alias("v"), F.col("rank").alias("other")), ["image_id", "v"]).groupBy("image_id", "u").agg(F.min("other").alias("other"))
-        out = cut(may.join(around, ["image_id", "u"], "left").where(F.col("other").isNull() | (F.col("rank") < F.col("other"))).select("image_id", "u"))
+        out = kept(may.join(around, ["image_id", "u"], "left").where(F.col("other").isNull() | (F.col("rank") < F.col("other"))).select("image_id", "u"))
         if out.isEmpty():  # no pixel has few enough neighbours
             return done.unionByName(left)
         star = both.join(out, ["image_id", "u"])
@@ -54,9 +54,9 @@ def contracted(edges: DataFrame, keep: DataFrame, few: int = FEW) -> DataFrame:
         rest = left
         for c in ("a", "b"):
             rest = rest.join(out.select("image_id", F.col("u").alias(c)), ["image_id", c], "left_anti")
-        left = cut(rest.unionByName(ways).groupBy("image_id", "a", "b").agg(F.min("w").alias("w")))
+        left = kept(rest.unionByName(ways).groupBy("image_id", "a", "b").agg(F.min("w").alias("w")))
         # Images that are small enough go on to their kernels; most rounds end none.
-        small = cut(left.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") <= few).select("image_id"))
+        small = kept(left.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") <= few).select("image_id"))
         if not small.isEmpty():
             done = done.unionByName(left.join(small, "image_id", "left_semi"))
             left = left.join(small, "image_id", "left_anti")
