@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigspark.operators import geodesic, hierarchy, joins, raster
+from twigspark.operators import geodesic, graphs, hierarchy, joins, raster
 from twigspark.plans.catalog import ORACLES, QUERIES
 
 from .test_catalog import rows
@@ -100,3 +100,25 @@ def test_paths_by_many_rounds_keep_no_estimates(spark):
     left = geodesic.contracted(geodesic.pixel_edges(p, 1.0), nodes, 2)
     assert sorted((r.a, r.b, r.w) for r in left.collect()) == [(0, 150, 150.0), (150, 299, 149.0)]
     assert left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+
+
+def test_branches_that_nothing_touches_are_nodes(spark):
+    """Of five branches a point hangs on three, an edge joins a fourth; the fifth is a label as well, and its score of itself is the largest."""
+    p = [(1, b, b, 100.0 * b, 0.0) for b in range(5)] + [(2, 7, 9, 0.0, 0.0)]
+    ps = spark.createDataFrame(p, "image_id long, branch_id long, ord long, x double, y double")
+    f, edges = spark.createDataFrame([(1, 1, 90.0, 0.0), (3, 1, 0.0, 0.0)], "image_id long, id long, x double, y double"), spark.createDataFrame([(1, 2, 3)], "image_id long, a long, b long")
+    u = graphs.laplacian_scores(f, ps, edges)
+    got = {(r.branch_id, r.label): r.score for r in u.where("image_id = 1").collect()}
+    assert {*got} == {(a, b) for a in range(5) for b in range(5)} and all(got[4, 4] > got[4, b] for b in range(4))
+    g = graphs.score_gradients(u, graphs.branch_weights(f, ps), edges).where("image_id = 1").toPandas()
+    assert len(g) == 25 and g.gradient.abs().max() < 1e-7
+    assert [(r.image_id, r.id, r.branch_id) for r in graphs.laplacian(f, ps, edges).collect()] == [(1, 1, 1)]
+
+
+def test_scores_of_an_image_with_few_points(spark, tmp_path):
+    """The last image of a table whose rows aren't a multiple of 250: its one flower is near three of its four branches."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * from '/root/testdata/sf0.001/embeddings.parquet' where vec_id < 255 or vec_id >= 500) to '{tmp_path}/embeddings.parquet'")
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    got = rows(QUERIES["laplacian_optimality"](spark, str(tmp_path)).toPandas())
+    assert got == rows(con.execute(ORACLES["laplacian_optimality"]).fetchdf()) and len(got[1]) == 2

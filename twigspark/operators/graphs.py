@@ -177,6 +177,8 @@ def _scores(alpha: float, key, weights: pd.DataFrame, edges: pd.DataFrame) -> pd
 
 
 def _laplace(alpha: float, key, weights: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    if not len(weights):
+        return pd.DataFrame({"image_id": [], "id": [], "branch_id": [], "gap": []})
     branches, u, off = branch_scores(weights, edges, alpha)
     points, point = np.unique(weights["id"].to_numpy(), return_inverse=True)
     score = np.zeros((len(points), len(branches)))
@@ -187,10 +189,16 @@ def _laplace(alpha: float, key, weights: pd.DataFrame, edges: pd.DataFrame) -> p
     return pd.DataFrame({"image_id": key[0], "id": points, "branch_id": branches[score.argmax(axis=1)], "gap": off})
 
 
+def _with_loops(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """edges and one from each branch to itself: branches that no point and no edge touches are nodes and labels as well."""
+    own = targets.where("branch_id is not null").select("image_id", "branch_id").distinct()
+    return edges.select("image_id", "a", "b").unionByName(own.select("image_id", F.col("branch_id").alias("a"), F.col("branch_id").alias("b")))
+
+
 def laplacian_scores(points: DataFrame, targets: DataFrame, edges: DataFrame, k: int = 3, decay: float = 50.0, alpha: float = 1.0) -> DataFrame:
     """(image_id, branch_id, label, score, gap): how much each branch belongs to the label of each, and the largest component of the gradient left."""
     w = branch_weights(points, targets, k, decay)
-    return apart(w).cogroup(apart(edges)).applyInPandas(partial(_scores, alpha), "image_id long, branch_id long, label long, score double, gap double")
+    return apart(w).cogroup(apart(_with_loops(edges, targets))).applyInPandas(partial(_scores, alpha), "image_id long, branch_id long, label long, score double, gap double")
 
 
 def score_gradients(scores: DataFrame, weights: DataFrame, edges: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -214,7 +222,7 @@ def score_gradients(scores: DataFrame, weights: DataFrame, edges: DataFrame, alp
 def laplacian(points: DataFrame, targets: DataFrame, edges: DataFrame, k: int = 3, decay: float = 50.0, alpha: float = 1.0) -> DataFrame:
     """(image_id, id, branch_id, gap) by semi-supervised scores on the graph of branches (edges) and points."""
     w = branch_weights(points, targets, k, decay)
-    return apart(w).cogroup(apart(edges)).applyInPandas(partial(_laplace, alpha), "image_id long, id long, branch_id long, gap double")
+    return apart(w).cogroup(apart(_with_loops(edges, targets))).applyInPandas(partial(_laplace, alpha), "image_id long, id long, branch_id long, gap double")
 
 
 def hybrid(split: DataFrame, solved: DataFrame) -> DataFrame:

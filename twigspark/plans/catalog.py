@@ -258,7 +258,8 @@ def laplacian_optimality(spark, sf):
     """Of each image's scores: that the gradient is gone, checked by joins on the scores and edges, not by the solver."""
     f, p = spaces.several(spark, sf)
     w, edges = graphs.branch_weights(f, p), _edges(p)
-    return graphs.score_gradients(graphs.laplacian_scores(f, p, edges), w, edges).groupBy("image_id").agg(
+    scores = cut(graphs.laplacian_scores(f, p, edges).join(f.select("image_id").distinct(), "image_id", "left_semi"))
+    return graphs.score_gradients(scores, w, edges).groupBy("image_id").agg(
         F.count_distinct("branch_id").alias("branches"), F.count("*").alias("scores"), (F.max(F.abs("gradient")) < 1e-7).alias("optimal")
     )
 
