@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from twigspark.operators import raster, skeleton
+from twigspark.operators import heat, raster, skeleton
 from twigspark.plans import catalog
 
 SIDES = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -266,3 +266,38 @@ def test_queries_of_masks_equal_their_kernels(spark, sf):
         on = {(c, y) for y, c in cells(raster.processed(m, **catalog.PARAMS))}
         want = [len(b["pixels"]) for b in skeleton.distinct_branches(skeleton.traced(on))]
         assert sorted(least.get(i, [])) == sorted(n for n in want if n >= 5)
+
+
+def test_sets_are_thinned_as_their_boxes_are():
+    """Sets of pixels far apart, dense ones and lines, all thinned at once by their neighbours."""
+    g, rows, want = np.random.default_rng(11), [], []
+    for k in range(40):
+        size = (int(g.integers(1, 25)), int(g.integers(1, 25)))
+        mask = np.pad(g.random(size) < g.choice([0.1, 0.5, 0.9, 1.0]), 1)
+        rows += [(k, int(x) * (1000 if k == 3 else 1) - 7, int(y) + 10**6 * (k % 2)) for y, x in np.argwhere(mask)]
+        want += (np.ones(mask.sum(), bool) if k == 3 else raster.thinned(mask)[mask]).tolist()
+    of, x, y = (np.array(c) for c in zip(*rows, strict=True))
+    got = raster.thinned_sets(of, x, y)
+    alone = np.concatenate([raster.thinned_sets(of[of == k], x[of == k], y[of == k]) for k in np.unique(of)])
+    assert (got == alone).all() and (got == want)[of != 3].all() and got.sum() < len(got) / 2
+    assert not len(raster.thinned_sets(of[:0], x[:0], y[:0]))
+
+
+def test_medial_subsections_work_by_image(spark):
+    """Wide sparse branches: a kernel for an image, no rows for pairs of pixels; runs equal those by the chain of the axis."""
+    g = np.random.default_rng(12)
+    p = [(i, b if b < 9 else None, 1000 * b + k, float(x), float(y)) for i in (1, 2) for b in (*range(6), 9) for k, (x, y) in enumerate(np.unique(g.integers(0, (40, 3000 if b % 2 else 4), (70, 2)), axis=0) / 2)]
+    df = spark.createDataFrame(p, "image_id long, branch_id long, ord long, x double, y double")
+    found = heat.medial_subsections(df, 5)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    axis = {}
+    for r in skeleton.axes(df).orderBy("ord").collect():
+        axis.setdefault((r.image_id, r.branch_id), []).append((r.x, r.y))
+    got = {(r.image_id, r.branch_id, r.ord): r.section_id for r in found.collect()}
+    want = {}
+    for i, b, o, x, y in p:
+        if b is not None:
+            a = np.array(axis[i, b])
+            parts = max(1, len(a) // 5)
+            want[i, b, o] = min(int(((a - (x, y)) ** 2).sum(axis=1).argmin()) // (len(a) // parts), parts - 1)
+    assert got == want and max(want.values()) > 2

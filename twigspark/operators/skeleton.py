@@ -8,12 +8,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from twigspark.operators.hierarchy import RING
-from twigspark.operators.raster import thinned
+from twigspark.operators.raster import thinned_sets
 
 
 def _near(on: set, p: tuple) -> list[tuple]:
@@ -166,17 +169,29 @@ def diameter(traced_pixels: DataFrame) -> DataFrame:
     return ends.groupBy("image_id").applyInPandas(_diameter, "image_id long, branch_id long, step long")
 
 
+#: Pixels of a branch whose distances from each other are kept while they are chained.
+PAIRED = 2048
+
+
+def chain(xy: np.ndarray) -> np.ndarray:
+    """Nearest-neighbour order from the pixel farthest from the centroid, ties to the first."""
+    at, order = int(((xy - xy.mean(axis=0)) ** 2).sum(axis=1).argmax()), np.empty(len(xy), "i8")
+    away = ((xy[:, None] - xy[None]) ** 2).sum(axis=2) if len(xy) <= PAIRED else None
+    gone = np.zeros(len(xy), bool)
+    for k in range(len(xy)):
+        order[k], gone[at] = at, True
+        if away is not None:
+            away[:, at] = np.inf
+            at = int(away[at].argmin())
+        else:
+            at = int(np.where(gone, np.inf, ((xy - xy[at]) ** 2).sum(axis=1)).argmin())
+    return order
+
+
 def _chained(table: pd.DataFrame) -> pd.DataFrame:
-    xy = table.sort_values("ord")[["x", "y"]].to_numpy(float)
-    left = np.ones(len(xy), bool)
-    at, order = int(((xy - xy.mean(axis=0)) ** 2).sum(axis=1).argmax()), []
-    for _ in range(len(xy)):
-        left[at] = False
-        order.append(at)
-        d = np.where(left, ((xy - xy[at]) ** 2).sum(axis=1), np.inf)
-        at = int(d.argmin())
-    out = table.sort_values("ord").iloc[order].copy()
-    out["ord"] = range(len(order))
+    t = table.sort_values("ord")
+    out = t.iloc[chain(t[["x", "y"]].to_numpy(float))].copy()
+    out["ord"] = range(len(out))
     return out[["image_id", "branch_id", "ord", "x", "y"]]
 
 
@@ -185,22 +200,43 @@ def chained(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "branch_id", "ord", "x", "y").groupBy("image_id", "branch_id").applyInPandas(_chained, "image_id long, branch_id long, ord long, x double, y double")
 
 
-def _axis(table: pd.DataFrame) -> pd.DataFrame:
-    """A branch's pixels, thinned within their box; those of a branch that is too small to thin, its first pixel alone."""
-    t = table.sort_values("ord")
-    x, y = (t[c].round().astype(int).to_numpy() for c in ("x", "y"))
-    mask = np.zeros((np.ptp(y) + 3, np.ptp(x) + 3), bool)
-    mask[y - y.min() + 1, x - x.min() + 1] = True
-    at = np.argwhere(thinned(mask)) if len(t) >= 3 else np.empty((0, 2), int)
-    if len(at) < 2:
-        return t.head(1)[["image_id", "branch_id", "ord", "x", "y"]]
-    return pd.DataFrame({"image_id": t.image_id.iloc[0], "branch_id": t.branch_id.iloc[0], "ord": range(len(at)), "x": at[:, 1] + x.min() - 1.0, "y": at[:, 0] + y.min() - 1.0})
+def axes_of(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, axis) of each branch of an image's pixels, in order of branches: its rows by ord, and its pixels, thinned, in nearest-neighbour order; of a branch that is too small to thin, its first pixel alone. Rows without a branch are left out."""
+    table = table.append_column("__row", pa.array(np.arange(len(table)))).filter(pc.is_valid(table["branch_id"]))
+    branch, order, row = (table[c].to_numpy() for c in ("branch_id", "ord", "__row"))
+    x, y = (table[c].to_numpy().astype(float) for c in "xy")
+    at = np.lexsort((y, x, order, branch))
+    branch, x, y, row = branch[at], x[at], y[at], row[at]
+    first = np.flatnonzero(np.r_[True, branch[1:] != branch[:-1]]) if len(branch) else np.zeros(0, "i8")
+    many = np.diff(np.r_[first, len(branch)])
+    large = np.repeat(many >= 3, many)
+    of, px, py = np.repeat(np.arange(len(first)), many)[large], np.rint(x[large]).astype("i8"), np.rint(y[large]).astype("i8")
+    at = np.lexsort((px, py, of))
+    of, px, py = of[at], px[at], py[at]
+    own = np.r_[True, (np.diff(of) != 0) | (np.diff(px) != 0) | (np.diff(py) != 0)] if len(of) else np.zeros(0, bool)
+    of, px, py = of[own], px[own], py[own]
+    left = thinned_sets(of, px, py)
+    of, thin = of[left], np.column_stack([px, py])[left].astype(float)
+    low, high = np.searchsorted(of, np.arange(len(first))), np.searchsorted(of, np.arange(len(first)), "right")
+    out = []
+    for k, (start, n) in enumerate(zip(first.tolist(), many.tolist(), strict=True)):
+        xy = thin[low[k] : high[k]]
+        out.append((row[start : start + n], xy[chain(xy)] if len(xy) >= 2 else np.array([[x[start], y[start]]])))
+    return out
+
+
+def _axes(table: pa.Table) -> pa.Table:
+    found = axes_of(table)
+    first = pa.array(np.array([rows[0] for rows, axis in found for _ in axis], "i8"))
+    xy = np.concatenate([a for _, a in found]) if found else np.zeros((0, 2))
+    order = pa.array(np.concatenate([np.arange(len(a)) for _, a in found]) if found else np.zeros(0, "i8"))
+    return pa.Table.from_arrays([table["image_id"].take(first), table["branch_id"].take(first), order, pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["image_id", "branch_id", "ord", "x", "y"])
 
 
 def axes(pixels: DataFrame) -> DataFrame:
-    """(image_id, branch_id, ord, x, y): each branch's medial axis, a pixel wide, in nearest-neighbour order."""
-    p = pixels.select("image_id", "branch_id", "ord", "x", "y")
-    return chained(p.groupBy("image_id", "branch_id").applyInPandas(_axis, "image_id long, branch_id long, ord long, x double, y double"))
+    """(image_id, branch_id, ord, x, y): each branch's medial axis, a pixel wide, in nearest-neighbour order. All branches of an image go to one kernel."""
+    p = pixels.select("image_id", F.col("branch_id").cast("long").alias("branch_id"), F.col("ord").cast("long").alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return p.groupBy("image_id").applyInArrow(_axes, T.StructType([T.StructField(f.name, f.dataType) for f in p.schema]))
 
 
 def deduplicated_candidates(pixels: DataFrame, overlap: float = 0.6) -> DataFrame:

@@ -600,7 +600,7 @@ def subsection_counts(spark, sf):
 def medial_subsection_counts(spark, sf):
     """Flowers by runs of each branch's medial axis."""
     f, p = spaces.tree(spark, sf)
-    s = heat.medial_subsections(p, 30)
+    s = cut(heat.medial_subsections(p, 30))
     return counts.per_section(joins.nearest_within(f, s), s)
 
 
