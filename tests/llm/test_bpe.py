@@ -63,3 +63,19 @@ def test_decoding_joins_halves(ranks):
     e = bpe.TextEncoder(ranks, P.PATTERN)
     for text in ("", "a", "é日本 " * 3000, "x y " * bpe.LEAF_IDS):
         assert e.decode(e.ids(text)) == text.encode()
+
+
+def test_leaves_and_seams_are_encoded_once(ranks, monkeypatch):
+    """A piece of 4096 bytes that repeats 8 has few different leaves and seams; tables that are full start anew and change nothing."""
+    calls = []
+
+    class Counted(bpe.Merger):
+        def direct(self, piece):
+            calls.append(piece)
+            return super().direct(piece)
+
+    piece = b"qzxvkjwy" * 512
+    want = bpe.Merger(ranks)._heap(piece)
+    assert Counted(ranks).tree(piece) == want and len(calls) < 100
+    monkeypatch.setattr(bpe, "SHORTS", 3)
+    assert Counted(ranks).tree(piece) == want

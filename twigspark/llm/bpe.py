@@ -38,6 +38,8 @@ LEAF, LEAF_IDS = 4, 512
 TABLE = 400_000
 #: Longer cuts aren't kept in the table.
 KEPT_CHARS = 48
+#: Strings of up to SHORT bytes, as leaves and seams are, are encoded once while a table of so many holds them.
+SHORT, SHORTS = 16, 1 << 17
 #: Ids handled at once when a text is digested.
 BLOCK = 1 << 16
 
@@ -61,6 +63,7 @@ class Merger:
         self.ranks, self.leaf = ranks, leaf
         self.bytes = {v: k for k, v in ranks.items()}
         self.stable: dict[tuple[int, int], bool] = {}
+        self.shorts: dict[bytes, list[int]] = {}
 
     def direct(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals, over the whole piece."""
@@ -79,6 +82,17 @@ class Merger:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[x] for x in parts]
 
+    def short(self, piece: bytes) -> list[int]:
+        """direct(), looked up where the piece is short; the list isn't to be changed."""
+        if len(piece) > SHORT:
+            return self.direct(piece)
+        found = self.shorts.get(piece)
+        if found is None:
+            if len(self.shorts) >= SHORTS:
+                self.shorts.clear()
+            found = self.shorts[piece] = self.direct(piece)
+        return found
+
     def _heap(self, piece: bytes) -> list[int]:
         """The same order of merges by a heap over a linked list: n log n."""
         n, ranks = len(piece), self.ranks
@@ -105,7 +119,7 @@ class Merger:
         if found is None:
             if len(self.stable) >= TABLE:
                 self.stable.clear()
-            found = self.stable[a, b] = self.direct(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self.stable[a, b] = self.short(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
@@ -115,7 +129,7 @@ class Merger:
             return a + b
         i = j = 1
         while True:
-            seam = self.direct(b"".join(map(self.bytes.__getitem__, a[-i:] + b[:j])))
+            seam = self.short(b"".join(map(self.bytes.__getitem__, a[-i:] + b[:j])))
             left = i >= len(a) or self.fits(a[-i - 1], seam[0])
             right = j >= len(b) or self.fits(seam[-1], b[j])
             if left and right:
@@ -124,7 +138,7 @@ class Merger:
 
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) <= self.leaf:
-            return self.direct(piece)
+            return self.short(piece)
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
