@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigspark.operators import geodesic, graphs, heat, hierarchy, joins, raster
+from twigspark.operators import geodesic, graphs, heat, hierarchy, joins, raster, rays, shoots
 from twigspark.plans.catalog import ORACLES, QUERIES
 
 from .test_catalog import rows
@@ -135,3 +135,38 @@ def test_nodes_by_kernels_equal_those_by_joins(spark, monkeypatch):
         monkeypatch.setattr(heat, "KERNEL_PIXELS", limit)
         both.append(sorted((r.image_id, r.ord) for r in heat.sampled(df, 40).collect()))
     assert both[0] == both[1] and len({i for i, _ in both[0]}) == 6
+
+
+@pytest.mark.parametrize("limit", [10**6, 600, 0])
+def test_rays_compete_alike_in_kernels_and_by_cells(spark, monkeypatch, limit):
+    """Images of 24 x 10 and 24 x 40 pairs of origins and clusters: all in kernels, some, none; a cluster without length and one without coordinates."""
+    monkeypatch.setattr(rays, "KERNEL_PAIRS", limit)
+    g = np.random.default_rng(5)
+    o = [(i, 100 * i + k, k % 4, *map(float, g.uniform(0, 60, 2)), float(np.sin(a)), -float(np.cos(a))) for i in (1, 2, 3) for k, a in enumerate(g.uniform(-1, 1, 24))]
+    s = [(i, k, *map(float, np.r_[at, at + v])) for i, n in ((1, 10), (2, 40), (4, 3)) for k, (at, v) in enumerate(zip(g.uniform(0, 60, (n, 2)), g.uniform(-9, 9, (n, 2)), strict=True))]
+    s += [(1, 50, 5.0, 5.0, 5.0, 5.0), (1, 51, None, 5.0, 5.0, 9.0), (1, 52, float("nan"), 5.0, 5.0, 9.0)]
+    origins, segments = spark.createDataFrame(o, "image_id long, ord long, branch_id long, x double, y double, nx double, ny double"), spark.createDataFrame(s, "image_id long, cluster long, ax double, ay double, bx double, by double")
+    found = lambda df: {(r.image_id, r.cluster): (r.ord, r.branch_id, *[pytest.approx(r[c], abs=1e-9) for c in ("ox", "oy", "hx", "hy", "score")]) for r in df.collect()}
+    want = found(rays.winners(rays.ray_fan(origins), segments, 30.0))
+    got = {(r.image_id, r.cluster): tuple(r)[2:] for r in rays.competed(origins, segments, 30.0).collect()}
+    assert len(want) > 30 and got == want
+
+
+@pytest.mark.parametrize("limit", [10**6, 60, 0])
+def test_lines_grow_alike_by_image_and_by_component(spark, monkeypatch, limit):
+    monkeypatch.setattr(shoots, "KERNEL_POINTS", limit)
+    g = np.random.default_rng(6)
+    xy = {i: g.uniform(0, 60, (n, 2)) for i, n in ((1, 40), (2, 90))}
+    f = spark.createDataFrame([(i, k, float(x), float(y)) for i, v in xy.items() for k, (x, y) in enumerate(v)], "image_id long, id long, x double, y double")
+    got = {}
+    for r in shoots.directional(f, 7.0, 18.0, 6.0).collect():
+        got.setdefault((r.image_id, r.cluster), set()).add(r.id)
+    for i, v in xy.items():
+        dense = shoots.grown_labels(v, 7.0, 18.0, 6.0)
+        assert {frozenset(x) for (j, _), x in got.items() if j == i} == {frozenset(np.flatnonzero(dense == k).tolist()) for k in set(dense.tolist())}
+
+
+def test_images_of_heavy_kernels_keep_their_partitions(spark):
+    """Few bytes aren't merged into one task."""
+    df = joins.dealt(spark.range(40).selectExpr("id image_id", "id"))
+    assert len({r.part for r in df.groupBy("image_id").applyInPandas(lambda t: t, "image_id long, id long").select(F.spark_partition_id().alias("part")).collect()}) > 1

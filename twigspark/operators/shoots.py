@@ -167,14 +167,26 @@ def _grown(grow: float, angle: float, seed: float, table: pd.DataFrame) -> pd.Da
     return pd.DataFrame({"image_id": t["image_id"], "id": t["id"], "first": t["id"].groupby(own).transform("min")})
 
 
+#: Points of an image that one kernel grows; of larger ones, a component.
+KERNEL_POINTS = 2048
+
+
 def directional(flowers: DataFrame, grow: float, angle: float, seed: float) -> DataFrame:
-    """(image_id, id, cluster) by directional region growing. Points further apart than a line or a seed reaches never meet, so each component of the graph of points in reach is grown by itself, in the order of its own seeds; clusters are numbered by their smallest id."""
-    f = flowers.select("image_id", "id", "x", "y")
-    node = lambda c: F.struct("image_id", F.col(c).alias("id"))
-    near = joins.radius_pairs(f, max(grow, seed, 1e-9)).select(node("a").alias("a"), node("b").alias("b"))
-    root = components(near).select("node.image_id", "node.id", F.col("root.id").alias("root"))
-    parts = f.join(root, ["image_id", "id"], "left").withColumn("root", F.coalesce("root", "id"))
-    grown = cut(parts.groupBy("image_id", "root").applyInPandas(partial(_grown, grow, angle, seed), "image_id long, id long, first long"))
+    """(image_id, id, cluster) by directional region growing, a kernel an image. Points further apart than a line or a seed reaches never meet, so of images of many points each component of the graph of points in reach is grown by itself, in the order of its own seeds; clusters are numbered by their smallest id."""
+    f = cut(flowers.select("image_id", "id", "x", "y"))
+    run = lambda df, *by: df.groupBy("image_id", *by).applyInPandas(partial(_grown, grow, angle, seed), "image_id long, id long, first long")
+    large = cut(f.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > KERNEL_POINTS).select("image_id"))
+    if large.isEmpty():
+        grown = run(joins.dealt(f))
+    else:
+        many = cut(f.join(large, "image_id", "left_semi"))
+        node = lambda c: F.struct("image_id", F.col(c).alias("id"))
+        # A little more than the reach, as the kernel compares roots.
+        near = joins.radius_pairs(many, max(grow, seed, 1e-9) * (1 + 1e-9)).select(node("a").alias("a"), node("b").alias("b"))
+        root = components(near).select("node.image_id", "node.id", F.col("root.id").alias("root"))
+        parts = many.join(root, ["image_id", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+        grown = run(parts, "root").unionByName(run(joins.dealt(f.join(large, "image_id", "left_anti"))))
+    grown = cut(grown)
     number = grown.select("image_id", "first").distinct().withColumn("cluster", (F.row_number().over(Window.partitionBy("image_id").orderBy("first")) - 1).cast("int"))
     return grown.join(number, ["image_id", "first"]).select("image_id", "id", "cluster")
 
@@ -193,7 +205,7 @@ def second_form(flowers: DataFrame, pixels: DataFrame, px_per_cm: float, p: dict
         lines = fit.shoots(labelled, by)
     segments = cut(lines.select(*by, F.col("bottom_x").alias("ax"), F.col("bottom_y").alias("ay"), F.col("top_x").alias("bx"), F.col("top_y").alias("by")))
     origins = rays.local_normals(rays.thinned(pixels, p["stride_px"]), pixels, p["normal_px"])
-    won = cut(rays.winners(rays.ray_fan(origins), segments, p["ray"] * s, p["slack_px"], p["basal_px"]))
+    won = cut(rays.competed(origins, segments, p["ray"] * s, p["slack_px"], p["basal_px"]))
     hit = won.select(*by, "branch_id", F.lit(True).alias("found"), "ox", "oy", "hx", "hy", "score")
     none = F.lit(None).cast("double")
     rest = rays.unhit(segments, won, pixels).select("image_id", F.col("id").alias("cluster"), "branch_id", F.lit(False).alias("found"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), none.alias("hx"), none.alias("hy"), F.lit(0.0).alias("score"))
