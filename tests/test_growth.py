@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twigspark.operators import geodesic, graphs, heat, hierarchy, joins, raster, rays, shoots
+from twigspark.operators import evaluate, geodesic, graphs, heat, hierarchy, joins, raster, rays, shoots
+from twigspark.plans import catalog, spaces
 from twigspark.plans.catalog import ORACLES, QUERIES
 
 from .test_catalog import rows
@@ -170,3 +171,17 @@ def test_images_of_heavy_kernels_keep_their_partitions(spark):
     """Few bytes aren't merged into one task."""
     df = joins.dealt(spark.range(40).selectExpr("id image_id", "id"))
     assert len({r.part for r in df.groupBy("image_id").applyInPandas(lambda t: t, "image_id long, id long").select(F.spark_partition_id().alias("part")).collect()}) > 1
+
+
+def test_hybrids_take_what_their_methods_solved(spark, monkeypatch):
+    """method_accuracy solves each method once, and scores hybrids as the registry's own."""
+    names = ("laplacian", "random_walk")
+    every = {n: m for n, m in catalog.METHODS.items() if n in names or n in catalog.HYBRIDS}
+    f, p = spaces.several(spark, "/root/testdata/sf0.001")
+    truth = evaluate.true_branches(f, p)
+    want = {n: evaluate.macro(evaluate.accuracy(every[n](f, p).withColumn("method", F.lit(n)), truth)).first().accuracy for n in catalog.HYBRIDS}
+    calls = []
+    monkeypatch.setattr(catalog, "METHODS", {n: lambda f, p, n=n, m=m: calls.append(n) or m(f, p) for n, m in every.items()})
+    got = {r.method: r.accuracy for r in QUERIES["method_accuracy"](spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(calls) == ["laplacian", "random_walk"]
+    assert {n: got[n] for n in want} == {n: pytest.approx(v, abs=1e-6) for n, v in want.items()}

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from twigspark.functions.durable import cut
 from twigspark.operators.components import components
 from twigspark.operators.hierarchy import bridges
-from twigspark.operators.joins import apart, in_cells, knn_branches, knn_points, knn_targets
+from twigspark.operators.joins import apart, dealt, in_cells, knn_branches, knn_points, knn_targets
 from twigspark.operators.sparse import conjugate, smallest, times
 
 
@@ -109,7 +109,7 @@ def random_walk(points: DataFrame, targets: DataFrame, k: int = 3, k_points: int
     large = cut(rows.groupBy("image_id", "root").agg(F.count_distinct("i").alias("n")).where(F.col("n") > kernel_points).select("image_id", "root"))
     shape = "image_id long, id long, branch_id long, probability double, residual double"
     if large.isEmpty():
-        return rows.groupBy("image_id", "root").applyInPandas(_absorb, shape)
+        return dealt(rows, "root").groupBy("image_id", "root").applyInPandas(_absorb, shape)
     few = rows.join(large, ["image_id", "root"], "left_anti").groupBy("image_id", "root").applyInPandas(_absorb, shape)
     rest = rows.join(large, ["image_id", "root"], "left_semi").withColumnRenamed("p", "w")
     t = transitions(rest.where("branch_id is not null").select("image_id", F.col("i").alias("id"), "branch_id", "w"), rest.where("j is not null").select("image_id", "i", "j", "w"))
@@ -222,7 +222,7 @@ def score_gradients(scores: DataFrame, weights: DataFrame, edges: DataFrame, alp
 def laplacian(points: DataFrame, targets: DataFrame, edges: DataFrame, k: int = 3, decay: float = 50.0, alpha: float = 1.0) -> DataFrame:
     """(image_id, id, branch_id, gap) by semi-supervised scores on the graph of branches (edges) and points."""
     w = branch_weights(points, targets, k, decay)
-    return apart(w).cogroup(apart(_with_loops(edges, targets))).applyInPandas(partial(_laplace, alpha), "image_id long, id long, branch_id long, gap double")
+    return dealt(w).groupBy("image_id").cogroup(dealt(_with_loops(edges, targets)).groupBy("image_id")).applyInPandas(partial(_laplace, alpha), "image_id long, id long, branch_id long, gap double")
 
 
 def hybrid(split: DataFrame, solved: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ PIXEL, FLOWER = 0, 1
 
 def embedding(edges: DataFrame, dims: int = 8) -> DataFrame:
     """(image_id, kind, node, vector, eigenvalues, residual): the eigenvectors after the first of the normalised Laplacian of each image's graph (kind_a, a, kind_b, b), with the largest residual."""
-    return edges.groupBy("image_id").applyInPandas(partial(_embedded, dims), "image_id long, kind long, node long, vector array<double>, eigenvalues array<double>, residual double")
+    return dealt(edges).groupBy("image_id").applyInPandas(partial(_embedded, dims), "image_id long, kind long, node long, vector array<double>, eigenvalues array<double>, residual double")
 
 
 def embedding_graph(points: DataFrame, pixels: DataFrame, edges: DataFrame, k: int = 3, step: float = 1.0) -> DataFrame:

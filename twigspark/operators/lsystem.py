@@ -120,7 +120,7 @@ def reconstruct(flowers: DataFrame, pixels: DataFrame, px_per_cm: float, p: dict
     s = px_per_cm
     delta, base = p["internode"] * s, round(p["gap"] / p["internode"])
     labelled = cut(flowers.join(cluster.dbscan(flowers, p["eps"] * s, p["least"], p["squeeze"]), ["image_id", "id"]))
-    fitted = labelled.groupBy("image_id").cogroup(pixels.groupBy("image_id")).applyInPandas(partial(_fitted, delta, base, p["residual"] * s, p["trials"]), "image_id long, shoot_id long, id long, t double, x0 double, y0 double, theta double, kappa double")
+    fitted = joins.dealt(labelled).groupBy("image_id").cogroup(joins.dealt(pixels).groupBy("image_id")).applyInPandas(partial(_fitted, delta, base, p["residual"] * s, p["trials"]), "image_id long, shoot_id long, id long, t double, x0 double, y0 double, theta double, kappa double")
     fitted = cut(fitted)
     by = ["image_id", "shoot_id"]
     one = fitted.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("x0", "y0", "theta", "kappa")])

@@ -1044,17 +1044,23 @@ def methods(step: float = 1.0, gap: float = 7.0, px_per_cm: float = 6.0) -> dict
 
 METHODS = methods(STEP, 12.0)
 
+#: Methods that are another one where the nearest branch isn't clear.
+HYBRIDS = {"hybrid_laplacian": "laplacian", "hybrid_random_walk": "random_walk"}
+
 
 @query()
 def method_accuracy(spark, sf):
-    """All methods of the registry against the branch of the nearest ground-truth point."""
+    """All methods of the registry against the branch of the nearest ground-truth point. What a hybrid takes from another method is that method's result, which is solved once."""
     f, p = map(cut, spaces.several(spark, sf))
     truth = cut(evaluate.true_branches(f, p))
-    scored = [cut(evaluate.accuracy(m(f, p).withColumn("method", F.lit(n)), truth)) for n, m in METHODS.items()]
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
-    return evaluate.macro(out).select("method", r("accuracy"), "images")
+    found = {n: cut(m(f, p)) for n, m in METHODS.items() if n not in HYBRIDS}
+    split = cut(counts.ambiguity(joins.two_branches(f, p)))
+    found |= {n: graphs.hybrid(split, found[of]) for n, of in HYBRIDS.items()}
+    out = None
+    for n in METHODS:
+        s = found[n].select("image_id", "id", "branch_id").withColumn("method", F.lit(n))
+        out = s if out is None else out.unionByName(s)
+    return evaluate.macro(evaluate.accuracy(out, truth)).select("method", r("accuracy"), "images")
 
 
 @query(f"with {TREE}, h as (select image_id, greatest(max(y) - min(y), 1) / 350 s from tp group by all), n as (select image_id, branch_id, count(*) n from tf group by all), b as (select image_id, branch_id, count(*) px from tp group by all) select image_id, branch_id, round(coalesce(n, 0) / (px / s), 6) per_cm from b join h using (image_id) left join n using (image_id, branch_id)")
