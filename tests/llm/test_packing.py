@@ -29,6 +29,18 @@ def test_ids_equal_the_tokenizer():
         assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_texts_are_cut_without_a_search():
+    """White space of any kind after a space, at both ends, in the middle and behind cuts that are known; no regular expression reads a text of plain spaces."""
+    t = Tokenizer.from_file(PATH)
+    e = packing.encoder(packing.read_vocabulary(PATH), P.PATTERN, "searched")
+    for space in [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]:
+        for x in [f"a b {space}c d", f"a b{space}", f"a b {space}", f"{space} a b", f"{space}a b", f" {space}", f"a{space} b", space, f"a b {space} c"]:
+            assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids, ascii(x)
+    assert not hasattr(e, "odd")
+    e.cut = None
+    assert e.ids("plain words, cut at spaces\nand lines").tolist() == t.encode("plain words, cut at spaces\nand lines", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("parts", ["1", "5"])
 def test_pieces(spark, parts):
     t = Tokenizer.from_file(PATH)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -147,13 +148,21 @@ class Merger:
         return [whole] if whole is not None else self.tree(piece)
 
 
+class _Odd(Exception):
+    """A text that single spaces don't cut: white space follows one, or ends it."""
+
+
 class _Cuts(dict):
     """Ids, as bytes, of ' ' + cut."""
 
+    space = staticmethod(regex.compile(r"\s|\Z").match)
+
     def __init__(self, encode: Callable[[str], bytes], size: int):
         self.encode, self.size = encode, size
 
     def __missing__(self, cut: str) -> bytes:
+        if self.space(cut):  # never kept, so that texts needn't be searched for such cuts
+            raise _Odd
         ids = self.encode(" " + cut)
         if len(cut) <= KEPT_CHARS:
             if len(self) >= self.size:
@@ -173,7 +182,6 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")
         self.match = regex.compile(pattern).findall
         self.cut = regex.compile(r" (?=\S)").split
-        self.odd = regex.compile(r" (?:\s|\Z)|\A\s").search
         self.piece = encode_piece or Merger(ranks).encode
         self.text = encode_text
         self.pieces: dict[str, bytes] = {}
@@ -181,7 +189,7 @@ class TextEncoder:
 
     def _plain(self, text: str) -> bytes:
         if self.text:
-            return np.array(self.text(text), self.dtype).tobytes()
+            return array(self.dtype.char, self.text(text)).tobytes()
         out, pieces = [], self.pieces
         for p in self.match(text):
             ids = pieces.get(p)
@@ -197,8 +205,16 @@ class TextEncoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        cuts = self.cut(text) if self.odd(text) else text.split(" ")
-        return np.frombuffer(self._plain(cuts[0]) + b"".join(map(self.cuts.__getitem__, cuts[1:])), self.dtype)
+        if text[-1] != " " and "  " not in text and " \n" not in text:
+            try:
+                return np.frombuffer(self._cut(text.split(" ")), self.dtype)
+            except _Odd:
+                pass
+        return np.frombuffer(self._cut(self.cut(text)), self.dtype)
+
+    def _cut(self, cuts: list[str]) -> bytes:
+        rest = b"".join(map(self.cuts.__getitem__, cuts[1:]))
+        return self._plain(cuts[0]) + rest
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids: halves are decoded recursively and joined; joining byte strings needs no window."""
